@@ -151,13 +151,13 @@ def number_text(c: Column) -> Column:
     """
     x = c.cast("double")
     ax = F.abs(x)
-    dec = F.regexp_replace(F.try_cast(x, "decimal(38,18)").cast("string"), r"\.?0+$", "")
+    dec = F.regexp_replace(x.try_cast("decimal(38,18)").cast("string"), r"\.?0+$", "")
     return (
         F.when(x.isNull(), F.lit(None))
         .when(F.isnan(x), F.lit("NaN"))
         .when(x == float("inf"), F.lit("Infinity"))
         .when(x == float("-inf"), F.lit("-Infinity"))
-        .when((x == F.floor(x)) & (ax < 1e20), F.try_cast(x, "decimal(38,0)").cast("string"))
+        .when((x == F.floor(x)) & (ax < 1e20), x.try_cast("decimal(38,0)").cast("string"))
         .when((ax >= 1e-6) & (ax < 1e20), dec)
         .otherwise(F.lower(x.cast("string")))
     )
@@ -214,7 +214,7 @@ def js_number(tc: TypedCol) -> Column:
     if fam == "string":
         t = F.trim(c)
         return (F.when(c.isNull(), nan).when(t == "", F.lit(0.0))
-                .otherwise(F.coalesce(F.try_cast(t, "double"), nan)))
+                .otherwise(F.coalesce(t.try_cast("double"), nan)))
     if fam == "date":
         return F.coalesce(F.unix_millis(c.cast("timestamp")).cast("double"), nan)
     return nan

@@ -75,7 +75,7 @@ class TableInfo:
 
 def _key_names(order_key):
     for k in order_key:
-        yield k[0] if isinstance(k, tuple) else k
+        yield k["field"] if isinstance(k, dict) else k
 
 
 def _top(name: str) -> str:
