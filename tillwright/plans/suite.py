@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import suite_transform
+from . import suite_query, suite_transform
 
 QUERIES: dict = {}
 ORACLE: dict = {}
 
-for _mod in (suite_transform,):
+for _mod in (suite_transform, suite_query):
     QUERIES.update(_mod.QUERIES)
     ORACLE.update(_mod.ORACLE)
