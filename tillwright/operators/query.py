@@ -84,42 +84,56 @@ def operator_predicate(tc: TypedCol, op: dict, bare: bool) -> Column:
 
 
 class FilterCompiler:
-    """Compile a filter tree against a catalog table."""
+    """Compile a filter tree against a catalog table.
+
+    Columns a sub-query refers to in its outer row (the id and foreign keys)
+    are first copied under unique names: the analyzer would otherwise resolve
+    an outer reference such as ``id`` from a same-named column of the inner
+    table.
+    """
 
     def __init__(self, cat: Catalog):
         self.cat = cat
+        self._n = 0
 
-    def compile(self, table: str, flt: dict | None, bare: bool = True, df: DataFrame | None = None) -> Column:
-        info = self.cat.info(table)
-        return self._tree(info, df if df is not None else info.df, flt or {}, bare)
+    def _framed(self, info: TableInfo, df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+        self._n += 1
+        keys = [c for c in [info.id_col, *info.relations] if c and c in df.columns]
+        amap = {c: f"__o{self._n}_{c}" for c in dict.fromkeys(keys)}
+        return df.select("*", *[F.col(f"`{c}`").alias(a) for c, a in amap.items()]), amap
+
+    def filtered(self, info: TableInfo, df: DataFrame, flt: dict | None, bare: bool = True) -> DataFrame:
+        if not flt:
+            return df
+        framed, amap = self._framed(info, df)
+        out = framed.where(self._tree(info, framed, flt, bare, amap))
+        return out.drop(*amap.values())
 
     def apply(self, table: str, flt: dict | None) -> DataFrame:
         info = self.cat.info(table)
-        if not flt:
-            return info.df
-        return info.df.where(self._tree(info, info.df, flt, True))
+        return self.filtered(info, info.df, flt)
 
     # -- tree ------------------------------------------------------------------
-    def _tree(self, info: TableInfo, df: DataFrame, flt: dict, bare: bool) -> Column:
+    def _tree(self, info: TableInfo, df: DataFrame, flt: dict, bare: bool, amap: dict) -> Column:
         if not isinstance(flt, dict):
             raise QueryError(f"filter must be an object, got {flt!r}")
         if "and" in flt:
-            parts = [self._tree(info, df, f, bare) for f in flt["and"]]
+            parts = [self._tree(info, df, f, bare, amap) for f in flt["and"]]
             return reduce(lambda a, b: a & b, parts) if parts else P.TRUE()
         if "or" in flt:
-            parts = [self._tree(info, df, f, bare) for f in flt["or"]]
+            parts = [self._tree(info, df, f, bare, amap) for f in flt["or"]]
             return reduce(lambda a, b: a | b, parts) if parts else P.FALSE()
-        parts = [self._field(info, df, k, v, bare) for k, v in flt.items() if v is not None]
+        parts = [self._field(info, df, k, v, bare, amap) for k, v in flt.items() if v is not None]
         return reduce(lambda a, b: a & b, parts) if parts else P.TRUE()
 
-    def _field(self, info: TableInfo, df: DataFrame, key: str, val, bare: bool) -> Column:
+    def _field(self, info: TableInfo, df: DataFrame, key: str, val, bare: bool, amap: dict) -> Column:
         if is_relation_operator(val):
             rev = self.cat.reverse_relations(info.name).get(key)
             if rev is not None:
-                return self._reverse(info, rev, val)
+                return self._reverse(info, rev, val, amap)
         if isinstance(val, dict) and not is_operator(val) and key in info.relations:
             target, is_array = info.relations[key]
-            return self._forward(info, df, key, target, is_array, val)
+            return self._forward(info, df, key, target, is_array, val, amap)
         if not isinstance(val, dict):
             raise QueryError(f"field {key!r}: expected an operator object, got {val!r}")
         tc = resolve(df.schema, key) if key in df.columns else TypedCol(F.lit(None), T.NullType())
@@ -130,19 +144,20 @@ class FilterCompiler:
         tinfo = self.cat.info(target)
         if not tinfo.id_col:
             raise QueryError(f"relation target {target!r} has no id column")
-        matched = tinfo.df.where(self._tree(tinfo, tinfo.df, flt, bare)) if flt else tinfo.df
-        return matched, tinfo.id_col
+        return self.filtered(tinfo, tinfo.df, flt, bare), tinfo.id_col
 
-    def _forward(self, info, df, key, target, is_array, flt) -> Column:
+    def _forward(self, info, df, key, target, is_array, flt, amap) -> Column:
         matched, tid = self._target_ids(target, flt)
         fk = resolve(df.schema, key)
         if fk.missing:
             return P.FALSE()
+        outer = F.col(f"`{amap[key]}`").outer()
         if not is_array:
             t_id = resolve(matched.schema, tid)
             if family(t_id.dtype) != family(fk.dtype):
                 return P.FALSE()
-            return matched.where(t_id.col == F.col(f"`{key}`").outer()).exists()
+            inner = matched.select(t_id.col.alias("__tid"))
+            return inner.where(F.col("__tid") == outer).exists()
         # array of keys: explode once, semi join the targets, distinct row ids,
         # then a plain correlated equality (an equi ExistenceJoin / semi join)
         if not info.id_col:
@@ -150,33 +165,35 @@ class FilterCompiler:
         hits = (info.df.select(F.col(info.id_col).alias("__row"), F.explode(F.col(f"`{key}`")).alias("__fk"))
                 .join(matched.select(F.col(tid).alias("__fk")), "__fk", "left_semi")
                 .select("__row").distinct())
-        return hits.where(F.col("__row") == F.col(info.id_col).outer()).exists()
+        return hits.where(F.col("__row") == F.col(f"`{amap[info.id_col]}`").outer()).exists()
 
-    def _reverse(self, info: TableInfo, rev, op: dict) -> Column:
+    def _reverse(self, info: TableInfo, rev, op: dict, amap: dict) -> Column:
         ref_table, fk, is_array = rev
         if not info.id_col:
             raise QueryError(f"reverse relation on {info.name!r} needs an id column")
         rinfo = self.cat.info(ref_table)
         kind, sub = next(iter(op.items()))
         rdf = rinfo.df
-        own_id = F.col(f"`{info.id_col}`").outer()
+        own_id = F.col(f"`{amap[info.id_col]}`").outer()
 
         def referencing(frame: DataFrame) -> Column:
             if is_array:
                 keys = frame.select(F.explode(F.col(f"`{fk}`")).alias("__fk"))
-                return keys.where(F.col("__fk") == own_id).exists()
-            return frame.where(F.col(f"`{fk}`") == own_id).exists()
+            else:
+                keys = frame.select(F.col(f"`{fk}`").alias("__fk"))
+            return keys.where(F.col("__fk") == own_id).exists()
 
         if kind == "some":
-            frame = rdf if sub is True else rdf.where(self._tree(rinfo, rdf, sub, True))
+            frame = rdf if sub is True else self.filtered(rinfo, rdf, sub, True)
             return referencing(frame)
         if kind == "none":
-            frame = rdf if sub is True else rdf.where(self._tree(rinfo, rdf, sub, True))
+            frame = rdf if sub is True else self.filtered(rinfo, rdf, sub, True)
             return ~referencing(frame)
         if kind == "every":
             if sub is True:
                 return P.TRUE()
-            violators = rdf.where(~self._tree(rinfo, rdf, sub, False))
+            framed, amap2 = self._framed(rinfo, rdf)
+            violators = framed.where(~self._tree(rinfo, framed, sub, False, amap2)).drop(*amap2.values())
             return ~referencing(violators)
         return P.FALSE()
 
