@@ -52,5 +52,5 @@ def agg_column(df: DataFrame, field: str, fn: str, order_key=(), rows_filter: Co
             return F.array()
         key = order_struct(df, require(order_key, "aggregate 'collect'"))
         pairs = F.collect_list(F.when(present, F.struct(key.alias("k"), v.alias("v"))))
-        return F.transform(F.array_sort(pairs), lambda p: p["v"])
+        return F.transform(F.sort_array(pairs), lambda p: p["v"])
     raise ValueError(f"unknown aggregate function {fn!r}")

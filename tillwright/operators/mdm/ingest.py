@@ -49,6 +49,8 @@ def connected_components(spark: SparkSession, nodes: DataFrame, edges: DataFrame
     checkpoint_dir(spark)
     und = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     und = und.checkpoint(eager=True)
+    if und.isEmpty():  # no edge: every node is its own component, no iteration needed
+        return nodes.select(F.col("id"), F.col("id").alias("component"))
     labels = nodes.select(F.col("id"), F.col("id").alias("label")).checkpoint(eager=True)
     for _ in range(max_rounds):
         offers = und.join(labels, und["a"] == labels["id"]).select(F.col("b").alias("id"), "label")
@@ -76,11 +78,12 @@ def ingest_batch(spark: SparkSession, new_sources: DataFrame, goldens: DataFrame
     best = thr_matches.groupBy("sourceRecordId").agg(
         F.min_by(F.struct("matchedRecordId", "score"),
                  F.struct((-F.col("score")).alias("s"), F.col("matchedRecordId").alias("g"))).alias("b"))
-    best = best.select("sourceRecordId", F.col("b.matchedRecordId").alias("goldenRecordId"),
+    best = best.select(F.col("sourceRecordId").alias("__sid"), F.col("b.matchedRecordId").alias("goldenRecordId"),
                        F.col("b.score").alias("matchScore"))
-    matched = new.join(best, new["id"] == best["sourceRecordId"], "inner").drop("sourceRecordId")
-    unmatched = new.join(best, new["id"] == best["sourceRecordId"], "left_anti")
-    unmatched = unmatched.checkpoint(eager=True)
+    # one pass of matching, written once (lineage cut, reused by both branches)
+    assigned = new.join(best, new["id"] == best["__sid"], "left").drop("__sid").checkpoint(eager=True)
+    matched = assigned.where(F.col("goldenRecordId").isNotNull())
+    unmatched = assigned.where(F.col("goldenRecordId").isNull()).drop("goldenRecordId", "matchScore")
     pairs = candidate_pairs(unmatched, unmatched, match_config, exclude_self=True, **match_kw)
     edges = score(pairs, match_config, "source").where("isMatch").select(
         F.col("sourceRecordId").alias("a"), F.col("matchedRecordId").alias("b"))
@@ -88,7 +91,7 @@ def ingest_batch(spark: SparkSession, new_sources: DataFrame, goldens: DataFrame
     fresh = (unmatched.join(comps, "id")
              .withColumn("goldenRecordId", F.concat(F.lit("golden-"), F.col("component").cast("string")))
              .withColumn("matchScore", F.lit(1.0)).drop("component"))
-    linked = matched.unionByName(fresh)
+    linked = matched.unionByName(fresh).checkpoint(eager=True)
     affected = linked.select("goldenRecordId").distinct()
     old_members = members.join(affected, "goldenRecordId", "left_semi")
     all_members = old_members.unionByName(linked.select(*old_members.columns))

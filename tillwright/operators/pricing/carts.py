@@ -20,7 +20,7 @@ def build_carts(carts: DataFrame, lines: DataFrame, cart_key: str = "cart_id") -
     plus ``lines(cart_id, line, productId, categoryId, quantity, unitPrice)``
     -> carts with ``items`` sorted by line number (carts without lines get [])."""
     item = F.struct(*[F.col(c) for c in ITEM_FIELDS])
-    per_cart = lines.groupBy(F.col(cart_key).alias("__cid")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    per_cart = lines.groupBy(F.col(cart_key).alias("__cid")).agg(F.sort_array(F.collect_list(item)).alias("items"))
     out = carts.join(per_cart, carts[cart_key] == per_cart["__cid"], "left").drop("__cid")
     return out.withColumn("items", F.coalesce(F.col("items"), F.array().cast(per_cart.schema["items"].dataType)))
 

@@ -57,7 +57,7 @@ def _buy_x_get_y(v: dict, items: Column) -> Column:
     get_ids = v.get("getProductIds")
     pool = F.filter(F.col("items"), lambda x: x["productId"].isin(list(get_ids))) if get_ids else items
     # cheapest first; equal prices keep cart line order
-    ordered = F.array_sort(F.transform(pool, lambda x: F.struct(x["unitPrice"].alias("p"), x["line"].alias("l"),
+    ordered = F.sort_array(F.transform(pool, lambda x: F.struct(x["unitPrice"].alias("p"), x["line"].alias("l"),
                                                                  x["quantity"].alias("q"))))
     pct = float(v["discountPercentage"])
 

@@ -186,7 +186,7 @@ def lookup_step(cat: Catalog, cfg: dict) -> TableInfo:
     order = require(_order_of({"orderKey": cfg.get("fromOrderKey")}, frm), "lookup")
     key = order_struct(fdf, order)
     if cfg.get("multiple"):
-        agg = F.transform(F.array_sort(F.collect_list(F.struct(key.alias("k"), rec.alias("r")))),
+        agg = F.transform(F.sort_array(F.collect_list(F.struct(key.alias("k"), rec.alias("r")))),
                           lambda p: p["r"])
     else:
         agg = F.min_by(rec, key)

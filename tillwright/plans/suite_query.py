@@ -81,7 +81,7 @@ WHERE o.o_totalprice > 100000 AND EXISTS (
 
 def _baskets(cat):
     li = cat.get("lineitem")
-    baskets = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_partkey")).alias("part_ids"))
+    baskets = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_set("l_partkey")).alias("part_ids"))
     cat.register("baskets", baskets, order_key=("l_orderkey",), id_col="l_orderkey",
                  relations={"part_ids": ("part", True)})
     return cat
