@@ -119,3 +119,26 @@ def merge_goldens(members: DataFrame, mapping: DataFrame) -> DataFrame:
     mp = mapping.select(F.col("fromId").alias("__from"), F.col("toId").alias("__to"))
     j = members.join(mp, members["goldenRecordId"] == mp["__from"], "left")
     return j.withColumn("goldenRecordId", F.coalesce(F.col("__to"), F.col("goldenRecordId"))).drop("__from", "__to")
+
+
+# -- listings and manual records (M13, M13c) --------------------------------------------
+
+def members_of(sources: DataFrame, golden_ids: DataFrame) -> DataFrame:
+    """Source records linked to the given golden ids (``golden_ids(id)``)."""
+    return sources.join(golden_ids.select(F.col("id").alias("goldenRecordId")), "goldenRecordId", "left_semi")
+
+
+def unmatched_sources(sources: DataFrame, entity_type: str | None = None) -> DataFrame:
+    """Records without a golden record (NULL or empty id)."""
+    out = sources.where(F.col("goldenRecordId").isNull() | (F.col("goldenRecordId") == ""))
+    return out.where(F.col("entityType") == entity_type) if entity_type else out
+
+
+def manual_goldens(rows: DataFrame, created_at=None) -> DataFrame:
+    """Golden records entered by hand: ``rows(id, entityType, data)`` with no
+    sources, confidence 1.0 and no review flag."""
+    ts = F.lit(created_at).cast("timestamp") if created_at is not None else F.current_timestamp()
+    src_t = "array<struct<sourceSystem:string,contributedFields:array<string>,sourceRecords:bigint,lastUpdatedAt:timestamp>>"
+    return rows.select("id", "entityType", "data", F.array().cast(src_t).alias("sources"),
+                       F.lit(1.0).alias("confidence"), F.lit(False).alias("needsReview"),
+                       ts.alias("createdAt"), ts.alias("updatedAt"), ts.alias("lastMergedAt"))

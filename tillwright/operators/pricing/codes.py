@@ -112,3 +112,105 @@ def usage_counts(usage: DataFrame) -> DataFrame:
     per_customer = usage.groupBy("discountId", "customerId").agg(F.count(F.lit(1)).alias("uses"))
     per_discount = per_customer.groupBy("discountId").agg(F.sum("uses").alias("discountUses"))
     return per_customer.join(per_discount, "discountId")
+
+
+# -- batch code validation (C15) ---------------------------------------------------------
+
+def validate_codes(requests: DataFrame, discounts: list[dict], generated: DataFrame | None = None,
+                   usage: DataFrame | None = None, zero_unit_price: bool = False) -> DataFrame:
+    """Validate promo codes in bulk.
+
+    ``requests(code, customerId, items, evaluationDate)`` (``items`` as cart
+    lines, may be NULL); ``generated(code, discountId, usedBy)``; ``usage``
+    is the ledger ``(discountId, customerId, ...)``.  Codes match exactly
+    (case-sensitive).  Adds ``discountId, valid, reason, isExpired, isInactive,
+    usageLimitReached, customerUsageLimitReached, conditionsNotMet``.
+    ``zero_unit_price`` reproduces the original, which prices validation
+    carts at 0 (so ``minAmount`` never holds).
+    """
+    from .conditions import condition
+    from .evaluate import _ts, with_defaults
+
+    ds = [with_defaults(d) for d in discounts]
+    now = F.coalesce(F.col("evaluationDate"), F.current_timestamp()) if "evaluationDate" in requests.columns \
+        else F.current_timestamp()
+    r = requests
+    if generated is not None:
+        g = generated.select(F.col("code").alias("__gcode"), F.col("discountId").alias("__gdid"),
+                             F.col("usedBy").alias("__gused"), F.lit(True).alias("__gen"))
+        r = r.join(g, r["code"] == g["__gcode"], "left").drop("__gcode")
+    else:
+        r = r.withColumn("__gdid", F.lit(None).cast("string")).withColumn("__gused", F.lit(None).cast("string")) \
+            .withColumn("__gen", F.lit(None).cast("boolean"))
+    by_id = F.lit(None).cast("int")
+    for i in reversed(range(len(ds))):
+        by_id = F.when(F.col("__gdid") == F.lit(str(ds[i].get("id"))), F.lit(i)).otherwise(by_id)
+    by_code = F.lit(None).cast("int")
+    for i in reversed(range(len(ds))):
+        if ds[i].get("code"):
+            by_code = F.when(F.col("code") == F.lit(ds[i]["code"]), F.lit(i)).otherwise(by_code)
+    gen = F.coalesce(F.col("__gen"), F.lit(False))
+    r = r.withColumn("__idx", F.when(gen, by_id).otherwise(by_code))
+    ids = F.array(*[F.lit(str(d.get("id", i))) for i, d in enumerate(ds)]) if ds else F.array().cast("array<string>")
+    r = r.withColumn("discountId", F.when(F.col("__idx").isNotNull(), F.element_at(ids, F.col("__idx") + 1)))
+    if usage is not None:
+        u = usage.groupBy(F.col("discountId").alias("__udid"), F.col("customerId").alias("__ucid")).agg(
+            F.count(F.lit(1)).alias("__uses"))
+        r = r.join(u, (r["discountId"] == u["__udid"]) & (r["customerId"] == u["__ucid"]), "left") \
+            .drop("__udid", "__ucid")
+    else:
+        r = r.withColumn("__uses", F.lit(None).cast("long"))
+    items = F.col("items") if "items" in r.columns else F.lit(None)
+    if zero_unit_price and "items" in r.columns:
+        items = F.transform(F.col("items"), lambda x: x.withField("unitPrice", F.lit(0.0)))
+    ctx = r.withColumn("__items", items).withColumn(
+        "customer", F.struct(F.col("customerId").cast("string").alias("id"), F.lit(None).cast("string").alias("group"),
+                             F.lit(None).cast("array<string>").alias("tags"),
+                             F.lit(None).cast("boolean").alias("isFirstPurchase")))
+
+    def reason_of(d):
+        checks = []
+        if d["status"] != "active":
+            checks.append((F.lit(True), f"Discount is {d['status']}"))
+        if d.get("validFrom"):
+            checks.append((now < _ts(d["validFrom"]), "Discount is not yet active"))
+        if d.get("validUntil"):
+            checks.append((now > _ts(d["validUntil"]), "Discount has expired"))
+        if d.get("usageLimit") and d["currentUsage"] >= d["usageLimit"]:
+            checks.append((F.lit(True), "Usage limit reached"))
+        if d.get("usageLimitPerCustomer"):
+            checks.append((F.col("customerId").isNotNull() & (F.coalesce(F.col("__uses"), F.lit(0))
+                                                             >= F.lit(d["usageLimitPerCustomer"])),
+                           "Customer usage limit reached"))
+        failed = failed_conditions(d)
+        if d["conditions"]:
+            checks.append((F.col("__items").isNotNull() & (F.size(failed) > 0), "Conditions not met"))
+        out = F.lit(None).cast("string")
+        for c, why in reversed(checks):
+            out = F.when(F.coalesce(c, F.lit(False)), F.lit(why)).otherwise(out)
+        return out
+
+    def failed_conditions(d):
+        if not d["conditions"]:
+            return F.array().cast("array<string>")
+        flags = [F.when(~F.coalesce(condition(c), F.lit(False)), F.lit(c["type"])) for c in d["conditions"]]
+        return F.filter(F.array(*flags), lambda x: x.isNotNull())
+
+    per = F.lit(None).cast("string")
+    failed = F.lit(None).cast("array<string>")
+    for i in reversed(range(len(ds))):
+        per = F.when(F.col("__idx") == i, reason_of(ds[i])).otherwise(per)
+        failed = F.when(F.col("__idx") == i, failed_conditions(ds[i])).otherwise(failed)
+    reason = (F.when(gen & F.col("__gused").isNotNull(), F.lit("Code has already been redeemed"))
+              .when(gen & F.col("__idx").isNull(), F.lit("Discount no longer exists"))
+              .when(F.col("__idx").isNull(), F.lit("Invalid code"))
+              .otherwise(per))
+    # conditions are evaluated over the request's own lines
+    ctx = ctx.withColumn("items", F.col("__items")) if "items" in ctx.columns else ctx.withColumn("items", F.col("__items"))
+    out = ctx.withColumn("reason", reason).withColumn("valid", F.col("reason").isNull())
+    out = out.withColumn("isExpired", F.col("reason").isin("Discount has expired", "Discount is expired")) \
+        .withColumn("isInactive", F.col("reason") == F.lit("Discount is inactive")) \
+        .withColumn("usageLimitReached", F.col("reason") == F.lit("Usage limit reached")) \
+        .withColumn("customerUsageLimitReached", F.col("reason") == F.lit("Customer usage limit reached")) \
+        .withColumn("conditionsNotMet", F.when(F.col("reason") == F.lit("Conditions not met"), failed))
+    return out.drop("__gdid", "__gused", "__gen", "__idx", "__uses", "__items", "customer")

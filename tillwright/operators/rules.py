@@ -211,3 +211,16 @@ def route(cat: Catalog, contexts: DataFrame, workflow: dict) -> DataFrame:
     """Contexts with ``outcome`` (end step id), ``status``, ``reason``,
     ``path`` (visited step ids), ``actions`` and the rewritten context columns."""
     return RuleCompiler(cat, contexts).route(workflow)
+
+
+def actions_of(routed: DataFrame, key: str) -> DataFrame:
+    """One row per emitted action: ``(key, step, type, collection, payload)``."""
+    return routed.select(F.col(key), F.explode("actions").alias("a")).select(
+        key, "a.step", "a.type", "a.collection", "a.payload")
+
+
+def action_rows(actions: DataFrame, action_type: str, collection: str, schema) -> DataFrame:
+    """Typed rows of one action kind for one table (payload JSON parsed with
+    ``schema``), ready for the bulk insert / patch / delete operators."""
+    sel = actions.where((F.col("type") == action_type) & (F.col("collection") == collection))
+    return sel.select(F.from_json("payload", schema).alias("r")).select("r.*")

@@ -13,7 +13,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ..operators.pricing.carts import build_carts
-from ..operators.pricing.codes import generate_codes
+from ..operators.pricing.codes import generate_codes, validate_codes
 from ..operators.pricing.evaluate import evaluate, rejection, with_defaults
 from ..operators.pricing.values import discount_amount
 
@@ -278,6 +278,64 @@ why AS (
 SELECT cart_id, code, reason FROM why WHERE reason IS NOT NULL
 """
 
+VIP = {"id": "c_vip", "target": {"type": "cart"}, "value": {"type": "percentage", "percentage": 5},
+       "usageLimitPerCustomer": 2, "conditions": [{"type": "minQuantity", "quantity": 100}]}
+
+
+def code_validation(spark, sf_dir):
+    """Batch code validation: generated per-customer codes (some redeemed, some
+    pointing at a removed discount), static codes, the usage ledger from
+    finished orders, conditions over each order's own lines."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    generated = c.select(F.concat(F.lit("VIP-"), F.col("c_custkey").cast("string")).alias("code"),
+                         F.when(F.col("c_nationkey") == 24, F.lit("gone")).otherwise(F.lit("c_vip")).alias("discountId"),
+                         F.when(F.col("c_acctbal") < 0, F.col("c_custkey").cast("string")).alias("usedBy"))
+    usage = o.where(F.col("o_orderstatus") == "F").select(F.lit("c_vip").alias("discountId"),
+                                                          F.col("o_custkey").cast("string").alias("customerId"))
+    prio = F.col("o_orderpriority")
+    code = (F.when(prio == "1-URGENT", F.concat(F.lit("VIP-"), F.col("o_custkey").cast("string")))
+            .when(prio == "2-HIGH", F.lit("HIGH5")).when(prio == "3-MEDIUM", F.lit("high5"))
+            .when(prio == "4-NOT SPECIFIED", F.lit("LIMIT")).otherwise(F.lit("NOTYET")))
+    carts = pricing_carts(spark, sf_dir).select("cart_id", "items")
+    req = o.select(F.col("o_orderkey").alias("cart_id"), code.alias("code"),
+                   F.col("o_custkey").cast("string").alias("customerId"),
+                   F.col("o_orderdate").alias("evaluationDate")).join(carts, "cart_id", "left")
+    out = validate_codes(req, DISCOUNTS + [VIP], generated, usage)
+    return out.select("cart_id", "code", "discountId", "valid", "reason",
+                      F.array_join("conditionsNotMet", ",").alias("conditions_not_met"))
+
+
+CODE_VALIDATION_SQL = """
+WITH uses AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey),
+lq AS (SELECT l_orderkey, sum(l_quantity) AS tq FROM lineitem GROUP BY l_orderkey),
+r AS (
+  SELECT o.o_orderkey AS cart_id, o.o_orderdate AS d, coalesce(lq.tq, 0) AS tq, coalesce(u.n, 0) AS uses,
+         c.c_nationkey, c.c_acctbal,
+         CASE o.o_orderpriority WHEN '1-URGENT' THEN 'VIP-' || CAST(o.o_custkey AS VARCHAR) WHEN '2-HIGH' THEN 'HIGH5'
+              WHEN '3-MEDIUM' THEN 'high5' WHEN '4-NOT SPECIFIED' THEN 'LIMIT' ELSE 'NOTYET' END AS code
+  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+  LEFT JOIN lq ON lq.l_orderkey = o.o_orderkey LEFT JOIN uses u ON u.o_custkey = o.o_custkey),
+v AS (
+  SELECT cart_id, code,
+    CASE WHEN starts_with(code, 'VIP-') THEN CASE WHEN c_nationkey = 24 THEN NULL ELSE 'c_vip' END
+         WHEN code = 'HIGH5' THEN 'c_high' WHEN code = 'LIMIT' THEN 'c_limit' WHEN code = 'NOTYET' THEN 'c_notyet' END
+      AS "discountId",
+    CASE WHEN starts_with(code, 'VIP-') THEN
+           CASE WHEN c_acctbal < 0 THEN 'Code has already been redeemed'
+                WHEN c_nationkey = 24 THEN 'Discount no longer exists'
+                WHEN uses >= 2 THEN 'Customer usage limit reached'
+                WHEN tq < 100 THEN 'Conditions not met' END
+         WHEN code = 'HIGH5' THEN CASE WHEN d > TIMESTAMP '1998-01-01' THEN 'Discount has expired' END
+         WHEN code = 'LIMIT' THEN 'Usage limit reached'
+         WHEN code = 'NOTYET' THEN CASE WHEN d < TIMESTAMP '1999-01-01' THEN 'Discount is not yet active' END
+         ELSE 'Invalid code' END AS reason
+  FROM r)
+SELECT cart_id, code, "discountId", reason IS NULL AS valid, reason,
+       CASE WHEN reason = 'Conditions not met' THEN 'minQuantity' END AS conditions_not_met
+FROM v
+"""
+
 QUERIES = {
     "price_percentage": _single("d_promo20"),
     "price_fixed": _single("d_promo_fixed"),
@@ -292,6 +350,7 @@ QUERIES = {
     "code_reasons": code_reasons,
     "price_best_combination": price_best_combination,
     "codes_generated": codes_generated,
+    "code_validation": code_validation,
 }
 
 ORACLE = {
@@ -306,4 +365,5 @@ ORACLE = {
     "price_all": _drop_cols(_stack_sql("all"), "subtotal", "final_total"),
     "price_totals": _stack_sql("byPriority"),
     "code_reasons": CODE_REASONS_SQL,
+    "code_validation": CODE_VALIDATION_SQL,
 }
