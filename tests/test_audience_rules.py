@@ -87,3 +87,16 @@ def test_streaming_rejects_order_sensitive_steps(cat):
     with pytest.raises(StreamingStepError):
         stream_steps(cat, "s", [{"id": "x", "type": "sort", "config": {"source": "s", "output": "o",
                                                                       "orderBy": [{"field": "value"}]}}])
+
+
+def test_exists_not_equal_reduces_to_aggregate(cat):
+    ctx = cat.spark.createDataFrame([("1", "a"), ("2", "b")], "id string, v string")
+    cat.register("same", cat.spark.createDataFrame([("a",), ("a",)], "v string"))
+    wf = {"steps": [{"id": "x", "type": "condition",
+                     "condition": {"type": "exists", "collection": "same",
+                                   "filter": {"field": "v", "operator": "!=", "value": {"type": "field", "path": "v"}}},
+                     "onTrue": "yes", "onFalse": "no"},
+                    {"id": "yes", "type": "end"}, {"id": "no", "type": "end"}]}
+    out = route(cat, ctx, wf)
+    assert {r["id"]: r["outcome"] for r in out.collect()} == {"1": "no", "2": "yes"}
+    assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()

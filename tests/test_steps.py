@@ -237,3 +237,28 @@ def test_order_sensitive_step_requires_key(cat):
     cat.register("noorder", cat.spark.range(3).withColumn("g", F.lit(1)))
     with pytest.raises(Exception, match="order"):
         run_step(cat, "deduplicate", {"source": "noorder", "output": "o", "keys": ["g"], "keep": "first"})
+
+
+def test_join_on_mismatched_key_types_plans_no_join(cat):
+    reg(cat, "a", [("a1", 1, 1)], "id string, k int, ord int")
+    reg(cat, "b", [("b1", "1", 1)], "id string, k string, ord int")
+    on = [{"leftField": "k", "rightField": "k"}]
+    left = run_step(cat, "join", {"left": "a", "right": "b", "on": on, "type": "left", "output": "l"})
+    full = run_step(cat, "join", {"left": "a", "right": "b", "on": on, "type": "full", "output": "f"})
+    inner = run_step(cat, "join", {"left": "a", "right": "b", "on": on, "type": "inner", "output": "i"})
+    assert rows(left.df, "left_id", "right_id") == [("a1", None)]
+    assert rows(full.df, "left_id", "right_id") == [("a1", None), (None, "b1")]
+    assert inner.df.count() == 0
+    assert "NestedLoop" not in full.df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_dedupe_descending_text_key_without_window(cat):
+    reg(cat, "t", [("a", "k", "x", 1), ("b", "k", "z", 2), ("c", "k", "z", 3), ("d", "m", None, 4)],
+        "id string, g string, s string, ord int")
+    first = run_step(cat, "deduplicate", {"source": "t", "output": "f", "keys": ["g"], "keep": "first",
+                                          "orderBy": {"field": "s", "direction": "desc"}})
+    last = run_step(cat, "deduplicate", {"source": "t", "output": "l", "keys": ["g"], "keep": "last",
+                                         "orderBy": {"field": "s", "direction": "desc"}})
+    assert rows(first.df, "id") == [("b",), ("d",)]
+    assert rows(last.df, "id") == [("a",), ("d",)]
+    assert "Window" not in first.df._jdf.queryExecution().executedPlan().toString()

@@ -27,6 +27,7 @@ from ..functions.values import TypedCol, family, js_number, js_text, literal, re
 from ..sources.catalog import Catalog
 
 MAX_STEPS = 10_000
+EXISTS_BROADCAST_ROWS = 100_000
 
 
 class WorkflowError(ValueError):
@@ -122,7 +123,32 @@ class RuleCompiler:
             v = js_number(val)
             cmp = {">": bound > v, ">=": bound >= v, "<": bound < v, "<=": bound <= v}[op]
             return F.coalesce(cmp & ~F.isnan(v), F.lit(False))
-        return other.where(self.compare(op, field, outer)).exists()
+        if op == "!=":
+            # some row differs from v  <=>  not every row equals v: one-row aggregate
+            comparable = family(field.dtype) == family(val.dtype) and family(field.dtype) not in ("array", "object", "date")
+            stats = other.agg(F.count(F.lit(1)).alias("n"), F.count(field.col).alias("nn"),
+                              F.min(field.col).alias("lo") if comparable else F.lit(None).alias("lo"),
+                              F.max(field.col).alias("hi") if comparable else F.lit(None).alias("hi"))
+            n = stats.select("n").scalar()
+            nn = stats.select("nn").scalar()
+            if val.missing:
+                return F.coalesce(nn > 0, F.lit(False))
+            if not comparable:
+                return F.coalesce(n > 0, F.lit(False))
+            lo, hi = stats.select("lo").scalar(), stats.select("hi").scalar()
+            all_equal = val.col.isNotNull() & (nn == n) & (lo == val.col) & (hi == val.col)
+            all_null = val.col.isNull() & (nn == 0)
+            return F.coalesce((n > 0) & ~(all_equal | all_null), F.lit(False))
+        if op == "==":
+            return other.where(self.compare(op, field, outer)).exists()
+        # substring tests against a per-row value have no equi form: only a
+        # collection of proven small size may be broadcast for them
+        rows = other.limit(EXISTS_BROADCAST_ROWS + 1).count()
+        if rows > EXISTS_BROADCAST_ROWS:
+            raise WorkflowError(
+                f"exists with {op!r} against a context value needs a collection of at most "
+                f"{EXISTS_BROADCAST_ROWS} rows; {c['collection']!r} is larger")
+        return F.broadcast(other).where(self.compare(op, field, outer)).exists()
 
     # -- graph -----------------------------------------------------------------------
     def route(self, workflow: dict) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -117,14 +117,26 @@ def join_step(cat: Catalog, cfg: dict) -> TableInfo:
                        F.lit(True).alias("__rhit"))
     lmap = {c: f"__l{i}" for i, c in enumerate(li.df.columns)}
     rmap = {c: f"__r{i}" for i, c in enumerate(ri.df.columns)}
-    conds = []
+    conds, impossible = [], False
     for on in cfg["on"]:
         lt, rt = resolve(li.df.schema, on["leftField"]), resolve(ri.df.schema, on["rightField"])
         lt = TypedCol(_rebase(lt, li.df.columns, lmap, on["leftField"]), lt.dtype)
         rt = TypedCol(_rebase(rt, ri.df.columns, rmap, on["rightField"]), rt.dtype)
+        if family(lt.dtype) != family(rt.dtype) and not lt.missing and not rt.missing:
+            impossible = True  # strict typing: 1 never equals "1"
         conds.append(_key_match(lt, rt))
-    cond = reduce(lambda a, b: a & b, conds) if conds else F.lit(True)
-    joined = ldf.join(rdf, cond, {"full": "full_outer"}.get(how, how))
+    if impossible:
+        # no pair can match: build the outer rows directly instead of planning
+        # a join whose condition is false (a nested loop over both sides)
+        lnull = [F.lit(None).cast(f.dataType).alias(f.name) for f in rdf.schema.fields]
+        rnull = [F.lit(None).cast(f.dataType).alias(f.name) for f in ldf.schema.fields]
+        left_rows = ldf.select("*", *lnull)
+        right_rows = rdf.select(*rnull, "*")
+        joined = {"inner": left_rows.where(F.lit(False)), "left": left_rows, "right": right_rows,
+                  "full": left_rows.unionByName(right_rows)}[how]
+    else:
+        cond = reduce(lambda a, b: a & b, conds) if conds else F.lit(True)
+        joined = ldf.join(rdf, cond, {"full": "full_outer"}.get(how, how))
 
     sel = cfg.get("select") or {}
     pre = cfg.get("prefix") or {}
@@ -258,21 +270,38 @@ def deduplicate_step(cat: Catalog, cfg: dict) -> TableInfo:
     order = require(_order_of(cfg, src), "deduplicate")
     terms = ([cfg["orderBy"]] if cfg.get("orderBy") else []) + list(order)
     keep = cfg.get("keep", "first")
-    key = order_struct(df, terms)
     gk = [resolve(df.schema, k).col.alias(f"__k{i}") for i, k in enumerate(cfg["keys"])]
+    knames = [f"__k{i}" for i in range(len(gk))]
+    staged = df.select(*[_q(c) for c in df.columns], *gk)
+    eff = [norm_term(t) if keep == "first" else _flip(t) for t in terms]  # "last" = first of the reversed sort
+    # a descending text term cannot be folded into an order struct: narrow the
+    # group to its best value of that term with a hash aggregate + key join
+    # (skew-safe: no window holds a whole group), then continue with the rest
+    while eff and order_struct(staged, eff) is None:
+        t = eff.pop(0)
+        staged = _narrow(staged, knames, t)
     rec = F.struct(*[_q(c) for c in df.columns])
-    if key is not None:
-        pick = F.min_by(rec, key) if keep == "first" else F.max_by(rec, key)
-        out = df.groupBy(*gk).agg(pick.alias("__r")).select("__r.*")
+    if eff:
+        pick = F.min_by(rec, order_struct(staged, eff))
     else:
-        # descending text order cannot be folded into one struct key
-        w = Window.partitionBy(*gk).orderBy(*sort_columns(df, terms))
-        if keep != "first":
-            w = Window.partitionBy(*gk).orderBy(*sort_columns(df, [_flip(t) for t in terms]))
-        out = df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+        pick = F.min(rec)  # the remaining rows tie on every term; any is first
+    out = staged.groupBy(*knames).agg(pick.alias("__r")).select("__r.*")
     return src.with_df(out, name=cfg["output"])
 
 
+def _narrow(df: DataFrame, knames: list[str], t: dict) -> DataFrame:
+    """Keep, per group, only the rows holding the first value of term ``t``."""
+    v = resolve(df.schema, t["field"]).col
+    ext = F.max(v) if t["direction"] == "desc" else F.min(v)
+    best = df.groupBy(*knames).agg(ext.alias("__best"), F.max(v.isNull().cast("int")).alias("__hasnull"))
+    target = (F.when(F.col("__hasnull") == 1, F.lit(None)).otherwise(F.col("__best"))
+              if t["nulls"] == "first" else F.col("__best"))
+    best = best.select(*[F.col(k).alias(f"__b{k}") for k in knames], target.alias("__target"))
+    cond = reduce(lambda a, b: a & b, [df[k].eqNullSafe(best[f"__b{k}"]) for k in knames]) if knames else F.lit(True)
+    joined = df.join(best, cond, "inner")
+    return joined.where(v.eqNullSafe(F.col("__target"))).drop("__target", *[f"__b{k}" for k in knames])
+
+
 def _flip(t):
     t = norm_term(t)
     return {"field": t["field"], "direction": "asc" if t["direction"] == "desc" else "desc",
