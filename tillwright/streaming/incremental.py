@@ -7,10 +7,11 @@
   union, join of two streams) are rejected up front.
 * ``ingest_stream`` is incremental ingest-and-match: every micro-batch runs
   the batch ``ingest_batch`` against the golden table as of that batch and
-  writes new versions of the golden and membership tables under a state
-  folder.  Versions are keyed by the batch id, so a retried batch rewrites
-  the same version (idempotent), and the state folder must be shared storage
-  (by default a folder under the session's ``spark.checkpoint.dir``).
+  writes a delta (re-merged goldens, new links) under a state folder;
+  snapshots compact the deltas now and then.  Versions are keyed by the batch
+  id, so a retried batch rewrites the same version (idempotent), and the
+  state folder must be shared storage (by default a folder under the
+  session's ``spark.checkpoint.dir``).
 """
 
 from __future__ import annotations
@@ -63,51 +64,78 @@ def run_to_table(df: DataFrame, name: str, checkpoint: str | None = None) -> Dat
     return spark.table(name)
 
 
-def _version_path(root: str, table: str, version: int) -> str:
-    return os.path.join(root, table, f"v{version:010d}")
+def _version_path(root: str, table: str, version: int, snapshot: bool = False) -> str:
+    return os.path.join(root, table, f"{'s' if snapshot else 'd'}{version:010d}")
 
 
-def _latest(spark: SparkSession, root: str, table: str):
-    base = os.path.join(root, table)
+def _committed(spark: SparkSession, root: str, table: str) -> list[tuple[int, bool, str]]:
+    """Committed versions ``(version, is_snapshot, path)`` in version order."""
     jvm = spark.sparkContext._jvm
     hconf = spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(base)
-    fs = path.getFileSystem(hconf)
-    if not fs.exists(path):
-        return None
-    versions = sorted(st.getPath().getName() for st in fs.listStatus(path)
-                      if st.getPath().getName().startswith("v")
-                      and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")))
-    return os.path.join(base, versions[-1]) if versions else None
+    base = jvm.org.apache.hadoop.fs.Path(os.path.join(root, table))
+    fs = base.getFileSystem(hconf)
+    if not fs.exists(base):
+        return []
+    out = []
+    for st in fs.listStatus(base):
+        name = st.getPath().getName()
+        if name[:1] in ("s", "d") and name[1:].isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+            out.append((int(name[1:]), name[0] == "s", os.path.join(root, table, name)))
+    return sorted(out)
+
+
+def read_state(spark: SparkSession, root: str, table: str, key: str = "id") -> DataFrame:
+    """Current rows: the latest snapshot plus later deltas, newest version of
+    each key wins (a hash aggregate; no full rewrite per micro-batch)."""
+    versions = _committed(spark, root, table)
+    if not versions:
+        raise FileNotFoundError(f"no committed version of {table} under {root}")
+    snaps = [v for v in versions if v[1]]
+    start = snaps[-1][0] if snaps else -1
+    live = [v for v in versions if (v[1] and v[0] == start) or (not v[1] and v[0] > start)]
+    frames = [spark.read.parquet(path).withColumn("__ver", F.lit(ver)) for ver, _, path in live]
+    allv = frames[0]
+    for f in frames[1:]:
+        allv = allv.unionByName(f)
+    if len(frames) == 1:
+        return allv.drop("__ver")
+    cols = [c for c in allv.columns if c != "__ver"]
+    return (allv.groupBy(key).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in cols]), F.col("__ver")).alias("__r"))
+            .select("__r.*"))
 
 
 def ingest_stream(spark: SparkSession, sources: DataFrame, match_config: dict, survivorship_config: dict,
                   state_dir: str | None = None, golden_seed: DataFrame | None = None,
                   member_seed: DataFrame | None = None, query_name: str | None = None,
-                  available_now: bool = True):
+                  available_now: bool = True, compact_every: int = 20):
     """Start incremental ingest-and-match over the streaming ``sources``.
-    Returns ``(query, state_dir)``; read results with ``read_state``."""
+
+    Each micro-batch writes only the re-merged golden records and the new
+    links as a delta version keyed by the batch id (a retried batch rewrites
+    the same delta); every ``compact_every`` batches a snapshot replaces the
+    chain of deltas.  Returns ``(query, state_dir)``; read with ``read_state``.
+    """
     root = state_dir or os.path.join(checkpoint_dir(spark), f"mdm-state-{uuid.uuid4().hex[:8]}")
-    if golden_seed is not None and _latest(spark, root, "goldens") is None:
-        golden_seed.write.mode("overwrite").parquet(_version_path(root, "goldens", 0))
-        member_seed.write.mode("overwrite").parquet(_version_path(root, "members", 0))
+    if golden_seed is not None and not _committed(spark, root, "goldens"):
+        golden_seed.write.mode("overwrite").parquet(_version_path(root, "goldens", 0, snapshot=True))
+        member_seed.write.mode("overwrite").parquet(_version_path(root, "members", 0, snapshot=True))
 
     def batch(df: DataFrame, epoch: int) -> None:
         if df.isEmpty():
             return
         sp = df.sparkSession
-        gp, mp = _latest(sp, root, "goldens"), _latest(sp, root, "members")
-        goldens = sp.read.parquet(gp)
-        members = sp.read.parquet(mp)
+        goldens = read_state(sp, root, "goldens")
+        members = read_state(sp, root, "members")
         ts = df.agg(F.max("ingestedAt")).first()[0] if "ingestedAt" in df.columns else None
         res = ingest_batch(sp, df.drop("ingestedAt") if "ingestedAt" in df.columns else df, goldens, members,
                            match_config, survivorship_config, ts)
         version = epoch + 1
-        new_gold = goldens.join(res.goldens.select("id"), "id", "left_anti").unionByName(
-            res.goldens.select(*goldens.columns))
-        new_members = members.unionByName(res.sources.select(*members.columns))
-        new_gold.write.mode("overwrite").parquet(_version_path(root, "goldens", version))
-        new_members.write.mode("overwrite").parquet(_version_path(root, "members", version))
+        res.goldens.select(*goldens.columns).write.mode("overwrite").parquet(_version_path(root, "goldens", version))
+        res.sources.select(*members.columns).write.mode("overwrite").parquet(_version_path(root, "members", version))
+        if version % compact_every == 0:
+            for table in ("goldens", "members"):
+                read_state(sp, root, table).write.mode("overwrite").parquet(
+                    _version_path(root, table, version, snapshot=True))
 
     writer = sources.writeStream.foreachBatch(batch).option(
         "checkpointLocation", os.path.join(root, "_checkpoint"))
@@ -116,10 +144,3 @@ def ingest_stream(spark: SparkSession, sources: DataFrame, match_config: dict, s
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start(), root
-
-
-def read_state(spark: SparkSession, root: str, table: str) -> DataFrame:
-    path = _latest(spark, root, table)
-    if path is None:
-        raise FileNotFoundError(f"no committed version of {table} under {root}")
-    return spark.read.parquet(path)
