@@ -113,9 +113,9 @@ def _bundle(v: dict) -> Column:
     return F.when(F.coalesce(ok, F.lit(False)), F.greatest(F.lit(0.0), d)).otherwise(F.lit(0.0))
 
 
-def raw_amount(discount: dict) -> Column:
+def raw_amount(discount: dict, items: Column | None = None) -> Column:
     v = discount["value"]
-    items = eligible_items(discount["target"])
+    items = eligible_items(discount["target"]) if items is None else items
     t = v["type"]
     if t == "percentage":
         return _percentage(v, items)
@@ -135,8 +135,9 @@ def raw_amount(discount: dict) -> Column:
 def discount_amount(discount: dict) -> Column:
     """Amount given to the cart, NULL for none."""
     target = discount["target"]["type"]
-    amount = raw_amount(discount)
+    items = eligible_items(discount["target"])
+    amount = raw_amount(discount, items)
     ok = amount > 0
     if target not in ("cart", "shipping"):
-        ok = ok & (F.size(eligible_items(discount["target"])) > 0)
+        ok = ok & (F.size(items) > 0)
     return F.when(ok, amount)
