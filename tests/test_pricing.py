@@ -143,3 +143,27 @@ def test_code_generation_and_format(spark):
     again = generate_codes(owners, length=6, prefix="SUM-", seed=3).collect()
     assert sorted((r["owner"], r["code"]) for r in again) == sorted((r["owner"], r["code"]) for r in got)
     assert "0" not in "".join(r["code"][4:] for r in got) and "O" not in "".join(r["code"][4:] for r in got)
+
+
+def test_best_subset_fast_path_matches_enumeration():
+    import random
+
+    from tillwright.operators.pricing import evaluate as ev
+
+    rnd = random.Random(5)
+    for _ in range(300):
+        n = rnd.randint(0, 6)
+        es = [{"amount": rnd.choice([None, 1.0, 2.0, 3.5]), "stacking": "stackable",
+               "targetKey": rnd.choice(["cart", "p"])} for _ in range(n)]
+        fast = ev._best_subset(es)
+        # reference enumeration without the fast path
+        combos = [[]]
+        for k in range(n):
+            combos = [c2 for c in combos for c2 in (c, c + [k])]
+        best, total = [], 0.0
+        for combo in combos:
+            chosen = [j for j in combo if es[j]["amount"] is not None]
+            t = sum(es[j]["amount"] for j in chosen)
+            if combo and t > total:
+                best, total = chosen, t
+        assert fast == best
