@@ -121,6 +121,13 @@ def ingest_stream(spark: SparkSession, sources: DataFrame, match_config: dict, s
         member_seed.write.mode("overwrite").parquet(_version_path(root, "members", 0, snapshot=True))
 
     def batch(df: DataFrame, epoch: int) -> None:
+        df = df.persist()  # read the micro-batch once, not once per action
+        try:
+            _ingest(df, epoch)
+        finally:
+            df.unpersist()
+
+    def _ingest(df: DataFrame, epoch: int) -> None:
         if df.isEmpty():
             return
         sp = df.sparkSession
