@@ -195,5 +195,3 @@ def _with_confidence(gold: DataFrame, members: DataFrame, golden_col: str) -> Da
         "sources", F.coalesce(F.col("sources"), F.array().cast(conf.schema["sources"].dataType)))
 
 
-def reduce_and(cols):
-    return reduce(lambda a, b: a & b, cols)
