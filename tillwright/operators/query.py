@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions import predicates as P
 from ..functions.ordering import order_struct, require
-from ..functions.values import TypedCol, family, literal, resolve, two_valued
+from ..functions.values import TypedCol, family, resolve, two_valued
 from ..sources.catalog import Catalog, TableInfo
 
 # Operator keys in the order the original tests them.
@@ -285,5 +285,4 @@ def flatten_struct_columns(df: DataFrame, sep: str = "_") -> DataFrame:
     return df.select(*cols)
 
 
-__all__ = ["FilterCompiler", "find_all", "storage_aggregate", "flatten_struct_columns",
-           "operator_predicate", "literal"]
+__all__ = ["FilterCompiler", "find_all", "storage_aggregate", "flatten_struct_columns", "operator_predicate"]
