@@ -167,3 +167,9 @@ def test_best_subset_fast_path_matches_enumeration():
             if combo and t > total:
                 best, total = chosen, t
         assert fast == best
+
+
+def test_best_combination_single_exclusive_entry(spark):
+    ds = [{"id": "only", "priority": 3, "stacking": "exclusive", **pct(30)}]
+    out = evaluate(carts(spark, [("p", "c", 1.0, 100.0)]), ds, "bestCombination").first()
+    assert [a["discountId"] for a in out["appliedDiscounts"]] == ["only"]

@@ -153,8 +153,16 @@ def _as_timestamp(tc: TypedCol):
 def _date(schema, e):
     op = e["operation"]
     now = F.current_timestamp()
-    ts = _as_timestamp(resolve(schema, e["field"])) if e.get("field") else now
+    src = resolve(schema, e["field"]) if e.get("field") else None
+    ts = _as_timestamp(src) if src is not None else now
     unit = e.get("unit") or "day"
+    # wall-clock (NTZ) inputs give wall-clock outputs, so results never shift
+    # with the reader's time zone
+    ntz = src is not None and isinstance(src.dtype, T.TimestampNTZType)
+
+    def out(c):
+        return TypedCol(c.cast("timestamp_ntz"), T.TimestampNTZType()) if ntz else TypedCol(c, T.TimestampType())
+
     if op == "now":
         return TypedCol(now, T.TimestampType())
     if op == "format":
@@ -165,16 +173,16 @@ def _date(schema, e):
         tc = resolve(schema, e["field"])
         if family(tc.dtype) == "string":
             return TypedCol(F.try_to_timestamp(F.nullif(tc.col, F.lit(""))), T.TimestampType())
-        return TypedCol(_as_timestamp(tc), T.TimestampType())
+        return out(_as_timestamp(tc))
     if op == "add":
-        return TypedCol(dates.add(ts, e.get("amount") or 0, unit), T.TimestampType())
+        return out(dates.add(ts, e.get("amount") or 0, unit))
     if op == "diff":
         other = _as_timestamp(resolve(schema, e["compareTo"])) if e.get("compareTo") else now
         return TypedCol(dates.diff(ts, other, unit), T.LongType())
     if op == "startOf":
-        return TypedCol(dates.start_of(ts, unit), T.TimestampType())
+        return out(dates.start_of(ts, unit))
     if op == "endOf":
-        return TypedCol(dates.end_of(ts, unit), T.TimestampType())
+        return out(dates.end_of(ts, unit))
     return missing()
 
 
