@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..functions.ordering import sort_columns
 from ..operators.steps import run_step
 from ..sources.catalog import Catalog
 
@@ -128,7 +129,9 @@ def preview_step(cat: Catalog, step: dict, limit: int = 10) -> tuple[DataFrame |
         info = run_step(cat, step["type"], cfg)
         df = info.df
         cat.drop_prefixed("_preview_")
-        return df.limit(limit), df.agg(F.count(F.lit(1)).alias("count"))
+        # first rows in table order when the output has one (a bounded top-k)
+        head = df.orderBy(*sort_columns(df, info.order_key)).limit(limit) if info.order_key else df.limit(limit)
+        return head, df.agg(F.count(F.lit(1)).alias("count"))
     except Exception:  # noqa: BLE001 - preview reports emptiness
         cat.drop_prefixed("_preview_")
         return None, None
