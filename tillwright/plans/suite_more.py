@@ -232,7 +232,70 @@ LEFT JOIN LATERAL (SELECT unnest(range(len(g.ks))) AS pos, unnest(g.ks) AS c_cus
 """
 
 
+# -- whole document texts, labels and benchmark ------------------------------------------------
+
+def map_document_text(spark, sf_dir):
+    """String and array expressions over the whole text of every document."""
+    steps = [
+        step(1, "map", source="documents", output="_temp_w", includeOriginal=True, mappings=[
+            {"target": "words", "expression": {"type": "string", "operation": "split", "path": "text", "separator": " "}},
+            {"target": "chars", "expression": {"type": "string", "operation": "length", "path": "text"}}]),
+        step(2, "map", source="_temp_w", output="out", mappings=[
+            {"target": "chars", "expression": {"type": "field", "path": "chars"}},
+            {"target": "n_words", "expression": {"type": "array", "operation": "length", "path": "words"}},
+            {"target": "first_word", "expression": {"type": "array", "operation": "first", "path": "words"}},
+            {"target": "last_word", "expression": {"type": "array", "operation": "last", "path": "words"}},
+            {"target": "lang_up", "expression": {"type": "string", "operation": "upper", "path": "lang"}},
+            {"target": "chars_match", "expression": {"type": "conditional",
+                                                     "condition": {"field": "n_chars", "operator": "eq", "value": 0},
+                                                     "then": {"type": "literal", "value": "empty"},
+                                                     "else": {"type": "field", "path": "source"}}}]),
+    ]
+    return run_steps(spark, sf_dir, steps, "out", ["documents"])
+
+
+MAP_DOCUMENT_TEXT_SQL = """
+SELECT doc_id, CAST(length(text) AS BIGINT) AS chars, CAST(len(string_split(text, ' ')) AS BIGINT) AS n_words,
+       string_split(text, ' ')[1] AS first_word, string_split(text, ' ')[-1] AS last_word,
+       upper(lang) AS lang_up, CASE WHEN n_chars = 0 THEN 'empty' ELSE source END AS chars_match
+FROM documents
+"""
+
+
+def rel_document_labels(spark, sf_dir):
+    """English and French documents whose every label is non-toxic (vacuously
+    true without labels), via the labels -> documents relation."""
+    cat = test_catalog(spark, sf_dir, ("documents", "labels"))
+    from ..operators.query import find_all
+
+    df = find_all(cat, "documents", {"labels": {"every": {"toxic": {"eq": 0}}}, "lang": {"in": ["en", "fr"]}})
+    return df.select("doc_id", "lang", "source", "n_chars")
+
+
+REL_DOCUMENT_LABELS_SQL = """
+SELECT doc_id, lang, source, n_chars FROM documents d
+WHERE lang IN ('en', 'fr')
+  AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND NOT coalesce(l.toxic = 0, false))
+"""
+
+
+def lookup_benchmark(spark, sf_dir):
+    steps = [step(1, "lookup", source="documents", **{"from": "benchmark"}, localField="doc_id",
+                  foreignField="item_id", **{"as": "bench"}, output="out")]
+    df = run_steps(spark, sf_dir, steps, "out", ["documents", "benchmark"])
+    return df.select("doc_id", "lang", F.col("bench.item_id").alias("item_id"), F.col("bench.text").alias("bench_text"))
+
+
+LOOKUP_BENCHMARK_SQL = """
+SELECT d.doc_id, d.lang, b.item_id, b.text AS bench_text
+FROM documents d LEFT JOIN benchmark b ON d.doc_id = b.item_id
+"""
+
+
 QUERIES = {
+    "map_document_text": map_document_text,
+    "rel_document_labels": rel_document_labels,
+    "lookup_benchmark": lookup_benchmark,
     "preview_map_step": preview_map_step,
     "preview_step_count": preview_step_count,
     "report_preview": report_preview,
