@@ -42,3 +42,12 @@ def test_no_row_python_in_native_paths(spark):
 def test_blocked_matching_has_no_cartesian_product(spark):
     p = plan(entry.queries()["mdm_matches"](spark, SF))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+
+
+def test_ingest_queries_link_each_record_to_its_customer(spark):
+    for name in ("mdm_ingest", "stream_ingest"):
+        rows = entry.queries()[name](spark, SF).collect()
+        assert rows, name
+        for r in rows:
+            assert r["goldenRecordId"] == "g-" + r["id"].split("-", 1)[1], (name, r)
+            assert 0.7 <= r["matchScore"] <= 1.0

@@ -84,14 +84,17 @@ def ingest_batch(spark: SparkSession, new_sources: DataFrame, goldens: DataFrame
     assigned = new.join(best, new["id"] == best["__sid"], "left").drop("__sid").checkpoint(eager=True)
     matched = assigned.where(F.col("goldenRecordId").isNotNull())
     unmatched = assigned.where(F.col("goldenRecordId").isNull()).drop("goldenRecordId", "matchScore")
-    pairs = candidate_pairs(unmatched, unmatched, match_config, exclude_self=True, **match_kw)
-    edges = score(pairs, match_config, "source").where("isMatch").select(
-        F.col("sourceRecordId").alias("a"), F.col("matchedRecordId").alias("b"))
-    comps = connected_components(spark, unmatched.select("id"), edges)
-    fresh = (unmatched.join(comps, "id")
-             .withColumn("goldenRecordId", F.concat(F.lit("golden-"), F.col("component").cast("string")))
-             .withColumn("matchScore", F.lit(1.0)).drop("component"))
-    linked = matched.unionByName(fresh).checkpoint(eager=True)
+    if unmatched.isEmpty():  # cheap: ``assigned`` is already materialised
+        linked = matched
+    else:
+        pairs = candidate_pairs(unmatched, unmatched, match_config, exclude_self=True, **match_kw)
+        edges = score(pairs, match_config, "source").where("isMatch").select(
+            F.col("sourceRecordId").alias("a"), F.col("matchedRecordId").alias("b"))
+        comps = connected_components(spark, unmatched.select("id"), edges)
+        fresh = (unmatched.join(comps, "id")
+                 .withColumn("goldenRecordId", F.concat(F.lit("golden-"), F.col("component").cast("string")))
+                 .withColumn("matchScore", F.lit(1.0)).drop("component"))
+        linked = matched.unionByName(fresh).checkpoint(eager=True)
     affected = linked.select("goldenRecordId").distinct()
     old_members = members.join(affected, "goldenRecordId", "left_semi")
     all_members = old_members.unionByName(linked.select(*old_members.columns))

@@ -128,12 +128,14 @@ def ingest_stream(spark: SparkSession, sources: DataFrame, match_config: dict, s
             df.unpersist()
 
     def _ingest(df: DataFrame, epoch: int) -> None:
-        if df.isEmpty():
+        probe = df.agg(F.count(F.lit(1)).alias("n"),
+                       (F.max("ingestedAt") if "ingestedAt" in df.columns else F.lit(None)).alias("ts")).first()
+        if probe["n"] == 0:
             return
         sp = df.sparkSession
         goldens = read_state(sp, root, "goldens")
         members = read_state(sp, root, "members")
-        ts = df.agg(F.max("ingestedAt")).first()[0] if "ingestedAt" in df.columns else None
+        ts = probe["ts"]
         res = ingest_batch(sp, df.drop("ingestedAt") if "ingestedAt" in df.columns else df, goldens, members,
                            match_config, survivorship_config, ts)
         version = epoch + 1
