@@ -51,3 +51,16 @@ def test_ingest_queries_link_each_record_to_its_customer(spark):
         for r in rows:
             assert r["goldenRecordId"] == "g-" + r["id"].split("-", 1)[1], (name, r)
             assert 0.7 <= r["matchScore"] <= 1.0
+
+
+def test_generated_codes_are_unique_and_well_formed(spark):
+    from pyspark.sql import functions as F
+
+    from tillwright.operators.pricing.codes import format_check
+
+    df = entry.queries()["codes_generated"](spark, SF)
+    n_customers = spark.read.parquet(f"{SF}/customer.parquet").count()
+    stats = df.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("code").alias("d"),
+                   F.countDistinct("owner").alias("o"),
+                   F.min(format_check(F.col("code"), 8, prefix="VIP-").cast("int")).alias("ok")).first()
+    assert stats["n"] == stats["d"] == stats["o"] == n_customers and stats["ok"] == 1
