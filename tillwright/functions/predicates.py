@@ -60,21 +60,25 @@ def numeric_cmp(tc: TypedCol, op: str, v, bare: bool = False) -> Column:
     lit = F.lit(v)
     cmp = {"gt": c > lit, "gte": c >= lit, "lt": c < lit, "lte": c <= lit}[op]
     if op in ("gt", "gte") and isinstance(tc.dtype, (T.FloatType, T.DoubleType)):
-        cmp = cmp & ~F.isnan(c)  # Spark sorts NaN above every number
+        # Spark sorts NaN above every number; ``c <= inf`` drops NaN and, unlike
+        # isnan(), still translates into a parquet filter (also inside OR trees)
+        cmp = cmp & (c <= F.lit(float("inf")))
     if isinstance(v, float) and math.isnan(v):
         return FALSE()
     return cmp if bare else two_valued(cmp)
 
 
-def membership(tc: TypedCol, values) -> Column:
-    """``values.includes(x)`` with strict typing; NULL is found by a null entry."""
+def membership(tc: TypedCol, values, bare: bool = False) -> Column:
+    """``values.includes(x)`` with strict typing; NULL is found by a null entry.
+    ``bare`` keeps a plain IN (NULL for NULL input) so it can be pushed down."""
     if not isinstance(values, (list, tuple)):
         return FALSE()
     same = [v for v in values if v is not None and _same_family(tc, v)
             and not (isinstance(v, float) and math.isnan(v))]
     out = FALSE()
     if same:
-        out = two_valued(tc.col.isin(*[literal(v).col for v in same]))
+        isin = tc.col.isin(*[literal(v).col for v in same])
+        out = isin if bare else two_valued(isin)
     if any(v is None for v in values):
         out = out | tc.col.isNull()
     return out
@@ -117,7 +121,7 @@ def condition(schema: T.StructType, cond: dict, allowed=STEP_OPERATORS,
     if op in ("gt", "gte", "lt", "lte"):
         return numeric_cmp(tc, op, v, bare)
     if op == "in":
-        return membership(tc, v)
+        return membership(tc, v, bare)
     if op == "notIn":
         if not isinstance(v, (list, tuple)):
             return FALSE()

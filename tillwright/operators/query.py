@@ -64,7 +64,7 @@ def operator_predicate(tc: TypedCol, op: dict, bare: bool) -> Column:
         if key in ("gt", "gte", "lt", "lte"):
             return P.numeric_cmp(tc, key, v, bare)
         if key == "in":
-            return P.membership(tc, v)
+            return P.membership(tc, v, bare)
         if key == "nin":
             return ~P.membership(tc, v)
         if key in ("contains", "startsWith", "endsWith"):
