@@ -173,3 +173,23 @@ def test_best_combination_single_exclusive_entry(spark):
     ds = [{"id": "only", "priority": 3, "stacking": "exclusive", **pct(30)}]
     out = evaluate(carts(spark, [("p", "c", 1.0, 100.0)]), ds, "bestCombination").first()
     assert [a["discountId"] for a in out["appliedDiscounts"]] == ["only"]
+
+
+def test_native_best_combination_matches_model(spark):
+    import random
+
+    from tillwright.operators.pricing import evaluate as ev
+
+    rnd = random.Random(17)
+    rows = []
+    for _ in range(300):
+        n = rnd.randint(0, 7)
+        rows.append(([(-rnd.randint(0, 3), i, i, rnd.choice([None, 1.0, 2.0, 2.0, 5.0]),
+                       rnd.choice(["stackable", "exclusive", "exclusiveByTarget"]),
+                       rnd.choice(["cart", "product:a", "category:b"]), False) for i in range(n)],))
+    df = spark.createDataFrame(rows, f"entries array<{ev.ENTRY.simpleString()}>")
+    got = df.select("entries", ev.best_combination(F.col("entries")).alias("best")).collect()
+    for r in got:
+        es = [e.asDict() for e in r["entries"]]
+        want = ev._best_subset(es)
+        assert [e["idx"] for e in r["best"]] == [es[j]["idx"] for j in want], es
