@@ -71,6 +71,7 @@ class IngestResult:
 
 def ingest_batch(spark: SparkSession, new_sources: DataFrame, goldens: DataFrame, members: DataFrame,
                  match_config: dict, survivorship_config: dict, batch_ts, **match_kw) -> IngestResult:
+    checkpoint_dir(spark)  # the lineage cuts below need the shared folder
     new = normalise_sources(new_sources, batch_ts)
     if "goldenRecordId" in new.columns:
         new = new.drop("goldenRecordId", "matchScore")
