@@ -139,3 +139,20 @@ def test_ingest_batch(spark):
     assert links["s2"] == "g1"
     assert links["s3"] == links["s4"] == "golden-s3"
     assert res.goldens.count() == 2
+
+
+def test_block_report_counts_candidate_pairs(spark):
+    from tillwright.operators.mdm.match import block_report
+
+    recs = _records(spark, [
+        ("a", "person", "x", "1", ("A", "B", "same@x.com", None), 1.0, T0, T0, None, None),
+        ("b", "person", "x", "2", ("A", "B", "SAME@x.com", None), 1.0, T0, T0, None, None),
+        ("c", "person", "x", "3", ("A", "B", "same@x.com", None), 1.0, T0, T0, None, None),
+        ("d", "person", "x", "4", ("A", "B", "other@x.com", None), 1.0, T0, T0, None, None),
+    ])
+    largest, totals = block_report(recs, MATCH)
+    t = totals.first()
+    assert (t["blocks"], t["records"], t["candidate_pairs"]) == (2, 4, 6)
+    assert largest.first()["records"] == 3
+    pairs = candidate_pairs(recs, recs, MATCH, exclude_self=True).count()
+    assert pairs == t["candidate_pairs"]

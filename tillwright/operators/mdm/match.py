@@ -146,3 +146,27 @@ def score_given_pairs(pairs: DataFrame, sources: DataFrame, targets: DataFrame,
     joined = (pairs.join(s, pairs["sourceRecordId"] == F.col("s.id"))
               .join(t, pairs["targetRecordId"] == F.col("t.id")))
     return score(joined, config, target_type)
+
+
+def block_report(records: DataFrame, config: dict, top: int = 20,
+                 blocking: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Sizes of the blocks ``candidate_pairs`` would join, before joining.
+
+    Returns ``(largest blocks, totals)``: the ``top`` biggest blocks with
+    their record count, and one row with the number of blocks, records and
+    the exact number of directed candidate pairs (sum of n * (n - 1)).  One
+    hash aggregate; use it to spot a block whose pairs would dominate.
+    """
+    keys = [i for i, r in enumerate(config["rules"]) if r in necessary_rules(config)]
+    p = prepare(records, config, "s")
+    cols = [F.col("__set").alias("entityType")]
+    for i in keys:
+        cols.append(F.when(~F.col(f"__sn{i}"), F.col(f"__sf{i}")).cast("string").alias(f"key{i}"))
+    for j, path in enumerate(blocking or []):
+        cols.append(resolve(p.schema, "s." + path).col.cast("string").alias(f"extra{j}"))
+    sel = p.select(*cols)
+    sizes = sel.groupBy(*sel.columns).agg(F.count(F.lit(1)).alias("records"))
+    largest = sizes.orderBy(F.col("records").desc()).limit(top)
+    totals = sizes.agg(F.count(F.lit(1)).alias("blocks"), F.sum("records").alias("records"),
+                       F.sum(F.col("records") * (F.col("records") - 1)).alias("candidate_pairs"))
+    return largest, totals
