@@ -262,3 +262,19 @@ def test_dedupe_descending_text_key_without_window(cat):
     assert rows(first.df, "id") == [("b",), ("d",)]
     assert rows(last.df, "id") == [("a",), ("d",)]
     assert "Window" not in first.df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_step_input_and_output_rows(cat):
+    reg(cat, "a", [("a1", 1, 1), ("a2", 2, 2), ("a3", 3, 3)], "id string, k int, ord int")
+    reg(cat, "b", [("b1", 1, 1)], "id string, k int, ord int")
+    steps = [
+        {"id": "j", "type": "join", "config": {"left": "a", "right": "b", "type": "left", "output": "j",
+                                               "on": [{"leftField": "k", "rightField": "k"}]}},
+        {"id": "u", "type": "union", "config": {"sources": ["a", "b", "a"], "mode": "all", "output": "u"}},
+    ]
+    run = run_pipeline(cat, {"id": "p", "name": "p", "steps": steps}, observe=True)
+    run.outputs["j"].write.format("noop").mode("overwrite").save()
+    run.outputs["u"].write.format("noop").mode("overwrite").save()
+    j, u = run.steps
+    assert (j.input_rows(), j.output_rows()) == (4, 3)
+    assert (u.input_rows(), u.output_rows()) == (7, 7)

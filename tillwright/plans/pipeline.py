@@ -39,12 +39,31 @@ class StepResult:
 
     def output_rows(self) -> int | None:
         """Rows written by the step, once an action has run the output."""
-        if self.observation is None:
-            return None
-        try:
-            return int(self.observation.get.get("rows", 0))
-        except Exception:  # noqa: BLE001 - not yet executed
-            return None
+        return _observed(self.observation)
+
+    def input_rows(self) -> int | None:
+        """Rows read by the step (left + right for a join, the source for a
+        lookup, the sum for a union), once an action has run the output."""
+        counts = [_observed(o) for o in self.input_observations]
+        return None if not counts or any(c is None for c in counts) else sum(counts)
+
+
+def _observed(obs: Observation | None) -> int | None:
+    if obs is None:
+        return None
+    try:
+        return int(obs.get.get("rows", 0))
+    except Exception:  # noqa: BLE001 - not yet executed
+        return None
+
+
+def _inputs(step: dict) -> list[str]:
+    cfg = step["config"]
+    if step["type"] == "join":
+        return [cfg["left"], cfg["right"]]
+    if step["type"] == "union":
+        return list(cfg["sources"])
+    return [cfg["source"]]
 
 
 @dataclass
@@ -96,17 +115,34 @@ def run_pipeline(cat: Catalog, pipeline: dict, continue_on_error: bool = False,
             results.append(StepResult(sid, "skipped"))
             continue
         t0 = time.perf_counter()
+        saved, in_obs = {}, []
         try:
+            if observe:
+                # count each input inside the same plan (restored right after)
+                for name in dict.fromkeys(_inputs(step)):
+                    src = cat.info(name)
+                    o = Observation(f"in_{sid}_{uuid.uuid4().hex[:8]}")
+                    saved[name] = src
+                    cat.put(src.with_df(src.df.observe(o, F.count(F.lit(1)).alias("rows")), name=name))
+                    in_obs.append(o)
+                if step["type"] == "union":  # a source listed twice counts twice
+                    by_name = dict(zip(dict.fromkeys(_inputs(step)), in_obs))
+                    in_obs = [by_name[n] for n in _inputs(step)]
             info = run_step(cat, step["type"], step["config"])
+            for name, src in saved.items():
+                if name != info.name:
+                    cat.put(src)
             obs = None
             if observe:
                 obs = Observation(f"step_{sid}_{uuid.uuid4().hex[:8]}")
                 info.df = info.df.observe(obs, F.count(F.lit(1)).alias("rows"))
                 cat.put(info)
             results.append(StepResult(sid, "completed", info.name, None,
-                                      (time.perf_counter() - t0) * 1000, obs))
+                                      (time.perf_counter() - t0) * 1000, obs, in_obs))
             done.add(sid)
         except Exception as exc:  # noqa: BLE001 - recorded per step
+            for name, src in saved.items():
+                cat.put(src)
             failed = True
             error = f"{type(exc).__name__}: {exc}"
             results.append(StepResult(sid, "failed", step["config"].get("output"), error,
