@@ -156,3 +156,15 @@ def test_block_report_counts_candidate_pairs(spark):
     assert largest.first()["records"] == 3
     pairs = candidate_pairs(recs, recs, MATCH, exclude_self=True).count()
     assert pairs == t["candidate_pairs"]
+
+
+def test_active_config_selection():
+    from tillwright.operators.mdm.match import active_config
+
+    cfgs = [{"entityType": "person", "active": False, "rules": [], "threshold": 0.9},
+            {"entityType": "person", "rules": [{"field": "email", "type": "exact", "weight": 1}]},
+            {"entityType": "person", "rules": [], "threshold": 0.1}]
+    assert active_config(cfgs, "person")["threshold"] == 0.7
+    assert active_config([{"entityType": "person"}], "person", "survivorship")["defaultStrategy"] == "mostRecent"
+    with pytest.raises(MatchConfigError):
+        active_config(cfgs, "company")

@@ -170,3 +170,18 @@ def block_report(records: DataFrame, config: dict, top: int = 20,
     totals = sizes.agg(F.count(F.lit(1)).alias("blocks"), F.sum("records").alias("records"),
                        F.sum(F.col("records") * (F.col("records") - 1)).alias("candidate_pairs"))
     return largest, totals
+
+
+def active_config(configs: list[dict], entity_type: str, kind: str = "match") -> dict:
+    """The first active configuration of an entity type, with the original's
+    defaults (match threshold 0.7, survivorship strategy ``mostRecent``)."""
+    for c in configs:
+        if c.get("entityType") == entity_type and c.get("active", True):
+            out = dict(c)
+            if kind == "match":
+                out.setdefault("threshold", DEFAULT_THRESHOLD)
+            else:
+                out.setdefault("defaultStrategy", "mostRecent")
+                out.setdefault("rules", [])
+            return out
+    raise MatchConfigError(f"no active {kind} configuration for entity type {entity_type!r}")
