@@ -130,3 +130,37 @@ def test_insert_replace_patch_delete(spark):
     rem, report = tables.delete(t, spark.createDataFrame([(1,), (5,)], "k long"), "k")
     assert [r["k"] for r in rem.collect()] == [2]
     assert sorted((r["k"], r["existed"]) for r in report.collect()) == [(1, True), (5, False)]
+
+
+def test_validation_keywords(spark):
+    schema = {"type": "object", "required": ["code"], "additionalProperties": False, "properties": {
+        "code": {"type": "string", "minLength": 3, "maxLength": 5, "pattern": "^[A-Z]+$"},
+        "kind": {"type": "string", "enum": ["a", "b"]},
+        "n": {"type": "integer", "exclusiveMinimum": 0, "maximum": 10},
+        "tags": {"type": "array", "items": {"type": "string"}},
+        "nums": {"type": "array", "items": {"type": "string"}}}}
+    df = spark.createDataFrame([
+        ("ABC", "a", 5.0, ["x"], [], None),       # valid (empty array has no wrong item)
+        ("AB", "a", 5.0, None, None, None),       # too short
+        ("ABCDEF", "a", 5.0, None, None, None),   # too long
+        ("abc", "a", 5.0, None, None, None),      # pattern
+        ("ABC", "c", 5.0, None, None, None),      # enum
+        ("ABC", "a", 2.5, None, None, None),      # integer
+        ("ABC", "a", 0.0, None, None, None),      # exclusiveMinimum
+        ("ABC", "a", 11.0, None, None, None),     # maximum
+        (None, "a", 1.0, None, None, None),       # required
+        ("ABC", "a", 1.0, None, [1], None),       # items type
+        ("ABC", "a", 1.0, None, None, "extra"),   # additional property
+    ], "code string, kind string, n double, tags array<string>, nums array<int>, other string")
+    got = [r["error"] for r in tables.validate(df, schema).collect()]
+    assert got == [None,
+                   "data/code must NOT have fewer than 3 characters",
+                   "data/code must NOT have more than 5 characters",
+                   'data/code must match pattern "^[A-Z]+$"',
+                   "data/kind must be equal to one of the allowed values",
+                   "data/n must be integer",
+                   "data/n must be > 0",
+                   "data/n must be <= 10",
+                   "data must have required property 'code'",
+                   "data/nums/0 must be string",
+                   "data must NOT have additional properties"]
