@@ -64,3 +64,20 @@ def test_generated_codes_are_unique_and_well_formed(spark):
                    F.countDistinct("owner").alias("o"),
                    F.min(format_check(F.col("code"), 8, prefix="VIP-").cast("int")).alias("ok")).first()
     assert stats["n"] == stats["d"] == stats["o"] == n_customers and stats["ok"] == 1
+
+
+def test_bench_prints_one_json_line():
+    import json
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = dict(os.environ, BENCH_SF_DIR=SF, BENCH_CPUS="2")
+    out = subprocess.run([sys.executable, os.path.join(root, "bench.py"), "sales_by_nation", "filter_regex"],
+                         capture_output=True, text=True, env=env, timeout=600, check=True)
+    lines = [ln for ln in out.stdout.splitlines() if ln.strip()]
+    assert len(lines) == 1
+    d = json.loads(lines[0])
+    assert {"metric", "value", "unit", "queries", "sf"} <= set(d) and d["unit"] == "sec"
+    assert set(d["queries"]) == {"sales_by_nation", "filter_regex"} and d["sf"] == 0.001
