@@ -96,3 +96,57 @@ def test_substring_and_slice_match_model(spark):
             spec["end"] = b
         got = arr.select(compile_expr(arr.schema, spec).col.alias("v")).first()["v"]
         assert got == [1, 2, 3, 4, 5][a:b], (a, b)
+
+
+def _model(x, op, v):
+    """The original's step predicate on a typed cell (None = NULL/missing)."""
+    isnum = lambda a: isinstance(a, (int, float)) and not isinstance(a, bool)
+    if op == "eq":
+        return (x is None and v is None) or (x is not None and type(x) is not bool and (
+            (isinstance(x, str) and isinstance(v, str) and x == v) or (isnum(x) and isnum(v) and x == v)))
+    if op == "ne":
+        return not _model(x, "eq", v)
+    if op in ("gt", "gte", "lt", "lte"):
+        if not (isnum(x) and isnum(v)):
+            return False
+        return {"gt": x > v, "gte": x >= v, "lt": x < v, "lte": x <= v}[op]
+    if op == "in":
+        return any(_model(x, "eq", e) for e in v)
+    if op == "notIn":
+        return not any(_model(x, "eq", e) for e in v)
+    if op in ("contains", "startsWith", "endsWith"):
+        if not (isinstance(x, str) and isinstance(v, str)):
+            return False
+        return {"contains": v in x, "startsWith": x.startswith(v), "endsWith": x.endswith(v)}[op]
+    if op == "exists":
+        return x is not None
+    if op == "isNull":
+        return x is None
+    raise ValueError(op)
+
+
+def test_filter_predicates_match_model(cat):
+    from tillwright.operators.steps import run_step
+
+    rnd = random.Random(23)
+    texts = [None, "", "ab", "abc", "b", "xa"]
+    nums = [None, -1.5, 0.0, 2.0, 3.0]
+    rows = [(str(i), rnd.choice(texts), rnd.choice(nums), i) for i in range(60)]
+    cat.register("t", cat.spark.createDataFrame(rows, "id string, s string, d double, ord int"), order_key=("ord",))
+    values = [None, "ab", "a", "", 2, 2.0, 0, -1.5, "2"]
+    ops = ["eq", "ne", "gt", "gte", "lt", "lte", "in", "notIn", "contains", "startsWith", "endsWith",
+           "exists", "isNull"]
+    for trial in range(40):
+        conds = []
+        for _ in range(rnd.randint(1, 3)):
+            op = rnd.choice(ops)
+            v = rnd.sample(values, 3) if op in ("in", "notIn") else rnd.choice(values)
+            conds.append({"field": rnd.choice(["s", "d"]), "operator": op, "value": v})
+        logic = rnd.choice(["and", "or"])
+        out = run_step(cat, "filter", {"source": "t", "output": f"o{trial}", "conditions": conds,
+                                       "conditionLogic": logic})
+        got = sorted(r["id"] for r in out.df.collect())
+        col = {"s": 1, "d": 2}
+        agg = all if logic == "and" else any
+        want = sorted(r[0] for r in rows if agg(_model(r[col[c["field"]]], c["operator"], c["value"]) for c in conds))
+        assert got == want, (conds, logic)
