@@ -150,3 +150,60 @@ def test_filter_predicates_match_model(cat):
         agg = all if logic == "and" else any
         want = sorted(r[0] for r in rows if agg(_model(r[col[c["field"]]], c["operator"], c["value"]) for c in conds))
         assert got == want, (conds, logic)
+
+
+_CHAIN = ["eq", "ne", "gt", "gte", "lt", "lte", "in", "nin", "contains", "startsWith", "endsWith"]
+
+
+def _op_model(x, op: dict) -> bool:
+    isnum = lambda a: isinstance(a, (int, float)) and not isinstance(a, bool)
+    for k in _CHAIN:  # first operator in chain order wins
+        if k in op:
+            v = op[k]
+            if k in ("eq", "ne", "in", "contains", "startsWith", "endsWith"):
+                base = {"eq": "eq", "ne": "ne", "in": "in", "contains": "contains",
+                        "startsWith": "startsWith", "endsWith": "endsWith"}[k]
+                return _model(x, base, v)
+            if k == "nin":
+                return _model(x, "notIn", v)
+            return isnum(x) and isnum(v) and {"gt": x > v, "gte": x >= v, "lt": x < v, "lte": x <= v}[k]
+    return False
+
+
+def _tree_model(row: dict, flt: dict) -> bool:
+    if "and" in flt:
+        return all(_tree_model(row, f) for f in flt["and"])
+    if "or" in flt:
+        return any(_tree_model(row, f) for f in flt["or"])
+    return all(_op_model(row.get(k), op) for k, op in flt.items())
+
+
+def test_filter_trees_match_model(cat):
+    from tillwright.operators.query import find_all
+
+    rnd = random.Random(29)
+    rows = [{"id": str(i), "s": rnd.choice([None, "ab", "abc", "b"]), "d": rnd.choice([None, 0.0, 1.5, 3.0])}
+            for i in range(50)]
+    cat.register("t", cat.spark.createDataFrame([(r["id"], r["s"], r["d"]) for r in rows],
+                                                "id string, s string, d double"), order_key=("id",))
+
+    def leaf():
+        field = rnd.choice(["s", "d"])
+        ops = {}
+        for _ in range(rnd.choice([1, 1, 1, 2])):
+            k = rnd.choice(_CHAIN)
+            ops[k] = rnd.sample(["ab", 1.5, None, "b"], 2) if k in ("in", "nin") else rnd.choice(["ab", "a", 1.5, 0, None])
+        return {field: ops}
+
+    def tree(depth):
+        r = rnd.random()
+        if depth == 0 or r < 0.4:
+            return leaf()
+        kids = [tree(depth - 1) for _ in range(rnd.randint(0, 3))]
+        return {"and": kids} if r < 0.7 else {"or": kids}
+
+    for _ in range(40):
+        flt = tree(3)
+        got = sorted(r["id"] for r in find_all(cat, "t", flt).collect())
+        want = sorted(r["id"] for r in rows if _tree_model(r, flt))
+        assert got == want, flt
