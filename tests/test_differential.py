@@ -207,3 +207,64 @@ def test_filter_trees_match_model(cat):
         got = sorted(r["id"] for r in find_all(cat, "t", flt).collect())
         want = sorted(r["id"] for r in rows if _tree_model(r, flt))
         assert got == want, flt
+
+
+def _js_number(x):
+    if x is None:
+        return float("nan")  # typed NULL counts as missing
+    if isinstance(x, bool):
+        return 1.0 if x else 0.0
+    if isinstance(x, (int, float)):
+        return float(x)
+    t = x.strip()
+    if t == "":
+        return 0.0
+    try:
+        return float(t)
+    except ValueError:
+        return float("nan")
+
+
+def _js_string(x):
+    if x is None:
+        return "null"
+    if isinstance(x, bool):
+        return "true" if x else "false"
+    if isinstance(x, float):
+        return js_number_text(x)
+    return str(x)
+
+
+def _compare_model(op, a, b):
+    import math
+
+    if op in (">", ">=", "<", "<="):
+        x, y = _js_number(a), _js_number(b)
+        if math.isnan(x) or math.isnan(y):
+            return False
+        return {">": x > y, ">=": x >= y, "<": x < y, "<=": x <= y}[op]
+    sa, sb = _js_string(a), _js_string(b)
+    return {"contains": sb in sa, "startsWith": sa.startswith(sb), "endsWith": sa.endswith(sb)}[op]
+
+
+def test_workflow_compare_coercion_matches_model(cat):
+    from tillwright.operators.rules import route
+
+    rnd = random.Random(31)
+    rows = [(str(i), rnd.choice([None, "", " 12 ", "abc", "3.5", "-1"]), rnd.choice([None, 0.0, 3.5, 12.0, -2.0]))
+            for i in range(40)]
+    ctx = cat.spark.createDataFrame(rows, "id string, s string, d double")
+    for op in (">", ">=", "<", "<=", "contains", "startsWith", "endsWith"):
+        for left, right in (("s", "d"), ("d", "s"), ("s", None)):
+            const = rnd.choice(["1", 3.5, "", 12])
+            rv = {"type": "field", "path": right} if right else {"type": "constant", "value": const}
+            wf = {"steps": [{"id": "c", "type": "condition",
+                             "condition": {"type": "compare", "left": {"type": "field", "path": left},
+                                           "operator": op, "right": rv},
+                             "onTrue": "y", "onFalse": "n"},
+                            {"id": "y", "type": "end"}, {"id": "n", "type": "end"}]}
+            got = {r["id"]: r["outcome"] == "y" for r in route(cat, ctx, wf).collect()}
+            col = {"s": 1, "d": 2}
+            for r in rows:
+                b = r[col[right]] if right else const
+                assert got[r[0]] == _compare_model(op, r[col[left]], b), (op, left, right, r, b)
