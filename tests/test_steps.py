@@ -278,3 +278,15 @@ def test_step_input_and_output_rows(cat):
     j, u = run.steps
     assert (j.input_rows(), j.output_rows()) == (4, 3)
     assert (u.input_rows(), u.output_rows()) == (7, 7)
+
+
+def test_sort_and_dedupe_with_unicode_collation(cat):
+    reg(cat, "names", [("1", "b", "g", 1), ("2", "A", "g", 2), ("3", "a", "g", 3), ("4", "B", "g", 4),
+                       ("5", "C", "g", 5)], "id string, name string, g string, ord int")
+    run_step(cat, "sort", {"source": "names", "output": "s",
+                           "orderBy": [{"field": "name", "direction": "asc", "collation": "UNICODE"}]})
+    out = run_step(cat, "limit", {"source": "s", "output": "l", "limit": 10})
+    assert [r["name"] for r in out.df.collect()] == ["a", "A", "b", "B", "C"]  # like localeCompare
+    first = run_step(cat, "deduplicate", {"source": "names", "output": "d", "keys": ["g"], "keep": "last",
+                                          "orderBy": {"field": "name", "direction": "asc", "collation": "UNICODE"}})
+    assert [r["name"] for r in first.df.collect()] == ["C"]

@@ -33,10 +33,19 @@ def norm_term(t) -> dict:
     return d
 
 
+def term_column(df: DataFrame, t: dict) -> Column:
+    """The term's column; text terms with a ``collation`` (e.g. ``UNICODE``,
+    which orders like ``localeCompare``: a < A < b) compare under it."""
+    tc = resolve(df.schema, t["field"])
+    if t.get("collation") and family(tc.dtype) == "string":
+        return F.collate(tc.col, t["collation"])
+    return tc.col
+
+
 def sort_columns(df: DataFrame, terms) -> list[Column]:
     out = []
     for t in map(norm_term, terms):
-        c = resolve(df.schema, t["field"]).col
+        c = term_column(df, t)
         first = t["nulls"] == "first"
         if t["direction"] == "desc":
             out.append(c.desc_nulls_first() if first else c.desc_nulls_last())
@@ -63,6 +72,8 @@ def order_struct(df: DataFrame, terms, reverse: bool = False) -> Column | None:
     null placement included.  ``None`` when a term cannot be encoded."""
     parts = []
     for i, t in enumerate(map(norm_term, terms)):
+        if t.get("collation"):
+            return None  # collated text is compared by the narrowing path
         tc = resolve(df.schema, t["field"])
         desc = (t["direction"] == "desc") != reverse
         nulls_first = (t["nulls"] == "first") != reverse

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from ..functions import predicates as P
 from ..functions.aggregates import agg_column
 from ..functions.expressions import compile_expr
-from ..functions.ordering import norm_term, order_struct, require, sort_columns
+from ..functions.ordering import norm_term, order_struct, require, sort_columns, term_column
 from ..functions.values import TypedCol, family, js_text, resolve
 from ..sources.catalog import Catalog, TableInfo
 
@@ -291,7 +291,7 @@ def deduplicate_step(cat: Catalog, cfg: dict) -> TableInfo:
 
 def _narrow(df: DataFrame, knames: list[str], t: dict) -> DataFrame:
     """Keep, per group, only the rows holding the first value of term ``t``."""
-    v = resolve(df.schema, t["field"]).col
+    v = term_column(df, t)
     ext = F.max(v) if t["direction"] == "desc" else F.min(v)
     best = df.groupBy(*knames).agg(ext.alias("__best"), F.max(v.isNull().cast("int")).alias("__hasnull"))
     target = (F.when(F.col("__hasnull") == 1, F.lit(None)).otherwise(F.col("__best"))
@@ -304,7 +304,7 @@ def _narrow(df: DataFrame, knames: list[str], t: dict) -> DataFrame:
 
 def _flip(t):
     t = norm_term(t)
-    return {"field": t["field"], "direction": "asc" if t["direction"] == "desc" else "desc",
+    return {**t, "direction": "asc" if t["direction"] == "desc" else "desc",
             "nulls": "first" if t["nulls"] == "last" else "last"}
 
 
