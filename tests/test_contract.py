@@ -81,3 +81,25 @@ def test_bench_prints_one_json_line():
     d = json.loads(lines[0])
     assert {"metric", "value", "unit", "queries", "sf"} <= set(d) and d["unit"] == "sec"
     assert set(d["queries"]) == {"sales_by_nation", "filter_regex"} and d["sf"] == 0.001
+
+
+def test_python_udf_query_runs_without_the_package_on_workers():
+    """Executors import nothing from the repository: run from another folder."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        "import importlib.util\n"
+        "from pyspark.sql import SparkSession\n"
+        "spark = SparkSession.builder.master('local[2]').getOrCreate()\n"
+        f"spec = importlib.util.spec_from_file_location('e', '{root}/__spark_entry__.py')\n"
+        "m = importlib.util.module_from_spec(spec); spec.loader.exec_module(m)\n"
+        f"print(len(m.queries()['price_best_combination'](spark, '{SF}').collect()))\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd="/tmp", capture_output=True, text=True,
+                         env=env, timeout=600)
+    assert out.returncode == 0, out.stderr[-2000:]
+    assert int(out.stdout.strip().splitlines()[-1]) > 0
