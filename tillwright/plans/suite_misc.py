@@ -281,7 +281,23 @@ SELECT c_custkey, ord, reason FROM r WHERE reason IS NOT NULL
 """
 
 
+def lookup_by_keys(spark, sf_dir):
+    """Point lookups in bulk: the customers named by the keys of urgent pending orders."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    keys = o.where((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "P")).select(
+        F.col("o_custkey").alias("c_custkey"))
+    return tables.find_by_ids(c, keys, "c_custkey")
+
+
+LOOKUP_BY_KEYS_SQL = """
+SELECT * FROM customer WHERE c_custkey IN (
+  SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P')
+"""
+
+
 QUERIES = {
+    "lookup_by_keys": lookup_by_keys,
     "campaign_preview": campaign_preview,
     "render_messages": render_messages,
     "extract_variables": extract_variables,
