@@ -16,8 +16,9 @@ from tillwright.session import checkpoint_dir
 # executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Rows of an Arrow batch: bounds a Python worker's memory when texts are long.
-BATCH_ROWS = 512
+# Rows and bytes of an Arrow batch: they bound a Python worker's memory when texts are long.
+BATCH_ROWS = 2000
+BATCH_BYTES = 64 << 20
 
 # ASCII white space that separates words, and the same as a regex class body.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -32,6 +33,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Bound the rows handed to a Python worker at once."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def written(df: DataFrame, label: str, **options) -> DataFrame:

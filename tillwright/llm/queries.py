@@ -12,11 +12,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwright.llm import packing, planes
+from tillwright.llm import cover, licences, lines, minmax, packing, planes, quality, quotes, urls, wumanber
 from tillwright.llm.common import table
 from tillwright.session import checkpoint_dir
 
 
+def op1_licence_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences that the sentences of each document name."""
+    found = licences.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.size("sentence_ids").cast("long").alias("n_sentences"), F.array_join("sentence_ids", ",").alias("sentence_ids"),
+                        F.array_join("licences", ",").alias("licences"), "n_unused")
+
+
+def op2_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as mail that quotes the turns before, linked again and read without quotes."""
+    found = quotes.linked(quotes.quoting(table(spark, sf_dir, "conversations")))
+    return found.select(F.col("scope").cast("long").alias("conv_id"), F.col("message_id").alias("turn"), F.col("parent").alias("parent_turn"),
+                        F.col("root").alias("root_turn"), "depth", "n_quoted", F.md5("own").alias("own_md5"))
+
+
 def op3_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as byte planes of token ids, read back from the written segments."""
     path = f"{checkpoint_dir(spark)}/llm-planes-{uuid.uuid4().hex}"
@@ -25,6 +39,26 @@ def op3_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.read_documents(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op4_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the words of repeated 35-word windows."""
+    found = cover.remove_repeats(table(spark, sf_dir, "documents"), length=35)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op5_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents inside 10-word windows of test items."""
+    found = wumanber.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    hit = F.aggregate(F.transform("spans", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda a, x: a + x)
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+
+
+def op6_min_max_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingle sets are 85 % alike."""
+    found = minmax.near_duplicates(table(spark, sf_dir, "documents"), width=3, num=85, den=100)
+    return found.select("doc_id", "n_shingles", "component_id", "kept", "n_links")
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """Packing with the production parameters, ids as a CRC."""
     pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
@@ -37,9 +71,25 @@ def op7_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {
-    "op3_token_planes": op3_token_planes,
-    "op7_vector_packing": op7_vector_packing,
-}
+def op8_line_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines found in ten documents or more."""
+    docs = table(spark, sf_dir, "documents")
+    found = lines.with_bitmaps(docs, lines.keep_bitmaps(docs, min_docs=10, min_chars=1))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op9_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base features and verdict of the rule cascade for every document."""
+    return quality.judged(table(spark, sf_dir, "documents"))
+
+
+def op10_url_associations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of listed and mined rules for every page."""
+    return urls.judged(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_licence_scans, op2_quotation_linking, op3_token_planes, op4_difference_cover, op5_wu_manber, op6_min_max_hashing,
+    op7_vector_packing, op8_line_bitmaps, op9_quality_cascade, op10_url_associations)}
 
 ORACLE: dict[str, str] = {}
