@@ -19,10 +19,11 @@ def components(edges: DataFrame, a: str, b: str, write: Callable[[DataFrame, str
     """``node``, ``root`` for every node of the edges; equal roots are one component.
 
     ``write`` stores a table in the cluster's shared folder and reads it back.
-    Rows with a null end are ignored.
+    ``edges`` should be a written table itself, as it is read several times; rows
+    with a null end are ignored.
     """
     rank = lambda c: F.struct(F.xxhash64(c).alias("h"), c.alias("n"))
-    graph = write(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u is not null and v is not null"), "edges")
+    graph = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u is not null and v is not null")
     found = None
     while True:
         both = graph.select("u", "v").union(graph.select(F.col("v"), F.col("u")))
@@ -30,11 +31,11 @@ def components(edges: DataFrame, a: str, b: str, write: Callable[[DataFrame, str
                        .select("u", F.least(F.col("m"), rank(F.col("u")))["n"].alias("to")), "joined")
         if found is None:
             found = joined.select(F.col("u").alias("node"), F.col("to").alias("root"))
-        else:
+        else:  # a join of written tables, one a round
             nxt = joined.select(F.col("u").alias("root"), "to")
-            found = write(found.join(nxt, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
+            found = found.join(nxt, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
         left, right = (joined.select(F.col("u").alias(x), F.col("to").alias(y)) for x, y in (("u", "x"), ("v", "y")))
         graph = write(graph.join(left, "u").join(right, "v").filter("x <> y")
                       .select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct(), "edges")
         if graph.isEmpty():
-            return found
+            return write(found, "roots")
