@@ -9,8 +9,8 @@ Documents with equal sets are one class from the start.  Inside a bucket no
 pairs are listed: its smallest class is the hub, every member is compared with
 the hub, and components are formed.  While a bucket still has members in
 different components, members outside its largest component become the next
-hubs (``HUBS`` at most a bucket and round, chosen by hash), until each pair of
-a bucket is compared or in one component.  So nothing that shares a bucket is
+hubs (all of them if there are ``HUBS`` or fewer, else about as many, chosen by
+hash), until each pair of a bucket is compared or in one component.  So nothing that shares a bucket is
 lost, and a group of thousands of near copies costs one comparison a member.
 A pair at 80 % shares no bucket with a probability of 3e-6, one at 85 % of 7e-9.
 
@@ -24,6 +24,7 @@ together; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import sys
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -138,22 +139,36 @@ def near_duplicates(docs: DataFrame, width: int = 3, num: int = 85, den: int = 1
     near = lambda x, y: (F.col(x) * den >= F.col(y) * num) & (F.col(y) * den >= F.col(x) * num)
     links = confirmed(first.filter(near("na", "nb")).select("a", "b"))
     done = members.filter("node = hub").select("band", "h", "node")
+    all_links = [links]
+    roots = components(links, "a", "b", written)
     while True:
-        roots = components(links, "a", "b", written)
         now = members.join(roots, "node", "left").select("band", "h", "node", "n", F.coalesce("root", "node").alias("root"))
         mixed_ = (now.groupBy("band", "h", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("band", "h")
-                  .agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("c", "root")).alias("largest")).filter("roots > 1").drop("roots"))
+                  .agg(F.sum("c").alias("c"), F.max(F.struct("c", "root")).alias("l")).filter("c > l.c")
+                  .select("band", "h", F.col("l.root").alias("largest"), (F.col("c") - F.col("l.c")).alias("others")))
         now = written(now.join(mixed_, ["band", "h"]).join(done, ["band", "h", "node"], "left_anti"), "open")
-        hubs = (now.filter("root <> largest").groupBy("band", "h", F.pmod(F.xxhash64("node"), F.lit(HUBS)).alias("slot"))
-                .agg(F.min(F.struct("node", "n", "root")).alias("x")).select("band", "h", "x.*"))
-        hubs = written(hubs, "hubs")
+        # all members outside the largest component if they are few, or some of them by hash
+        slot = F.when(F.col("others") <= HUBS, F.xxhash64("node")).otherwise(F.pmod(F.xxhash64("node"), F.lit(HUBS)))
+        hubs = written(now.filter("root <> largest").groupBy("band", "h", slot.alias("slot"))
+                       .agg(F.min(F.struct("node", "n", "root")).alias("x")).select("band", "h", "x.*"), "hubs")
         if hubs.isEmpty():
             break
         done = done.union(hubs.select("band", "h", "node"))
         other = now.select("band", "h", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
         pairs = (hubs.withColumnsRenamed({"node": "a", "n": "na", "root": "ra"}).join(other, ["band", "h"]).filter("ra <> rb").filter(near("na", "nb"))
                  .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        links = links.union(confirmed(pairs))
+        new = confirmed(pairs)
+        if new.isEmpty():
+            continue
+        all_links.append(new)
+        to_a, to_b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
+        between = written(new.join(to_a, "a", "left").join(to_b, "b", "left")
+                          .select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).filter("a <> b").distinct(), "between")
+        merged = components(between, "a", "b", written)
+        # nodes known before follow their root; nodes linked only now come from ``between``
+        old = roots.join(merged.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+        roots = written(old.unionByName(merged.join(roots, "node", "left_anti")), "roots")
+    links = reduce(DataFrame.unionByName, all_links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     rooted = classes.select("node", "id").join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
