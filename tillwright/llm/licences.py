@@ -1,7 +1,7 @@
 """Operator 1: licence recognition by sentence rules.
 
 Texts are cut into sentences, sentences are normalised (A-Z in lower case,
-comment marks and punctuation off, numbers replaced by ``#``) and looked up in
+comment marks and punctuation off, numbers replaced by ``0``) and looked up in
 a table of known licence sentences.  The identifiers found in a document, in
 order, form a sequence; ordered licence rules are matched against it, each
 consuming the identifiers it names, longer rules before shorter ones.
@@ -85,8 +85,8 @@ ENDS = r"\n|[.;:!?]+(?=\s|$)"
 
 
 def normalised(sentence: Column) -> Column:
-    plain = F.regexp_replace(lower_ascii(sentence), r"[0-9]+(\.[0-9]+)*", "#")
-    return F.btrim(F.regexp_replace(plain, r"[^a-z#\x{80}-\x{10ffff}]+", " "))
+    plain = F.regexp_replace(lower_ascii(sentence), r"[0-9]+(\.[0-9]+)*", "0")
+    return F.btrim(F.regexp_replace(plain, r"[^a-z0\x{80}-\x{10ffff}]+", " "))
 
 
 def matched(ids: list[str], rules) -> tuple[list[str], int]:

@@ -29,6 +29,7 @@ import pandas as pd
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tillwright.llm.common import SPACE_CHARS, lower_ascii, row_key, small_batches, written
 
@@ -129,7 +130,7 @@ def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, carried: tuple[str, ...] =
                          F.coalesce("n_dropped", F.lit(0).cast("long")).alias("n_dropped"), kept.alias("kept"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _apply(texts: pd.Series, keeps: pd.Series) -> pd.Series:
     out = []
     for text, keep in zip(texts, keeps, strict=True):

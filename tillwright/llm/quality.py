@@ -29,6 +29,7 @@ from tillwright.llm.common import SPACE_CHARS, SPACE_CLASS
 
 # Documents of the sample that orders the rules; it never changes a verdict.
 SAMPLE_DOCS = 500
+SAMPLE_CHARS = 50_000
 
 SYMBOLS = "#*$%&|<>"
 
@@ -151,10 +152,12 @@ def measure(docs: DataFrame, rules: Iterable[Rule] = RULES, text: str = "text",
             clock: Callable[[], float] = time.perf_counter) -> list[Measured]:
     """Selectivity and cost of each rule on a bounded sample, best gain first.
 
-    The sample is the first ``sample_docs`` documents that Spark finds, read
-    once; on an empty table the rules keep their order.
+    The sample is the first ``sample_docs`` documents of at most
+    ``SAMPLE_CHARS`` that Spark finds, so it has a bounded size; on an empty
+    table the rules keep their order.
     """
-    sample = docs.select(F.col(text).alias("_text")).limit(sample_docs).cache()
+    found = docs.select(F.col(text).alias("_text")).filter(F.length("_text") <= SAMPLE_CHARS).limit(sample_docs).collect()
+    sample = docs.sparkSession.createDataFrame(found, "_text string").cache()
     try:
         n = sample.count()
         none = sample.agg(F.max(F.length("_text")))
