@@ -212,5 +212,7 @@ def test_quotations(spark):
     runs = {(r.message_id, r.level): r.n_lines for r in quotes.passages(quotes.lines(frame)).collect()}
     assert runs[3, 2] == 1 and runs[3, 1] == 1
     assert quotes.linked(frame.limit(0)).count() == 0
+    chain = spark.createDataFrame([("c", k, (f"> line {k - 1}\n" if k else "") + f"line {k}") for k in range(40)], "scope string, message_id long, text string")
+    assert {(r.message_id, r.root, r.depth) for r in quotes.linked(chain).collect()} == {(k, 0, k) for k in range(40)}
     plan = quotes.linked(quotes.quoting(spark.createDataFrame([(1, 0, "a"), (1, 1, "b")], "conv_id long, turn long, text string")))
     assert "Python" not in plan._jdf.queryExecution().executedPlan().toString()

@@ -20,6 +20,8 @@ are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,16 +72,22 @@ def linked(messages: DataFrame) -> DataFrame:
     parents = quoted.groupBy("scope", "message_id", "origin").agg(F.count(F.lit(1)).alias("c")).groupBy("scope", "message_id").agg(
         F.max_by("origin", F.struct("c", "origin")).alias("parent"))
     links = written(parents, "parents")
-    # pointer doubling: where each message's pointer leads, and over how many replies
-    at = links.select("scope", "message_id", F.col("parent").alias("to"), F.lit(1).alias("depth"))
-    while True:
-        onward = at.select("scope", F.col("message_id").alias("to"), F.col("to").alias("next"), F.col("depth").alias("more"))
-        at = written(at.join(onward, ["scope", "to"], "left").select(
-            "scope", "message_id", F.coalesce("next", "to").alias("to"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
-            F.col("next").isNotNull().alias("moved")), "pointers")
-        if at.filter("moved").isEmpty():
-            break
-        at = at.drop("moved")
+    # pointer doubling: where each message's pointer leads, and over how many
+    # replies; a pointer that has reached a root is settled and not joined again
+    top = links.select("scope", F.col("parent").alias("to")).distinct().join(links.select("scope", F.col("message_id").alias("to")), ["scope", "to"], "left_anti")
+    open_ = written(links.select("scope", "message_id", F.col("parent").alias("to"), F.lit(1).alias("depth"))
+                    .join(top.withColumn("settled", F.lit(True)), ["scope", "to"], "left"), "pointers")
+    settled = [open_.filter("settled").drop("settled")]
+    open_ = open_.filter("settled is null").drop("settled")
+    known = links.select("scope", "message_id", F.col("parent").alias("to"), F.lit(1).alias("depth"))
+    while not open_.isEmpty():
+        onward = known.select("scope", F.col("message_id").alias("to"), F.col("to").alias("next"), F.col("depth").alias("more"))
+        step = written(open_.join(onward, ["scope", "to"]).select("scope", "message_id", F.col("next").alias("to"), (F.col("depth") + F.col("more")).alias("depth"))
+                       .join(top.withColumn("settled", F.lit(True)), ["scope", "to"], "left"), "pointers")
+        settled.append(step.filter("settled").drop("settled"))
+        open_ = step.filter("settled is null").drop("settled")
+        known = step.drop("settled").unionByName(reduce(DataFrame.unionByName, settled[:-1]))
+    at = reduce(DataFrame.unionByName, settled)
     own = plain.select("scope", "message_id", F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: ~x.rlike(_MARKS)).alias("own"),
                        F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: x.rlike(_MARKS))).alias("n_quoted"))
     return (own.join(links, ["scope", "message_id"], "left").join(at.select("scope", "message_id", F.col("to").alias("root"), "depth"), ["scope", "message_id"], "left")
