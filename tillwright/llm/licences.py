@@ -80,6 +80,9 @@ RULES = (
     ("proprietary", ("reserved",)),
 )
 
+# Lists of sentences up to this length are sent to the executors.
+BROADCAST_SENTENCES = 10_000
+
 # A sentence ends at a line break, or at . ; : ! ? before white space or the end.
 ENDS = r"\n|[.;:!?]+(?=\s|$)"
 
@@ -112,6 +115,8 @@ def scan(docs: DataFrame, sentences=SENTENCES, rules=RULES) -> DataFrame:
     # the longest known sentence bounds what is worth normalising
     longest = max((len(s) for _, s in sentences), default=0)
     each = each.filter(F.length("s").between(1, 4 * longest)).select("_k1", "_k2", "pos", normalised(F.col("s")).alias("norm"))
+    if len(sentences) <= BROADCAST_SENTENCES:  # a larger list is joined by shuffling
+        known = F.broadcast(known)
     found = (each.join(known, "norm").groupBy("_k1", "_k2").agg(F.array_sort(F.collect_set(F.struct("pos", "id"))).alias("x"))
              .select("_k1", "_k2", F.transform("x", lambda v: v["id"]).alias("sentence_ids")))
 
