@@ -7,11 +7,13 @@ bucket are candidates, and links are confirmed on the full shingle sets.
 
 Documents with equal sets are one class from the start.  Inside a bucket no
 pairs are listed: its smallest class is the hub, every member is compared with
-the hub, and components are formed.  While a bucket still has members in
-different components, members outside its largest component become the next
-hubs (all of them if there are ``HUBS`` or fewer, else about as many, chosen by
-hash), until each pair of a bucket is compared or in one component.  So nothing that shares a bucket is
-lost, and a group of thousands of near copies costs one comparison a member.
+the hub, and components are formed.  A hub is settled then, and a bucket whose
+other members are in one component is closed.  In an open one, members outside
+its largest component become the next hubs (all of them if there are few, else
+some chosen by hash, ``GROWTH`` times as many in every round), until each pair
+of a bucket is compared or in one component.  So nothing that shares a bucket
+is lost, a group of thousands of near copies costs a few comparisons a member,
+and the rounds grow with the logarithm of a bucket.
 A pair at 80 % shares no bucket with a probability of 3e-6, one at 85 % of 7e-9.
 
 Defined results: a null or empty text, or one without words, has no shingles
@@ -40,7 +42,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BANDS = 32
 ROWS = 5
-HUBS = 64
+HUBS = 8  # hubs of a bucket in the round after the first
+GROWTH = 4  # and how many times more in every round after that
 LAST = 2**63 - 1  # stands for a null id
 
 
@@ -138,22 +141,23 @@ def near_duplicates(docs: DataFrame, width: int = 3, num: int = 85, den: int = 1
              .join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a"))
     near = lambda x, y: (F.col(x) * den >= F.col(y) * num) & (F.col(y) * den >= F.col(x) * num)
     links = confirmed(first.filter(near("na", "nb")).select("a", "b"))
-    done = members.filter("node = hub").select("band", "h", "node")
     all_links = [links]
     roots = components(links, "a", "b", written)
+    # members not yet compared with their whole bucket; the first hubs are
+    open_, slots = members.filter("node <> hub"), HUBS
     while True:
-        now = members.join(roots, "node", "left").select("band", "h", "node", "n", F.coalesce("root", "node").alias("root"))
+        now = open_.join(roots, "node", "left").select("band", "h", "node", "n", F.coalesce("root", "node").alias("root"))
         mixed_ = (now.groupBy("band", "h", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("band", "h")
                   .agg(F.sum("c").alias("c"), F.max(F.struct("c", "root")).alias("l")).filter("c > l.c")
                   .select("band", "h", F.col("l.root").alias("largest"), (F.col("c") - F.col("l.c")).alias("others")))
-        now = written(now.join(mixed_, ["band", "h"]).join(done, ["band", "h", "node"], "left_anti"), "open")
+        now = written(now.join(mixed_, ["band", "h"]), "open")
         # all members outside the largest component if they are few, or some of them by hash
-        slot = F.when(F.col("others") <= HUBS, F.xxhash64("node")).otherwise(F.pmod(F.xxhash64("node"), F.lit(HUBS)))
+        slot = F.when(F.col("others") <= slots, F.xxhash64("node")).otherwise(F.pmod(F.xxhash64("node"), F.lit(slots)))
         hubs = written(now.filter("root <> largest").groupBy("band", "h", slot.alias("slot"))
                        .agg(F.min(F.struct("node", "n", "root")).alias("x")).select("band", "h", "x.*"), "hubs")
         if hubs.isEmpty():
             break
-        done = done.union(hubs.select("band", "h", "node"))
+        open_, slots = now.join(hubs, ["band", "h", "node"], "left_anti").select("band", "h", "node", "n"), slots * GROWTH
         other = now.select("band", "h", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
         pairs = (hubs.withColumnsRenamed({"node": "a", "n": "na", "root": "ra"}).join(other, ["band", "h"]).filter("ra <> rb").filter(near("na", "nb"))
                  .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
