@@ -145,28 +145,21 @@ def test_code_generation_and_format(spark):
     assert "0" not in "".join(r["code"][4:] for r in got) and "O" not in "".join(r["code"][4:] for r in got)
 
 
-def test_best_subset_fast_path_matches_enumeration():
-    import random
-
-    from tillwright.operators.pricing import evaluate as ev
-
-    rnd = random.Random(5)
-    for _ in range(300):
-        n = rnd.randint(0, 6)
-        es = [{"amount": rnd.choice([None, 1.0, 2.0, 3.5]), "stacking": "stackable",
-               "targetKey": rnd.choice(["cart", "p"])} for _ in range(n)]
-        fast = ev._best_subset(es)
-        # reference enumeration without the fast path
-        combos = [[]]
-        for k in range(n):
-            combos = [c2 for c in combos for c2 in (c, c + [k])]
-        best, total = [], 0.0
-        for combo in combos:
-            chosen = [j for j in combo if es[j]["amount"] is not None]
-            t = sum(es[j]["amount"] for j in chosen)
-            if combo and t > total:
-                best, total = chosen, t
-        assert fast == best
+def _model(es):
+    """Best valid subset by trying every bit mask (the first entry is the highest bit)."""
+    best, total = [], 0.0
+    for mask in range(1 << len(es)):
+        on = [j for j in range(len(es)) if mask >> (len(es) - 1 - j) & 1]
+        kinds = [es[j]["stacking"] for j in on]
+        if "exclusive" in kinds and len(on) > 1:
+            continue
+        if any(k == "exclusiveByTarget" and es[on[x]]["targetKey"] in [es[j]["targetKey"] for j in on[:x]]
+               for x, k in enumerate(kinds)):
+            continue
+        chosen = [j for j in on if es[j]["amount"] is not None]
+        if (t := sum(es[j]["amount"] for j in chosen)) > total:
+            best, total = chosen, t
+    return best
 
 
 def test_best_combination_single_exclusive_entry(spark):
@@ -191,5 +184,15 @@ def test_native_best_combination_matches_model(spark):
     got = df.select("entries", ev.best_combination(F.col("entries")).alias("best")).collect()
     for r in got:
         es = [e.asDict() for e in r["entries"]]
-        want = ev._best_subset(es)
+        want = _model(es)
         assert [e["idx"] for e in r["best"]] == [es[j]["idx"] for j in want], es
+
+
+def test_best_combination_of_thirty_entries(spark):
+    from tillwright.operators.pricing import evaluate as ev
+
+    es = [(-30 + i, i, i, 1.0, "stackable", f"product:{i % 3}", False) for i in range(29)]
+    es.append((0, 29, 29, 12.0, "exclusiveByTarget", "product:2", False))
+    df = spark.createDataFrame([(es,)], f"entries array<{ev.ENTRY.simpleString()}>")
+    got = df.select(F.explode(ev.best_combination(F.col("entries"))).alias("e")).select("e.idx").collect()
+    assert [r["idx"] for r in got] == [i for i in range(29) if i % 3 != 2] + [29]
