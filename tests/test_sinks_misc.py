@@ -63,3 +63,35 @@ def test_emitted_actions(cat):
     acts = actions_of(routed, "id")
     rows = action_rows(acts, "createEntity", "alerts", "orderId string, level string").collect()
     assert [(r["orderId"], r["level"]) for r in rows] == [("o2", "high")]
+
+
+def test_repeated_and_missing_keys(spark):
+    from tillwright.operators import tables
+    from tillwright.operators.mdm.ingest import apply_links
+
+    target = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
+    batch = spark.createDataFrame([(1, "x", 1), (1, "y", 2), (None, "z", 3)], "k long, v string, at int")
+    out, rejected = tables.insert(target, batch.drop("at"), "k")
+    assert out.count() == 2 and sorted(r["reason"] for r in rejected.collect()) == ["already exists"] * 2 + ["missing key"]
+    text = spark.createDataFrame([("a", 1)], "k string, v int")
+    out, rejected = tables.insert(text, spark.createDataFrame([(None, 2), (None, 3)], text.schema), "k")
+    assert rejected.count() == 0 and out.where("k is not null").select("k").distinct().count() == 3
+    out, unknown = tables.replace(target, batch, "k", order_key=("at",))
+    assert sorted(tuple(r)[:2] for r in out.select("k", "v").collect()) == [(1, "y"), (2, "b")] and unknown.count() == 1
+    out = tables.patch(target, batch, "k", order_key=("at",))
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "y"), (2, "b")]
+    members = spark.createDataFrame([("s1", "g1", 1.0)], "id string, goldenRecordId string, matchScore double")
+    twice = spark.createDataFrame([("s1", "g2"), ("s1", "g2")], "sourceRecordId string, goldenRecordId string")
+    assert [tuple(r) for r in apply_links(members, twice).collect()] == [("s1", "g2", 1.0)]
+
+
+def test_every_owner_gets_a_code(spark):
+    import pytest
+
+    from tillwright.operators.pricing.codes import CodeGenerationError, generate_codes
+
+    owners = spark.range(90).withColumnRenamed("id", "owner")
+    got = generate_codes(owners, length=2, pattern="numeric").collect()
+    assert len({r["owner"] for r in got}) == len({r["code"] for r in got}) == len(got) == 90
+    with pytest.raises(CodeGenerationError):
+        generate_codes(spark.range(101).withColumnRenamed("id", "owner"), length=2, pattern="numeric")

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ...session import checkpoint_dir
+from ..tables import last_per_key
 from .match import candidate_pairs, find_matches, score
 from .merge import merge_golden
 
@@ -107,8 +108,9 @@ def ingest_batch(spark: SparkSession, new_sources: DataFrame, goldens: DataFrame
 
 def apply_links(members: DataFrame, commands: DataFrame) -> DataFrame:
     """Manual link / unlink: ``commands(sourceRecordId, goldenRecordId | NULL)``.
-    Link sets the golden id with score 1.0; unlink clears it."""
-    c = commands.select(F.col("sourceRecordId").alias("__sid"), F.col("goldenRecordId").alias("__gid"))
+    Link sets the golden id with score 1.0; unlink clears it.  Of commands that
+    repeat a record one counts (``tables.last_per_key``)."""
+    c = last_per_key(commands.select("sourceRecordId", "goldenRecordId"), "sourceRecordId").select(F.col("sourceRecordId").alias("__sid"), F.col("goldenRecordId").alias("__gid"))
     j = members.join(c, members["id"] == c["__sid"], "left")
     hit = F.col("__sid").isNotNull()
     return (j.withColumn("goldenRecordId", F.when(hit, F.col("__gid")).otherwise(F.col("goldenRecordId")))

@@ -5,8 +5,7 @@ table (e.g. one per customer) draws a few candidate codes from
 ``xxhash64(seed, owner, attempt, position)``; each distinct code goes to its
 smallest ``(attempt, owner)`` drawer, existing codes are removed with an
 anti join, and each owner keeps its first won attempt.  Two owners can never
-keep the same code, and an owner left without one is an error, not a
-silently shorter batch.
+keep the same code, and owners left without one draw again in the next round.
 """
 
 from __future__ import annotations
@@ -16,13 +15,15 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ...session import checkpoint_dir
+
 # Default character sets (alphanumeric leaves out 0, O, 1, I).
 CHARSETS = {
     "alphanumeric": "ABCDEFGHJKLMNPQRSTUVWXYZ23456789",
     "alphabetic": "ABCDEFGHJKLMNPQRSTUVWXYZ",
     "numeric": "0123456789",
 }
-ATTEMPTS = 4
+ATTEMPTS = 4  # draws of an owner in the first round
 
 
 class CodeGenerationError(RuntimeError):
@@ -40,30 +41,42 @@ def generate_codes(owners: DataFrame, length: int, prefix: str = "", suffix: str
                    pattern: str = "alphanumeric", custom: str | None = None, exclude_chars: str | None = None,
                    uppercase: bool = True, seed: int = 0, existing: DataFrame | None = None,
                    owner_col: str = "owner") -> DataFrame:
-    """``(owner, code)``: one unique code per row of ``owners``."""
+    """``(owner, code)``: one unique code per distinct owner (NULL has none).
+
+    Owners without a code draw again until all have one; more owners than
+    free codes are an error before the first draw."""
+    spark = owners.sparkSession
     cs = charset_of(pattern, custom, exclude_chars)
     if not cs:
         raise CodeGenerationError("empty character set")
-    if len(cs) ** length < 1:
-        raise CodeGenerationError("no code of this length")
-    n = len(cs)
-    alphabet = F.lit(cs)
-    tries = owners.select(F.col(owner_col).alias("owner"),
-                         F.explode(F.sequence(F.lit(0), F.lit(ATTEMPTS - 1))).alias("attempt"))
-    chars = [F.substring(alphabet, (F.pmod(F.xxhash64(F.lit(seed), F.col("owner"), F.col("attempt"), F.lit(i)),
-                                           F.lit(n)) + 1).cast("int"), 1) for i in range(length)]
-    core = F.concat(*chars)
-    if not uppercase:
-        core = F.lower(core)
-    cand = tries.withColumn("code", F.concat(F.lit(prefix), core, F.lit(suffix)))
-    if existing is not None:
-        ex = existing.select(F.upper(F.col("code")).alias("__ex"))
-        cand = cand.join(ex, F.upper(cand["code"]) == ex["__ex"], "left_anti")
-    won = cand.groupBy("code").agg(F.min(F.struct("attempt", "owner")).alias("w")).select(
-        "code", F.col("w.owner").alias("owner"), F.col("w.attempt").alias("attempt"))
-    kept = won.groupBy("owner").agg(F.min(F.struct("attempt", "code")).alias("k")).select(
-        "owner", F.col("k.code").alias("code"))
-    return kept
+    taken = None if existing is None else existing.select(F.upper(F.col("code")).alias("__ex")).distinct()
+    left = owners.select(F.col(owner_col).alias("owner")).where("owner is not null").distinct()
+    letters = set(cs.upper() if existing is not None else cs if uppercase else cs.lower())
+    free = len(letters) ** length - (0 if existing is None else existing.where(
+        format_check(F.col("code"), length, prefix, suffix, pattern, custom, exclude_chars, uppercase)).distinct().count())
+    if left.count() > free:
+        raise CodeGenerationError("more owners than free codes; increase the code length or change the pattern")
+    chars = [F.substring(F.lit(cs), (F.pmod(F.xxhash64(F.lit(seed), F.col("owner"), F.col("attempt"), F.lit(i)),
+                                           F.lit(len(cs))) + 1).cast("int"), 1) for i in range(length)]
+    core = F.concat(*chars) if uppercase else F.lower(F.concat(*chars))
+    checkpoint_dir(spark)
+    given, start, span = None, 0, ATTEMPTS
+    while True:
+        cand = left.withColumn("attempt", F.explode(F.sequence(F.lit(start), F.lit(start + span - 1)))).withColumn(
+            "code", F.concat(F.lit(prefix), core, F.lit(suffix)))
+        if taken is not None:
+            cand = cand.join(taken, F.upper(cand["code"]) == taken["__ex"], "left_anti")
+        if given is not None:
+            cand = cand.join(given.select("code"), "code", "left_anti")
+        won = cand.groupBy("code").agg(F.min(F.struct("attempt", "owner")).alias("w")).select(
+            "code", F.col("w.owner").alias("owner"), F.col("w.attempt").alias("attempt"))
+        kept = won.groupBy("owner").agg(F.min(F.struct("attempt", "code")).alias("k")).select(
+            "owner", F.col("k.code").alias("code")).checkpoint()
+        given = kept if given is None else given.unionByName(kept)
+        left = left.join(kept, "owner", "left_anti").checkpoint()
+        if left.isEmpty():
+            return given
+        start, span = start + span, min(2 * span, 64)
 
 
 def check_complete(owners: DataFrame, codes: DataFrame, owner_col: str = "owner") -> None:
@@ -92,7 +105,7 @@ def redeem(codes: DataFrame, redemptions: DataFrame) -> tuple[DataFrame, DataFra
 
     The first redemption of an unused code (by time, then order id) wins;
     later ones and redemptions of used or unknown codes are rejected."""
-    known = codes.select("code", F.col("usedBy").isNotNull().alias("used"))
+    known = codes.groupBy("code").agg(F.bool_or(F.col("usedBy").isNotNull()).alias("used"))
     r = redemptions.join(known, "code", "left")
     first = r.where(F.col("used") == F.lit(False)).groupBy("code").agg(
         F.min(F.struct("at", "orderId")).alias("__w"))
@@ -136,8 +149,9 @@ def validate_codes(requests: DataFrame, discounts: list[dict], generated: DataFr
         else F.current_timestamp()
     r = requests
     if generated is not None:
-        g = generated.select(F.col("code").alias("__gcode"), F.col("discountId").alias("__gdid"),
-                             F.col("usedBy").alias("__gused"), F.lit(True).alias("__gen"))
+        # one row per code, used if any of its rows is
+        g = generated.groupBy(F.col("code").alias("__gcode")).agg(
+            F.min("discountId").alias("__gdid"), F.max("usedBy").alias("__gused")).withColumn("__gen", F.lit(True))
         r = r.join(g, r["code"] == g["__gcode"], "left").drop("__gcode")
     else:
         r = r.withColumn("__gdid", F.lit(None).cast("string")).withColumn("__gused", F.lit(None).cast("string")) \

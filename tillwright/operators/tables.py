@@ -103,9 +103,19 @@ def split_valid(df: DataFrame, schema: dict) -> tuple[DataFrame, DataFrame]:
             checked.where(F.size("errors") > 0))
 
 
+def last_per_key(batch: DataFrame, key: str, order_key=()) -> DataFrame:
+    """One row per key: the last in ``order_key`` order (without one, the
+    largest row by its columns), as calls in that order would leave it."""
+    row = F.struct(*[F.col(f"`{c}`") for c in batch.columns])
+    best = F.max_by(row, order_struct(batch, order_key)) if order_key else F.max(row)
+    return batch.groupBy(F.col(key).alias("__key")).agg(best.alias("__row")).select("__row.*")
+
+
 def insert(target: DataFrame, batch: DataFrame, key: str, order_key=()) -> tuple[DataFrame, DataFrame]:
     """Append ``batch``: a key already in ``target`` or repeated in the batch
-    (after its first occurrence in ``order_key`` order) is rejected."""
+    (after its first occurrence in ``order_key`` order) is rejected.  A row
+    without a key gets a UUID if keys are text and is rejected if not."""
+    keyless, batch = batch.where(F.col(key).isNull()), batch.where(F.col(key).isNotNull())
     if order_key:
         rank = order_struct(batch, order_key)
         first = batch.groupBy(key).agg(F.min(rank).alias("__first"))
@@ -122,20 +132,27 @@ def insert(target: DataFrame, batch: DataFrame, key: str, order_key=()) -> tuple
     b = b.withColumn("reason", reason).drop("__exists", "__dup")
     accepted = b.where(F.col("reason").isNull()).drop("reason")
     rejected = b.where(F.col("reason").isNotNull())
+    if isinstance(batch.schema[key].dataType, T.StringType):
+        accepted = accepted.unionByName(keyless.withColumn(key, F.uuid()))
+    else:
+        rejected = rejected.unionByName(keyless.withColumn("reason", F.lit("missing key")))
     return target.unionByName(accepted, allowMissingColumns=True), rejected
 
 
-def replace(target: DataFrame, batch: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """Full-document replace of existing keys; unknown keys are rejected."""
-    known = batch.join(target.select(key), key, "left_semi")
+def replace(target: DataFrame, batch: DataFrame, key: str, order_key=()) -> tuple[DataFrame, DataFrame]:
+    """Full-document replace of existing keys; unknown keys are rejected.  Of
+    rows that repeat a key the last one counts (``last_per_key``)."""
+    known = last_per_key(batch.join(target.select(key), key, "left_semi"), key, order_key)
     unknown = batch.join(target.select(key), key, "left_anti").withColumn("reason", F.lit("not found"))
     kept = target.join(known.select(key), key, "left_anti")
     return kept.unionByName(known, allowMissingColumns=True), unknown
 
 
-def patch(target: DataFrame, updates: DataFrame, key: str, keep: tuple[str, ...] = ()) -> DataFrame:
+def patch(target: DataFrame, updates: DataFrame, key: str, keep: tuple[str, ...] = (), order_key=()) -> DataFrame:
     """Shallow merge: columns present in ``updates`` overwrite (NULL included)
-    for matched keys; ``keep`` columns (e.g. created time) never change."""
+    for matched keys; ``keep`` columns (e.g. created time) never change.  Of
+    updates that repeat a key the last one counts (``last_per_key``)."""
+    updates = last_per_key(updates, key, order_key)
     cols = [c for c in updates.columns if c != key and c not in keep]
     u = updates.select(F.col(key).alias("__k"), *[F.col(c).alias(f"__u_{c}") for c in cols],
                        F.lit(True).alias("__hit"))
