@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from tillwright.llm import cover, licences, lines, minmax, quality, quotes, urls, wumanber
@@ -128,6 +129,20 @@ def test_near_duplicates(docs, empty, rows):
     assert minmax.near_duplicates(empty).count() == 0
 
 
+def test_odd_sketches_never_leave_out_a_link():
+    """Bits that differ are at most the shingles that differ, and nearly as many in small sets."""
+    rng = np.random.default_rng(5)
+    for size, changed in ((1, 0), (3, 1), (100, 0), (100, 8), (100, 60), (5000, 300)):
+        a = rng.integers(0, 2**63, size).astype(np.uint64)
+        b = a.copy()
+        b[:changed] = rng.integers(0, 2**63, changed).astype(np.uint64)
+        sketch = minmax.odd_sketches(np.concatenate((a, b)), np.array([size, size]))
+        differ = sum(int(x).bit_count() for x in (sketch[0] ^ sketch[1]).view(np.uint64))
+        assert differ <= 2 * changed
+        assert differ >= changed or size > 1000
+    assert not minmax.odd_sketches(np.zeros(0, np.uint64), np.array([0, 0])).any()
+
+
 @pytest.mark.parametrize("min_docs", [10, 2])
 def test_frequent_lines(docs, empty, rows, min_docs):
     key = lambda x: x.strip(SPACES).translate(LOWER)

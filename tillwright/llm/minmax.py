@@ -14,6 +14,12 @@ some chosen by hash, ``GROWTH`` times as many in every round), until each pair
 of a bucket is compared or in one component.  So nothing that shares a bucket
 is lost, a group of thousands of near copies costs a few comparisons a member,
 and the rounds grow with the logarithm of a bucket.
+
+Each class carries an odd sketch of its set: bit i is the parity of the
+shingles that fall into cell i.  Bits in which two sketches differ are at most
+the shingles in which the sets differ, so a pair with too many of them cannot
+be a link and is left out inside the join, before its texts are fetched; all
+others are compared on the full sets.
 A pair at 80 % shares no bucket with a probability of 3e-6, one at 85 % of 7e-9.
 
 Defined results: a null or empty text, or one without words, has no shingles
@@ -31,7 +37,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillwright.llm.common import row_key, small_batches, written
@@ -44,6 +50,7 @@ BANDS = 32
 ROWS = 5
 HUBS = 8  # hubs of a bucket in the round after the first
 GROWTH = 4  # and how many times more in every round after that
+WORDS = 16  # longs of an odd sketch
 LAST = 2**63 - 1  # stands for a null id
 
 
@@ -66,6 +73,25 @@ def signatures(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def odd_sketches(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Parity of the shingles in each of 64 * WORDS cells (texts x WORDS longs)."""
+    cells = 64 * WORDS
+    cell = (mixed(values ^ MIX[1]) % np.uint64(cells)).astype(np.int64)
+    hits = np.bincount(np.repeat(np.arange(len(counts)), counts) * cells + cell, minlength=len(counts) * cells)
+    return np.packbits((hits & 1).astype(np.uint8)).view(np.int64).reshape(len(counts), WORDS)
+
+
+def may_link(num: int, den: int) -> Column:
+    """Whether classes a and b (sizes ``na``, ``nb``, sketches ``sa``, ``sb``) can be similar enough.
+
+    Never false for a link: with den * intersection >= num * union the sets
+    differ in at most (na + nb) * (den - num) / (den + num) shingles.
+    """
+    near = (F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)
+    differ = reduce(Column.__add__, [F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(WORDS)])
+    return near & (differ * (den + num) <= (F.col("na") + F.col("nb")) * (den - num))
+
+
 def _sign(width: int):
     def run(batches):
         for batch in batches:
@@ -83,6 +109,7 @@ def _sign(width: int):
             raw = node.tobytes()
             yield pa.RecordBatch.from_pydict({
                 **{c: batch.column(c) for c in ("_k1", "_k2", "id")}, "n": pa.array(counts, pa.int64()),
+                "odd": pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1) * WORDS, pa.int32()), pa.array(odd_sketches(values, counts).reshape(-1))),
                 "node": pa.array([raw[i * 16:i * 16 + 16] if s else None for i, s in enumerate(some.tolist())], pa.binary()), "bands": bands})
     return run
 
@@ -120,11 +147,11 @@ def near_duplicates(docs: DataFrame, width: int = 3, num: int = 85, den: int = 1
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(*row_key(docs), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.col("text").cast("string").alias("text"))
-    signed = written(rows.mapInArrow(_sign(width), "_k1 long, _k2 long, id long, n long, node binary, bands array<long>"), "signed")
-    # one row per class: its smallest id, one of its rows, its bands
+    signed = written(rows.mapInArrow(_sign(width), "_k1 long, _k2 long, id long, n long, odd array<long>, node binary, bands array<long>"), "signed")
+    # one row per class: its smallest id, one of its rows, its sketch and bands
     classes = written(signed.filter("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.min(F.struct("_k1", "_k2")).alias("k"),
-                                                                 F.min("bands").alias("bands")), "classes")
-    buckets = classes.select("node", "n", F.posexplode("bands").alias("band", "h"))
+                                                                 F.min("odd").alias("s"), F.min("bands").alias("bands")), "classes")
+    buckets = classes.select("node", F.posexplode("bands").alias("band", "h"))
     shared = buckets.groupBy("band", "h").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("hub")).filter("c > 1")
     members = written(buckets.join(shared.drop("c"), ["band", "h"]), "members")
     wanted = classes.select("node", "k._k1", "k._k2").join(members.select("node").distinct(), "node", "left_semi")
@@ -136,30 +163,28 @@ def near_duplicates(docs: DataFrame, width: int = 3, num: int = 85, den: int = 1
         both = with_a.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
         return written(both.select("a", "b", "ta", "tb").mapInArrow(_confirm(width, num, den), "a binary, b binary"), "links")
 
-    sizes = classes.select("node", "n")
-    first = (members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"), F.col("n").alias("nb")).distinct()
-             .join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a"))
-    near = lambda x, y: (F.col(x) * den >= F.col(y) * num) & (F.col(y) * den >= F.col(x) * num)
-    links = confirmed(first.filter(near("na", "nb")).select("a", "b"))
+    sketch = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}"))
+    first = members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct().join(sketch("b"), "b").join(sketch("a"), "a")
+    links = confirmed(first.filter(may_link(num, den)).select("a", "b"))
     all_links = [links]
     roots = components(links, "a", "b", written)
     # members not yet compared with their whole bucket; the first hubs are
     open_, slots = members.filter("node <> hub"), HUBS
     while True:
-        now = open_.join(roots, "node", "left").select("band", "h", "node", "n", F.coalesce("root", "node").alias("root"))
+        now = open_.join(roots, "node", "left").select("band", "h", "node", F.coalesce("root", "node").alias("root"))
         mixed_ = (now.groupBy("band", "h", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("band", "h")
                   .agg(F.sum("c").alias("c"), F.max(F.struct("c", "root")).alias("l")).filter("c > l.c")
                   .select("band", "h", F.col("l.root").alias("largest"), (F.col("c") - F.col("l.c")).alias("others")))
-        now = written(now.join(mixed_, ["band", "h"]), "open")
+        now = written(now.join(mixed_, ["band", "h"]).join(classes.select("node", "n", "s"), "node"), "open")
         # all members outside the largest component if they are few, or some of them by hash
         slot = F.when(F.col("others") <= slots, F.xxhash64("node")).otherwise(F.pmod(F.xxhash64("node"), F.lit(slots)))
         hubs = written(now.filter("root <> largest").groupBy("band", "h", slot.alias("slot"))
-                       .agg(F.min(F.struct("node", "n", "root")).alias("x")).select("band", "h", "x.*"), "hubs")
+                       .agg(F.min(F.struct("node", "n", "root", "s")).alias("x")).select("band", "h", "x.*"), "hubs")
         if hubs.isEmpty():
             break
-        open_, slots = now.join(hubs, ["band", "h", "node"], "left_anti").select("band", "h", "node", "n"), slots * GROWTH
-        other = now.select("band", "h", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-        pairs = (hubs.withColumnsRenamed({"node": "a", "n": "na", "root": "ra"}).join(other, ["band", "h"]).filter("ra <> rb").filter(near("na", "nb"))
+        open_, slots = now.join(hubs, ["band", "h", "node"], "left_anti").select("band", "h", "node"), slots * GROWTH
+        other = now.select("band", "h", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("s").alias("sb"))
+        pairs = (hubs.withColumnsRenamed({"node": "a", "n": "na", "root": "ra", "s": "sa"}).join(other, ["band", "h"]).filter("ra <> rb").filter(may_link(num, den))
                  .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         new = confirmed(pairs)
         if new.isEmpty():
