@@ -2,6 +2,7 @@
 
 import random
 import re
+import textwrap
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -216,6 +217,31 @@ def test_licence_sequences(spark, docs, empty):
     assert licences.matched(["a", "b", "c", "a"], [("AB", ("a", "b")), ("A", ("a",))]) == (["AB", "A"], 1)
 
 
+def test_wrapped_licences(spark):
+    """Headers as they stand in files: titles, 70 columns, comment marks, line breaks of all kinds."""
+    said = defaultdict(list)
+    for name, text in licences.SENTENCES:
+        said[name].append(text)
+    full = {"MIT": "mit-grant mit-notice as-is", "BSD-3-Clause": "bsd-redistribution bsd-source bsd-binary bsd-names", "GPL-or-later": "gpl-free gpl-terms gpl-version",
+            "Apache": "apache-ref apache-comply apache-copy apache-as-is"}
+    texts, want = [], {}
+    for name, ids in full.items():
+        ids = ids.split()
+        wrapped = [line for x in ids for line in textwrap.wrap(said[x][-1] + ".", 70)]
+        for mark, end in (("", "\n"), ("# ", "\n"), (" * ", "\r\n"), (";; ", "\n"), ("dnl ", "\n"), ("// ", "\r"), ("! ", " !\n")):
+            want[len(texts)] = (ids, [name], 0)
+            texts.append(end.join(mark + x for x in ["Copyright 2020 A. Author", *wrapped, "", "code(here)"]))
+    # one hit a place: the line alone is a sentence too; parts with a blank line between are no sentence
+    want[len(texts)] = (["mit-ref"], ["MIT"], 0)
+    texts.append("This project is\nlicensed under the MIT License")
+    want[len(texts)] = (["apache-ref"], ["Apache"], 0)
+    texts.append('/*\n * Licensed under the Apache License, Version 2.0\n * (the "License");\n */')
+    want[len(texts)] = ([], [], 0)
+    texts.append("# All rights\n#\n# reserved")
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: (r.sentence_ids, r.licences, r.n_unused) for r in licences.scan(frame).collect()} == want
+
+
 def test_quotations(spark):
     mails = [("t", 1, "Hello all\nfirst point\n\nsecond point"), ("t", 2, "> first  POINT\nI agree"), ("t", 3, "> > first point\n> I agree\nMe too"),
              ("t", 4, "> second point\nno"), ("t", 5, "> never written\nodd"), ("t", 6, None), (None, 1, "Hello all"), (None, 2, ">Hello all\n"), ("u", 9, "> Hello all\nother")]

@@ -1,13 +1,18 @@
 """Operator 1: licence recognition by sentence rules.
 
-Texts are cut into sentences, sentences are normalised (A-Z in lower case,
-comment marks and punctuation off, numbers replaced by ``0``) and looked up in
-a table of known licence sentences.  The identifiers found in a document, in
+Comment marks are taken off every line, and texts are cut at sentence ends and
+at blank lines.  What lies between is one line or several (a wrapped sentence,
+perhaps after a title); every run of its lines is a candidate, normalised (A-Z
+in lower case, marks and punctuation off, numbers replaced by ``0``) and looked
+up in a table of known licence sentences.  Runs that share a line are one
+place, whose longest sentence counts.  The identifiers found in a document, in
 order, form a sequence; ordered licence rules are matched against it, each
 consuming the identifiers it names, longer rules before shorter ones.
 
-The lookup is an equi join with the table of sentences, whose size is that of
-the list below; only known sentences are shuffled on.
+Only runs whose normalised length is that of some known sentence become rows,
+so long texts cost no more than their lines.  The lookup is an equi join with
+the table of sentences, whose size is that of the list below; only known
+sentences are shuffled on.
 
 Defined results: a null or empty text has no sentences and no licences; a
 document is a row by id and text, rows equal in both share their result; a
@@ -20,12 +25,15 @@ from __future__ import annotations
 
 import sys
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillwright.llm.common import lower_ascii, row_key
+from tillwright.llm.common import row_key, small_batches
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -83,13 +91,80 @@ RULES = (
 # Lists of sentences up to this length are sent to the executors.
 BROADCAST_SENTENCES = 10_000
 
-# A sentence ends at a line break, or at . ; : ! ? before white space or the end.
-ENDS = r"\n|[.;:!?]+(?=\s|$)"
+# Texts whose runs are made at once.
+SLICE = 200
+
+# Patterns (RE2) and what replaces them, in order: line breaks, comment marks
+# before a line and box marks after it, sentence ends (before white space or the end; a blank line
+# then), numbers, and all that is no letter.
+STEPS = (
+    (r"\r\n?", "\n"),
+    (r"(?m)^[^A-Za-z0-9\x{80}-\x{10ffff}\n]+", ""),
+    (r"(?m)[ \t]+[^A-Za-z0-9\x{80}-\x{10ffff}\n]+$", ""),
+    (r"(?mi)^(?:dnl|rem)(?:[ \t]+|$)", ""),
+    (r"[.;:!?]+(?:[\t-\r ]|$)", "\n\n"),
+    (r"[0-9]+(?:\.[0-9]+)*", "0"),
+    (r"[^A-Za-z0\x{80}-\x{10ffff}\n]+", " "),
+)
 
 
-def normalised(sentence: Column) -> Column:
-    plain = F.regexp_replace(lower_ascii(sentence), r"[0-9]+(\.[0-9]+)*", "0")
-    return F.btrim(F.regexp_replace(plain, r"[^a-z0\x{80}-\x{10ffff}]+", " "))
+def normalised(texts: pa.Array) -> pa.Array:
+    """Normalised lines of each text; a blank one ends a sentence."""
+    texts = pc.fill_null(texts, "")
+    for pattern, by in STEPS:
+        texts = pc.replace_substring_regex(texts, pattern, by)
+    return pc.split_pattern(pc.ascii_lower(texts), "\n")
+
+
+def runs(texts: pa.Array, lengths: np.ndarray):
+    """Runs of lines of one of the ``lengths`` (bytes): text, first line, line after the last, and the run itself."""
+    lists = normalised(texts)
+    n_lines = pc.list_value_length(lists).to_numpy()
+    lines = pc.ascii_trim(lists.flatten(), " ")
+    size = pc.binary_length(lines).to_numpy().astype(np.int64)
+    owner = np.repeat(np.arange(len(n_lines)), n_lines)
+    part = np.cumsum(size == 0)  # lines of one text between the same blank lines
+    full = np.flatnonzero(size)
+    lines, size, owner, part = lines.take(pa.array(full)), size[full], owner[full], part[full]
+    fits = np.zeros(lengths.max(initial=0) + 1, bool)
+    fits[lengths] = True
+    start, total, out = np.arange(len(full)), size.copy(), []
+    n = 1
+    while len(start):
+        short = total < len(fits)
+        start, total = start[short], total[short]
+        hit = start[fits[total]]
+        out.append((hit, hit + n))
+        start, total = start[start + n < len(full)], total[start + n < len(full)]
+        same = (owner[start + n] == owner[start]) & (part[start + n] == part[start])
+        start, total = start[same], total[same]
+        total = total + 1 + size[start + n]
+        n += 1
+    begin, end = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
+    offsets = np.concatenate(([0], np.cumsum(end - begin)))
+    picked = np.arange(offsets[-1]) - np.repeat(offsets[:-1] - begin, end - begin)
+    words = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), lines.take(pa.array(picked, pa.int64())))
+    return owner[begin], full[begin], full[end - 1] + 1, pc.binary_join(words, " ")
+
+
+def _candidates(lengths: np.ndarray):
+    def run(batches):
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
+            owner, begin, end, norm = runs(batch.column("_text").cast(pa.string()), lengths)
+            keys = batch.select(["_k1", "_k2"]).take(pa.array(owner))
+            yield pa.RecordBatch.from_pydict({"_k1": keys.column(0), "_k2": keys.column(1), "begin": pa.array(begin, pa.int64()),
+                                              "end": pa.array(end, pa.int64()), "norm": norm})
+    return run
+
+
+def places(hits) -> list[str]:
+    """Identifiers in order, of hits (first line, line after the last, identifier); a line belongs to the longest hit."""
+    taken, kept = {}, []
+    for begin, end, name in sorted(hits, key=lambda x: (x[0] - x[1], x[0], x[2])):
+        if all(taken.get(k, (begin, end)) == (begin, end) for k in range(begin, end)):
+            taken.update(dict.fromkeys(range(begin, end), (begin, end)))
+            kept.append((begin, name))
+    return [name for _, name in sorted(kept)]
 
 
 def matched(ids: list[str], rules) -> tuple[list[str], int]:
@@ -109,23 +184,25 @@ def matched(ids: list[str], rules) -> tuple[list[str], int]:
 def scan(docs: DataFrame, sentences=SENTENCES, rules=RULES) -> DataFrame:
     """``doc_id``, ``sentence_ids`` (in order), ``licences``, ``n_unused`` for every document."""
     spark = docs.sparkSession
-    known = (spark.createDataFrame(list(sentences), "id string, sentence string").select("id", normalised(F.col("sentence")).alias("norm")).distinct())
-    rows = docs.select("doc_id", *row_key(docs), F.coalesce("text", F.lit("")).alias("_text"))
-    each = rows.select("_k1", "_k2", F.posexplode(F.split("_text", ENDS, -1)).alias("pos", "s"))
-    # the longest known sentence bounds what is worth normalising
-    longest = max((len(s) for _, s in sentences), default=0)
-    each = each.filter(F.length("s").between(1, 4 * longest)).select("_k1", "_k2", "pos", normalised(F.col("s")).alias("norm"))
+    small_batches(spark)
+    norms = pc.binary_join(normalised(pa.array([s for _, s in sentences], pa.string())), " ")
+    norms = pc.ascii_trim(pc.replace_substring_regex(norms, " +", " "), " ").to_pylist()
+    listed = sorted({(i, n) for (i, _), n in zip(sentences, norms, strict=True) if n})
+    known = spark.createDataFrame(listed, "id string, norm string")
+    rows = docs.select("doc_id", *row_key(docs), F.col("text").cast("string").alias("_text"))
+    lengths = np.array(sorted({len(n.encode()) for _, n in listed}), np.int64)
+    each = rows.select("_k1", "_k2", "_text").mapInArrow(_candidates(lengths), "_k1 long, _k2 long, begin long, end long, norm string")
     if len(sentences) <= BROADCAST_SENTENCES:  # a larger list is joined by shuffling
         known = F.broadcast(known)
-    found = (each.join(known, "norm").groupBy("_k1", "_k2").agg(F.array_sort(F.collect_set(F.struct("pos", "id"))).alias("x"))
-             .select("_k1", "_k2", F.transform("x", lambda v: v["id"]).alias("sentence_ids")))
+    found = each.join(known, "norm").groupBy("_k1", "_k2").agg(F.collect_set(F.struct("begin", "end", "id")).alias("hits"))
 
-    @F.pandas_udf("licences array<string>, n_unused long")
-    def licences(ids: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([matched(list(x), rules) for x in ids], columns=["licences", "n_unused"])
+    @F.pandas_udf("sentence_ids array<string>, licences array<string>, n_unused long")
+    def licences(hits: pd.Series) -> pd.DataFrame:
+        ids = [places((h["begin"], h["end"], h["id"]) for h in x) for x in hits]
+        return pd.DataFrame([(i, *matched(i, rules)) for i in ids], columns=["sentence_ids", "licences", "n_unused"])
 
     none = F.array().cast("array<string>")
-    found = found.withColumn("r", licences("sentence_ids"))
+    found = found.select("_k1", "_k2", licences("hits").alias("r"))
     return rows.drop("_text").join(found, ["_k1", "_k2"], "left").select(
-        "doc_id", F.coalesce("sentence_ids", none).alias("sentence_ids"), F.coalesce("r.licences", none).alias("licences"),
+        "doc_id", F.coalesce("r.sentence_ids", none).alias("sentence_ids"), F.coalesce("r.licences", none).alias("licences"),
         F.coalesce("r.n_unused", F.lit(0).cast("long")).alias("n_unused"))
