@@ -242,6 +242,14 @@ def test_wrapped_licences(spark):
     assert {r.doc_id: (r.sentence_ids, r.licences, r.n_unused) for r in licences.scan(frame).collect()} == want
 
 
+def test_padded_licences(spark):
+    """Blanks and marks inside a sentence do not count for its length."""
+    padded = [("All" + " " * 9000 + "rights" + " *|" * 900 + " reserved", "proprietary"),
+              ("Licensed under the MIT" + "\t" * 5000 + "License.", "MIT")]
+    frame = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(padded)], "doc_id long, text string")
+    assert {r.doc_id: r.licences for r in licences.scan(frame).collect()} == {k: [name] for k, (_, name) in enumerate(padded)}
+
+
 def test_quotations(spark):
     mails = [("t", 1, "Hello all\nfirst point\n\nsecond point"), ("t", 2, "> first  POINT\nI agree"), ("t", 3, "> > first point\n> I agree\nMe too"),
              ("t", 4, "> second point\nno"), ("t", 5, "> never written\nodd"), ("t", 6, None), (None, 1, "Hello all"), (None, 2, ">Hello all\n"), ("u", 9, "> Hello all\nother")]
