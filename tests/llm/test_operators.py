@@ -265,3 +265,31 @@ def test_quotations(spark):
     assert {(r.message_id, r.root, r.depth) for r in quotes.linked(chain).collect()} == {(k, 0, k) for k in range(40)}
     plan = quotes.linked(quotes.quoting(spark.createDataFrame([(1, 0, "a"), (1, 1, "b")], "conv_id long, turn long, text string")))
     assert "Python" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_repeated_and_nested_quotations(spark):
+    """Copies link to the latest earlier one, quotes of quotes to the message that quoted; against plain Python."""
+    turns = {"ok": ["ok", "fine", "ok", "> ok", "ok"],
+             "two": ["x y\nz", "> x y\n> z\nmid", "other", "> > x y\n> > z\nend"],  # 1 quoted it, 0 wrote it
+             "gone": ["x y\nz", "other", "> > x y\n> > Z\nend"],  # nobody left who quoted it
+             "part": ["ok\nfoo\nbar", "ok", "> ok\n> foo"],  # in part: the line that only 0 has
+             "mixed": ["ok", "a\nb\nc\nd", "> ok\nyes\n> a\n> c\nno"],  # one passage whole, more lines of the other
+             "blank": ["a\n\nb", ">\n", "> a\n> \n>b", "> nobody\n> > a\n> > b"],
+             "copy": ["first\nturn", "first\nturn", "> first\n> turn\nyes", "first\nturn", "> first\n> turn\nno"]}
+    want = {"ok": {3: 2}, "two": {1: 0, 3: 1}, "gone": {2: 0}, "part": {2: 0}, "mixed": {2: 1}, "blank": {2: 0, 3: 2}, "copy": {2: 1, 4: 3}}
+    mails = [(s, k, t) for s, x in turns.items() for k, t in enumerate(x)]
+    # one large scope, few texts: ranges of rows that a key crosses; and two rows of one id
+    rng = random.Random(4)
+    said, want["big"] = [], {}
+    for k in range(900):
+        quote = rng.choice("abc") if k % 2 else None
+        want["big"][k] = max((i for i, t in said if quote and t == quote), default=None)
+        own = None if quote else rng.choice("ab" if k < 500 else "abc")
+        mails.append(("big", k, own or f"> {quote}\n"))
+        said.append((k, own))
+    mails += [("twice", 1, "p\nq"), ("twice", 1, "r\ns"), ("twice", 2, "> r\n> s"), ("twice", 2, "> r\n> s")]
+    want["twice"] = {2: 1}
+    frame = spark.createDataFrame(mails, "scope string, message_id long, text string").repartition(6)
+    got = [(r.scope, r.message_id, r.parent) for r in quotes.linked(frame).collect()]
+    assert Counter(got) == Counter((s, k, want[s].get(k)) for s, k, _ in mails)
+    assert {(r.message_id, r.root, r.depth) for r in quotes.linked(frame.filter("scope = 'two'")).collect()} == {(0, 0, 0), (1, 0, 1), (2, 2, 0), (3, 0, 2)}

@@ -1,17 +1,28 @@
 """Operator 2 (native): linking quotations to the messages they come from.
 
 A line that starts with ``>`` marks is quoted, one level a mark (blanks
-between marks are allowed).  A passage is a run of lines of one level; its
-lines are normalised (marks off, white space collapsed, A-Z in lower case) and
-hashed.  Own lines of all messages are hashed alike and reduced to their first
-message before the join, so a common line finds one origin, not every message
-that holds it.  A message replies to the origin of most of its lines of level
-1 (the later message on a tie, as quotes are of the last one); root and depth
-follow by pointer doubling.  Conversations are read in the order of ``root``,
-``depth``, ``message_id``, without quotes.
+between marks are allowed).  A passage is a run of lines of one level, 0 for
+own lines; its lines are normalised (marks off, white space collapsed, A-Z in
+lower case; blank lines do not count) and hashed, one hash a passage.  A
+passage of level n comes from the latest earlier message of the scope that has
+it at level n - 1, so that of two copies the last is answered; if no message
+has, from one that has it at the next lower level, in the end from the one that
+wrote it.  A passage without an origin (quoted in part, or edited) is looked up
+line by line in the same way.
+
+A message replies to the origin found at its lowest quoted level, that of most
+lines (lines of passages found whole, and lines that one message only has, come
+before repeated lines; the later message on a tie, as quotes are of the last
+one).  Root and depth follow by pointer doubling.  Conversations are read in
+the order of ``root``, ``depth``, ``message_id``, without quotes.
+
+Holders of a passage or line are reduced to the first and the last message
+before the join.  Only where a quote lies between the two is the latest earlier
+one searched, in ranges of the sorted rows, so neither a common line nor a
+large scope meets in one task.
 
 Defined results: a null or empty text is a message without lines; blank lines
-and lines without an origin link nothing; a message never is its own origin;
+and passages and lines without an origin link nothing; a message never is its own origin;
 only earlier messages (by id) of the same ``scope`` are origins; a null scope is a
 scope of its own; messages that repeat an id within a scope count as one for
 links and keep their rows; an empty table gives an empty result; other columns
@@ -22,12 +33,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillwright.llm.common import lower_ascii, written
 
 _MARKS = r"^((?:[ \t]*>)+)"
+BLANK = "d41d8cd98f00b204e9800998ecf8427e"  # hash of a blank line
 
 
 def level(line: Column) -> Column:
@@ -41,22 +53,54 @@ def normalised(line: Column) -> Column:
 
 
 def lines(messages: DataFrame) -> DataFrame:
-    """Every line: scope, message_id, pos, level, ``key`` (128-bit hash; null if blank) and text."""
-    each = messages.select("scope", "message_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("pos", "line"))
-    each = each.select("scope", "message_id", "pos", level(F.col("line")).alias("level"), "line", normalised(F.col("line")).alias("norm"))
-    return each.withColumn("key", F.when(F.col("norm") != "", F.md5("norm"))).drop("norm")
+    """Lines of every message: scope, message_id, ``lines`` (level, ``key``: 128-bit hash of the normalised line)."""
+    each = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    return messages.select("scope", "message_id", F.transform(each, lambda x: F.struct(level(x).alias("level"), F.md5(normalised(x)).alias("key"))).alias("lines"))
 
 
-def passages(quoted: DataFrame) -> DataFrame:
-    """Runs of lines of one level in a message: scope, message_id, level, start, n_lines, ``hash``."""
-    per = quoted.filter("level > 0").groupBy("scope", "message_id").agg(F.array_sort(F.collect_list(F.struct("pos", "level", "key"))).alias("x"))
-    first = F.filter(F.transform("x", lambda v, i: F.struct(i.alias("i"), (
-        (i == 0) | (F.get("x", i - 1)["level"] != v["level"]) | (F.get("x", i - 1)["pos"] != v["pos"] - 1)).alias("s"))), lambda v: v["s"])
-    runs = per.withColumn("b", F.transform(first, lambda v: v["i"]))
-    cut = F.transform("b", lambda at, k: F.slice("x", at + 1, F.coalesce(F.get("b", k + 1), F.size("x")) - at))
-    return runs.select("scope", "message_id", F.explode(cut).alias("run")).select(
-        "scope", "message_id", F.element_at("run", 1)["level"].alias("level"), F.element_at("run", 1)["pos"].alias("start"), F.size("run").alias("n_lines"),
-        F.md5(F.array_join(F.transform("run", lambda v: v["key"]), ",")).alias("hash"))
+def passages(each: DataFrame) -> DataFrame:
+    """Runs of lines of one level in a message: scope, message_id, level, start, n_lines, ``keys`` (of lines that are not blank), ``hash``."""
+    first = F.filter(F.transform("lines", lambda v, i: F.when((i == 0) | (F.get("lines", i - 1)["level"] != v["level"]), i)), lambda i: i.isNotNull())
+    cut = F.transform("b", lambda at, k: F.struct(at.alias("start"), F.slice("lines", at + 1, F.coalesce(F.get("b", k + 1), F.size("lines")) - at).alias("run")))
+    runs = each.withColumn("b", first).select("scope", "message_id", F.explode(cut).alias("r"))
+    keys = F.filter(F.transform("r.run", lambda v: v["key"]), lambda k: k != BLANK)
+    return runs.select("scope", "message_id", F.element_at("r.run", 1)["level"].alias("level"), F.col("r.start").alias("start"),
+                       F.size("r.run").alias("n_lines"), keys.alias("keys")).withColumn("hash", F.md5(F.array_join("keys", ",")))
+
+
+def origins(quoted: DataFrame, held: DataFrame) -> DataFrame:
+    """Rows of ``quoted`` that have an origin, with ``origin`` and ``only`` (one message has the key at that level).
+
+    ``quoted`` has scope, message_id, level, key, each once, and ``n``;
+    ``held`` has scope, message_id, level, key, in any number.
+    """
+    ends = held.groupBy("scope", "key", "level").agg(F.min("message_id").alias("first"), F.max("message_id").alias("last"))
+    ends = ends.groupBy("scope", "key").agg(F.sort_array(F.collect_list(F.struct("level", "first", "last")), asc=False).alias("ends"))
+    fit = F.get(F.filter("ends", lambda e: (e["level"] < F.col("level")) & (e["first"] < F.col("message_id"))), 0)
+    met = written(quoted.join(ends, ["scope", "key"]).withColumn("e", fit).filter("e is not null")
+                  .select("scope", "message_id", "level", "key", "n", F.col("e.level").alias("at"), F.col("e.first").alias("first"), F.col("e.last").alias("last")), "met")
+    found = met.filter("last < message_id").select("scope", "message_id", "level", "key", "n", F.col("last").alias("origin"), (F.col("first") == F.col("last")).alias("only"))
+    between = met.filter("last >= message_id")
+    if between.isEmpty():
+        return found
+    at = latest(between.select("scope", "key", "at", "message_id").distinct(), held.withColumnRenamed("level", "at"))
+    return found.unionByName(between.join(at, ["scope", "key", "at", "message_id"])
+                             .select("scope", "message_id", "level", "key", "n", "origin", F.lit(False).alias("only")))
+
+
+def latest(wanted: DataFrame, held: DataFrame) -> DataFrame:
+    """``wanted`` (scope, key, at, message_id) with ``origin``, the latest earlier message of ``held`` (same columns); each has one."""
+    group = ["scope", "key", "at"]
+    both = (held.select(*group, "message_id").distinct().join(wanted.select(*group).distinct(), group, "left_semi").withColumn("held", F.lit(1))
+            .unionByName(wanted.withColumn("held", F.lit(0))))
+    ranged = written(both.repartitionByRange(*group, "message_id").withColumn("part", F.spark_partition_id()), "ranged")
+    # the last holder so far, in this range and, one row a range, in those before
+    holder = F.max(F.when(F.col("held") == 1, F.struct(*group, "message_id")))
+    start = Window.unboundedPreceding
+    here = ranged.withColumn("here", holder.over(Window.partitionBy("part").orderBy(*group, "message_id", "held").rowsBetween(start, 0)))
+    before = ranged.groupBy("part").agg(holder.alias("x")).select("part", F.max("x").over(Window.orderBy("part").rowsBetween(start, -1)).alias("before"))
+    return (here.filter("held = 0").join(F.broadcast(before), "part")
+            .select(*group, "message_id", F.coalesce("here", "before")["message_id"].alias("origin")))
 
 
 def linked(messages: DataFrame) -> DataFrame:
@@ -66,11 +110,18 @@ def linked(messages: DataFrame) -> DataFrame:
     and ``text``.
     """
     plain = messages.select(F.coalesce(F.col("scope").cast("string"), F.lit("\x00null")).alias("scope"), F.col("message_id").cast("long").alias("message_id"), "text")
-    each = written(lines(plain), "lines")
-    origins = each.filter("level = 0 and key is not null").groupBy("scope", "key").agg(F.min("message_id").alias("origin"))
-    quoted = each.filter("level = 1 and key is not null").join(origins, ["scope", "key"]).filter("origin < message_id")
-    parents = quoted.groupBy("scope", "message_id", "origin").agg(F.count(F.lit(1)).alias("c")).groupBy("scope", "message_id").agg(
-        F.max_by("origin", F.struct("c", "origin")).alias("parent"))
+    each = written(passages(lines(plain)).filter(F.size("keys") > 0), "passages")
+    place = ["scope", "message_id", "level"]
+    whole = each.select(*place, F.col("hash").alias("key"), F.size("keys").alias("n"))
+    found = written(origins(whole.filter("level > 0").groupBy(*place, "key").agg(F.sum("n").alias("n")), whole.drop("n")), "found")
+    votes = found.select(*place, "origin", "n", F.col("n").alias("sure"))
+    rest = written(each.filter("level > 0").join(found.select(*place, F.col("key").alias("hash")), [*place, "hash"], "left_anti")
+                   .select(*place, F.explode("keys").alias("key")).groupBy(*place, "key").agg(F.count(F.lit(1)).alias("n")), "rest")
+    if not rest.isEmpty():
+        held = each.select(*place, F.explode("keys").alias("key")).join(rest.select("scope", "key").distinct(), ["scope", "key"], "left_semi")
+        votes = votes.unionByName(origins(rest, held).select(*place, "origin", "n", F.when(F.col("only"), F.col("n")).otherwise(0).alias("sure")))
+    parents = votes.groupBy(*place, "origin").agg(F.sum("n").alias("n"), F.sum("sure").alias("sure")).groupBy("scope", "message_id").agg(
+        F.max_by("origin", F.struct(-F.col("level"), "sure", "n", "origin")).alias("parent"))
     links = written(parents, "parents")
     # pointer doubling: where each message's pointer leads, and over how many
     # replies; a pointer that has reached a root is settled and not joined again
