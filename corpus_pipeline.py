@@ -28,8 +28,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, 80 %)."""
-    gone = minmax.near_duplicates(docs, width=5, num=80, den=100).filter(~F.col("kept")).select("_k1", "_k2")
-    return docs.select(*COLUMNS, *row_key(docs)).join(gone, ["_k1", "_k2"], "left_anti").select(*COLUMNS)
+    found = minmax.near_duplicates(docs, width=5, num=80, den=100).filter("root is not null").groupBy("root", "_k1", "_k2").agg(
+        F.min(F.coalesce("doc_id", F.lit(minmax.LAST))).alias("id"), F.count(F.lit(1)).alias("c"))
+    found = written(found, "found")
+    # of each component the smallest id, then the smallest text hash
+    first = written(found.groupBy("root").agg(F.min(F.struct("id", "_k2", "_k1", "c")).alias("x"), F.count(F.lit(1)).alias("keys")), "first")
+    gone = (found.join(first.filter("keys > 1").select("root", F.col("x._k1").alias("a"), F.col("x._k2").alias("b")), "root")
+            .filter("_k1 <> a or _k2 <> b").select("_k1", "_k2"))
+    left = docs.select(*COLUMNS, *row_key(docs)).join(gone, ["_k1", "_k2"], "left_anti")
+    again = first.filter("x.c > 1").select("x._k1", "x._k2")
+    if again.isEmpty():
+        return left.select(*COLUMNS)
+    # rows equal in id and text are one document
+    one = left.join(again, ["_k1", "_k2"], "left_semi").groupBy("_k1", "_k2").agg(F.min(F.struct(*COLUMNS)).alias("x")).select("x.*")
+    return left.join(again, ["_k1", "_k2"], "left_anti").select(*COLUMNS).unionByName(one)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

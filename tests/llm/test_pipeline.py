@@ -22,3 +22,13 @@ def test_stages_keep_the_columns_and_only_drop(spark):
 
 def test_every_operator_has_one_query():
     assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 11))
+
+
+def test_near_dedup_keeps_one_row_of_a_group(spark):
+    """Repeated ids, rows loaded twice and groups without ids; texts without words are alone."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(1, a), (1, a), (1, a + " end"), (2, a), (None, b), (None, b), (None, b + " end"), (5, c), (None, c), (7, "alone"), (8, None), (8, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()]
+    assert len(got) == 6 and sorted(str(i) for i, _ in got) == ["1", "5", "7", "8", "8", "None"]
+    assert {i: t[0] for i, t in got if t} == {1: "a", None: "b", 5: "c", 7: "a"}

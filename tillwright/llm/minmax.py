@@ -139,7 +139,9 @@ def _confirm(width: int, num: int, den: int):
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, num: int = 85, den: int = 100) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id``, ``kept``, ``n_links`` and the row key.
+    """``doc_id``, ``n_shingles``, ``component_id``, ``kept``, ``n_links``, ``root`` and the row key.
+
+    ``root`` is the same for all rows of a component, and null for a text without shingles.
 
     ``n_links`` counts the confirmed links of the document's class that were
     compared; documents with equal sets have the same.
@@ -201,12 +203,12 @@ def near_duplicates(docs: DataFrame, width: int = 3, num: int = 85, den: int = 1
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     rooted = classes.select("node", "id").join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = rooted.join(smallest, "root").join(degree, "node", "left").select("node", "component_id", "n_links")
+    named = rooted.join(smallest, "root").join(degree, "node", "left").select("node", "root", "component_id", "n_links")
     own = F.when(F.col("id") != LAST, F.col("id"))
     comp = F.coalesce("component_id", "id")
     return (signed.select("_k1", "_k2", "id", "n", "node").join(named, "node", "left")
             .select(own.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(comp != LAST, comp).alias("component_id"), (F.col("id") == comp).alias("kept"),
-                    F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "_k1", "_k2"))
+                    F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "root", "_k1", "_k2"))
 
 
 def _repeats(signed: DataFrame) -> bool:
