@@ -101,6 +101,18 @@ def test_benchmark_windows(spark, docs, empty, rows, block_words):
     assert all(not r.spans for r in wumanber.decontaminate(docs, tests.limit(0)).collect())
 
 
+def test_benchmark_blocks_are_bounded(spark, monkeypatch):
+    """Repeated rows count once, and a long text comes in pieces."""
+    long = [f"t{k}" for k in range(200)]
+    items = [(1, "a b c d e f g h i j k l")] * 300 + [(2, " ".join(long))] + [(k, f"u{k} v{k} w{k}") for k in range(3, 60)]
+    seen = []
+    monkeypatch.setattr(wumanber, "compiled", lambda x, window, made=wumanber.compiled: seen.append(sum(len(w) for _, w in x)) or made(x, window))
+    frame = spark.createDataFrame([(k, " ".join(long[k:k + 10])) for k in range(191)], "doc_id long, text string")
+    got = wumanber.decontaminate(frame, spark.createDataFrame(items, "item_id long, text string"), block_words=30)
+    assert all(r.spans == [0, 10] and r["items"] == ["2"] for r in got.collect())
+    assert len(seen) > 1 and max(seen) <= 30
+
+
 def test_near_duplicates(docs, empty, rows):
     def shingles(t):
         w = words((t or "").translate(LOWER))

@@ -155,6 +155,25 @@ def _merged(a: list[int], b: list[int]) -> list[int]:
     return out
 
 
+def dealt(listed: DataFrame, block_words: int) -> tuple[int, list[list[int]]]:
+    """A modulus of the hash ``h``, and its residues in blocks of at most ``block_words`` words (or one row)."""
+    total = listed.agg(F.sum(F.size("words"))).first()[0] or 0
+    modulus = 1 if total <= block_words else 16 * -(-total // block_words)
+    while True:
+        sizes = listed.groupBy(F.pmod("h", F.lit(modulus)).alias("r")).agg(F.sum(F.size("words")).alias("n"), F.count(F.lit(1)).alias("c"))
+        if modulus >= 2**60 or sizes.filter((F.col("n") > block_words) & (F.col("c") > 1)).isEmpty():
+            break
+        modulus *= 4
+    blocks, room = [], 0
+    for r, n in sorted((x.r, x.n) for x in sizes.collect()):
+        if not blocks or n > room:
+            blocks.append([])
+            room = block_words
+        blocks[-1].append(r)
+        room -= n
+    return modulus, blocks or [[0]]
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS,
                   item_id: str = "item_id", keep: list[str] = ()) -> DataFrame:
     """Occurrences of item windows in documents.
@@ -166,16 +185,21 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, block_wor
     spark = docs.sparkSession
     small_batches(spark)
     words = F.expr(r"regexp_extract_all(_text, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', 0)")
-    listed = written(items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item"), lower_ascii(F.col("text")).alias("_text"))
-                     .select("item", words.alias("words")).filter(F.size("words") > 0), "items")
-    total = listed.agg(F.sum(F.size("words"))).first()[0] or 0
-    n_blocks = max(1, -(-total // block_words))
+    listed = (items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item"), lower_ascii(F.col("text")).alias("_text"))
+              .select("item", words.alias("words")).filter(F.size("words") > 0))
+    # a text over the bound in pieces that hold every window between them
+    step = max(1, block_words - window + 1)
+    pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.size("words") - window, F.lit(0)), F.lit(step)), lambda at: F.slice("words", at + 1, step + window - 1))
+    listed = written(listed.select("item", F.explode(F.when(F.size("words") > block_words, pieces).otherwise(F.array("words"))).alias("words"))
+                     .distinct().withColumn("h", F.xxhash64("item", "words")), "items")
+    modulus, blocks = dealt(listed, block_words)
+    n_blocks = len(blocks)
 
     out = docs.select("doc_id", *keep, F.col("text").alias("_text"), F.lit(None).cast("array<long>").alias("spans"),
                       F.lit(None).cast("array<string>").alias("items"))
     id_type = out.select("doc_id", *keep).schema
     for b in range(n_blocks):
-        block = listed.filter(F.pmod(F.xxhash64("item", "words"), F.lit(n_blocks)) == b)
+        block = listed.filter(F.pmod("h", F.lit(modulus)).isin(blocks[b]))
         sent = spark.sparkContext.broadcast(cloudpickle.dumps(compiled([(r.item, r.words) for r in block.collect()], window)))
         last = b == n_blocks - 1
         fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in id_type] + (["n_words long"] if last else ["_text string"])
