@@ -109,3 +109,16 @@ def test_limits_of_all_dimensions_hold_without_cuts():
     assert sorted(seen) == list(range(500))
     with pytest.raises(ValueError, match="over a limit"):
         list(packing.fill_bins([(101, 0)], (100, 4, 60), cut=True, slack=0.0))
+
+
+def test_packing_under_a_loss_limit(spark):
+    """Prompts bear no loss; the rest of each sequence stays under a limit lower than its tokens."""
+    docs = [(i, "alpha beta gamma delta " * 10, 30 if i % 2 else 0) for i in range(60)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, quiet_tokens long")
+    rows = packing.pack(frame.coalesce(1), BYTE, 0, max_tokens=256, max_loss=100, loss_from="quiet_tokens").collect()
+    tokens, loss = defaultdict(int), defaultdict(int)
+    for r in rows:
+        tokens[r.sequence_id] += r.length
+        loss[r.sequence_id] += r.loss_tokens
+    assert sum(tokens.values()) == sum({r.doc_id: r.doc_tokens for r in rows}.values())
+    assert max(loss.values()) <= 100 < max(tokens.values()) <= 256
