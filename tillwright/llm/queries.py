@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwright.llm import cover, licences, lines, minmax, packing, planes, quality, quotes, urls, wumanber
+from tillwright.llm import bigru, cover, licences, lines, merkle, minmax, negatives, packing, planes, quality, quotes, sql, urls, wumanber
 from tillwright.llm.common import table
 from tillwright.session import checkpoint_dir
 
@@ -88,8 +88,33 @@ def op10_url_associations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages"))
 
 
+def op11_byte_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by a recurrent network over its bytes."""
+    docs = table(spark, sf_dir, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 5
+    found = bigru.identify(docs, *bigru.fitted(docs, "lang", F.coalesce(fold != 0, F.lit(False))))
+    return found.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "lang_pred", "score",
+                        F.aggregate(F.map_values("labelled"), F.lit(0).cast("long"), lambda a, x: a + x).alias("n_positions"))
+
+
+def op12_hilbert_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, ten for each of five positives."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = negatives.vectors(table(spark, sf_dir, "embeddings"), "vec_id", label, "embedding", lambda x: F.floor(x * 256))
+    return negatives.mine(rows, every=100, positives=5, negatives=10, least=30, most=90)
+
+
+def op13_merkle_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest of documents with a proof of every row, some of them tampered with."""
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    found = merkle.manifest(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"],
+                            group="source", order="doc_id", changed="text", tampered=tampered)
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_licence_scans, op2_quotation_linking, op3_token_planes, op4_difference_cover, op5_wu_manber, op6_min_max_hashing,
-    op7_vector_packing, op8_line_bitmaps, op9_quality_cascade, op10_url_associations)}
+    op7_vector_packing, op8_line_bitmaps, op9_quality_cascade, op10_url_associations,
+    op11_byte_bigru, op12_hilbert_zones, op13_merkle_descent)}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = sql.ORACLE
