@@ -98,6 +98,8 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> Dat
              .withColumn("key", lower_ascii(F.btrim("line", F.lit(SPACE_CHARS))))
              .filter(F.length("key") >= max(1, min_chars))
              .select(F.unhex(F.md5("key")).alias("h"), "_k1", "_k2", "pos", "n_lines"))
+    # written once: the bounds of the ranges are found by reading the hashes, not the texts, again
+    lines = written(lines, "hashed-lines")
     order = ["h", "_k1", "_k2"]
     found = written(lines.repartitionByRange(*order).sortWithinPartitions(*order, "pos")
                     .mapInPandas(_stream(min_docs), FOUND), "lines")
@@ -123,7 +125,7 @@ def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, carried: tuple[str, ...] =
     """``doc_id``, the columns ``carried``, ``n_lines``, ``n_dropped`` and ``kept`` (the lines that stay, joined)."""
     lost = bitmaps.select("_k1", "_k2", "n_dropped", "keep")
     plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"), *row_key(docs), F.struct(F.lit(0), *carried).alias("_c"))
-    joined = plain.join(lost, ["_k1", "_k2"], "left")
+    joined = plain.join(lost.hint("merge"), ["_k1", "_k2"], "left")  # the same plan at every size
     kept = F.when(F.col("keep").isNull(), F.col("_text")).otherwise(_apply(F.col("_text"), F.col("keep")))
     n = F.length("_text") - F.length(F.replace(F.col("_text"), F.lit("\n"), F.lit(""))) + 1
     return joined.select("doc_id", *(F.col(f"_c.`{c}`") for c in carried), n.cast("long").alias("n_lines"),
