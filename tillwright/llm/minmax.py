@@ -8,10 +8,11 @@ bucket are candidates, and links are confirmed on the full shingle sets.
 Documents with equal sets are one class from the start.  Inside a bucket no
 pairs are listed: its smallest class is the hub, every member is compared with
 the hub, and components are formed.  A hub is settled then, and a bucket whose
-other members are in one component is closed.  In an open one, members outside
-its largest component become the next hubs (all of them if there are few, else
-some chosen by hash, ``GROWTH`` times as many in every round), until each pair
-of a bucket is compared or in one component.  So nothing that shares a bucket
+other members are in one component is closed.  Of an open one only the members
+outside its largest component are carried on; they become the next hubs (all of
+them if there are few, else some chosen by hash, ``GROWTH`` times as many in
+every round) and meet the whole bucket again, until each pair of a bucket is
+compared or in one component.  So nothing that shares a bucket
 is lost, a group of thousands of near copies costs a few comparisons a member,
 and the rounds grow with the logarithm of a bucket.
 
@@ -170,24 +171,27 @@ def near_duplicates(docs: DataFrame, width: int = 3, num: int = 85, den: int = 1
     links = confirmed(first.filter(may_link(num, den)).select("a", "b"))
     all_links = [links]
     roots = components(links, "a", "b", written)
-    # members not yet compared with their whole bucket; the first hubs are
-    open_, slots = members.filter("node <> hub"), HUBS
+    root_of = lambda df: df.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # outsiders: members that are neither the first hub nor in their bucket's largest component, which ``lead`` names
+    members = written(members.join(classes.select("node", "n", "s"), "node"), "sketched")
+    now = root_of(members.filter("node <> hub").drop("hub"))
+    largest = (now.groupBy("band", "h", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("band", "h").agg(F.sum("c").alias("c"), F.max(F.struct("c", "root")).alias("l"))
+               .filter("c > l.c").select("band", "h", F.col("l.root").alias("lead")))
+    open_, slots = written(now.join(largest, ["band", "h"]).filter("root <> lead").drop("root"), "outsiders"), HUBS
     while True:
-        now = open_.join(roots, "node", "left").select("band", "h", "node", F.coalesce("root", "node").alias("root"))
-        mixed_ = (now.groupBy("band", "h", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("band", "h")
-                  .agg(F.sum("c").alias("c"), F.max(F.struct("c", "root")).alias("l")).filter("c > l.c")
-                  .select("band", "h", F.col("l.root").alias("largest"), (F.col("c") - F.col("l.c")).alias("others")))
-        now = written(now.join(mixed_, ["band", "h"]).join(classes.select("node", "n", "s"), "node"), "open")
-        # all members outside the largest component if they are few, or some of them by hash
+        leads = roots.select(F.col("node").alias("lead"), F.col("root").alias("to"))
+        now = root_of(open_).join(leads, "lead", "left").withColumn("lead", F.coalesce("to", "lead")).drop("to").filter("root <> lead")
+        others = now.groupBy("band", "h").agg(F.count(F.lit(1)).alias("others"))
+        now = written(now.join(others, ["band", "h"]), "open")
+        # all outsiders of a bucket if they are few, or some of them by hash
         slot = F.when(F.col("others") <= slots, F.xxhash64("node")).otherwise(F.pmod(F.xxhash64("node"), F.lit(slots)))
-        hubs = written(now.filter("root <> largest").groupBy("band", "h", slot.alias("slot"))
-                       .agg(F.min(F.struct("node", "n", "root", "s")).alias("x")).select("band", "h", "x.*"), "hubs")
+        hubs = written(now.groupBy("band", "h", slot.alias("slot")).agg(F.min(F.struct("node", "n", "root", "s")).alias("x")).select("band", "h", "x.*"), "hubs")
         if hubs.isEmpty():
             break
-        open_, slots = now.join(hubs, ["band", "h", "node"], "left_anti").select("band", "h", "node"), slots * GROWTH
-        other = now.select("band", "h", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("s").alias("sb"))
-        pairs = (hubs.withColumnsRenamed({"node": "a", "n": "na", "root": "ra", "s": "sa"}).join(other, ["band", "h"]).filter("ra <> rb").filter(may_link(num, den))
-                 .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        open_, slots = now.join(hubs, ["band", "h", "node"], "left_anti").drop("root", "others"), slots * GROWTH
+        other = root_of(members).select("band", "h", "hub", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("s").alias("sb"))
+        pairs = (hubs.withColumnsRenamed({"node": "a", "n": "na", "root": "ra", "s": "sa"}).join(other, ["band", "h"])
+                 .filter("ra <> rb and b <> hub").filter(may_link(num, den)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         new = confirmed(pairs)
         if new.isEmpty():
             continue
