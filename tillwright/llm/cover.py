@@ -11,7 +11,9 @@ windows, hashed as a whole (128 bits), must be equal too.
 Equal hashes are found by sorting: rows are dealt by ranges of (hash, row), so
 that a passage of a third of all documents is shared by many tasks; a task
 streams over neighbours, and the two rows at the edges of a range are settled
-with those of the next.  Texts with an equal copy lose all their words if they
+with those of the next.  The bounds of the ranges come from the rows of about
+``BOUND_DOCS`` documents; any bounds give the same result, they only share out
+the work.  Texts with an equal copy lose all their words if they
 have a window; only one copy of them is extended.
 
 Defined results: a null or empty text has no words and keeps none; a text of
@@ -43,17 +45,40 @@ COVER = (3, 6, 7, 12, 14)  # differences give every remainder by 21
 SHARED, EDGE, MARK = 0, 1, 2
 
 
-def _keys(docs: DataFrame):
-    """Row key of two numbers, the second of 32 bits (it only parts rows of one id)."""
-    k1, k2 = row_key(docs)
-    return k1, F.shiftright(k2, 32).cast("int").alias("_k2")
+BOUND_DOCS, BOUND_ROWS = 2000, 20_000  # documents and rows that the bounds are found with
 
+KEY = ("_k1", "_k2")
+ORDER = ("h", "g", *KEY, "pos")
 
-def _packed(k2: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    return (k2.astype(np.int64) << 32) | pos
 
+def _ranges(cols: list[np.ndarray], bounds: list[np.ndarray]) -> np.ndarray:
+    """Number of ``bounds`` (sorted) that are not above each row, columns compared in turn."""
+    left, right = (np.searchsorted(bounds[0], cols[0], side) for side in ("left", "right"))
+    part = right.astype(np.int32)
+    hot = np.flatnonzero(left < right)  # hashes that are bounds themselves: a passage so frequent that it is cut
+    if len(hot):
+        both = [np.concatenate((b, c[hot])) for b, c in zip(bounds, cols, strict=True)]
+        order = np.lexsort(both[::-1])  # stable: a bound before the row that equals it
+        before = np.cumsum(order < len(bounds[0]))
+        at = np.empty(len(order), np.int64)
+        at[order] = before
+        part[hot] = at[len(bounds[0]):]
+    return part
 
-def _anchors(width: int):
+
+def _table(cols: list[np.ndarray], bounds: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({n: pa.array(c) for n, c in zip(ORDER, cols, strict=True)} | {"part": pa.array(_ranges(cols, bounds))})
+
+
+def _bounds(rows: DataFrame, parts: int) -> list[np.ndarray]:
+    """Bounds of ``parts`` ranges of about as many of ``rows`` each, from ``BOUND_ROWS`` of them chosen by hash."""
+    some = rows.select(*ORDER).orderBy(F.xxhash64(*KEY, "pos")).limit(BOUND_ROWS).collect()
+    some = sorted(tuple(r) for r in some)
+    cut = [some[len(some) * k // parts] for k in range(1, parts)] if some else []
+    return [np.array([r[i] for r in cut], np.int64) for i in range(len(ORDER))]
+
+
+def _anchors(width: int, bounds: list[np.ndarray]):
     def run(batches):
         for batch in batches:
             hashes, counts = word_hashes(batch.column("text").cast(pa.string()), lower=False)
@@ -63,12 +88,12 @@ def _anchors(width: int):
             pos = np.arange(len(hashes)) - begins[owner]
             ok = np.isin(pos % PERIOD, COVER) & (pos + width <= counts[owner])
             at, owner, pos = np.flatnonzero(ok), owner[ok], pos[ok]
-            k1, k2 = (batch.column(c).to_numpy() for c in ("_k1", "_k2"))
-            yield pa.RecordBatch.from_pydict({"h": every[at].view(np.int64), "g": np.zeros(len(at), np.int64), "_k1": k1[owner], "kp": _packed(k2[owner], pos)})
+            k1, k2 = (batch.column(c).to_numpy() for c in KEY)
+            yield _table([every[at].view(np.int64), np.zeros(len(at), np.int64), k1[owner], k2[owner], pos], bounds)
     return run
 
 
-def _extended(length: int, width: int):
+def _extended(length: int, bounds: list[np.ndarray]):
     """Windows that hold a shared anchor at a possible place."""
     def run(batches):
         for batch in batches:
@@ -83,17 +108,17 @@ def _extended(length: int, width: int):
             place = np.unique(begins[doc[ok]] + start[ok])
             doc = np.searchsorted(begins + counts, place, side="right")
             h, g = windows(hashes, length), windows(hashes ^ np.uint64(0x5851F42D4C957F2D), length)
-            k1, k2 = (batch.column(c).to_numpy() for c in ("_k1", "_k2"))
-            yield pa.RecordBatch.from_pydict({"h": h[place].view(np.int64), "g": g[place].view(np.int64), "_k1": k1[doc], "kp": _packed(k2[doc], place - begins[doc])})
+            k1, k2 = (batch.column(c).to_numpy() for c in KEY)
+            yield _table([h[place].view(np.int64), g[place].view(np.int64), k1[doc], k2[doc], place - begins[doc]], bounds)
     return run
 
 
-ROWS = "h long, g long, _k1 long, kp long"
+ROWS = "h long, g long, _k1 long, _k2 long, pos long"
 
 
 def _neighbours(batches):
     """Sorted rows -> rows whose hash occurs again; at the edges of a range see ``repeated``."""
-    names = ("h", "g", "_k1", "kp")
+    names = ORDER
     carry, open_run, first = None, 0, True  # last row, rows of its run so far, no run has ended yet
 
     def table(cols, state):
@@ -124,19 +149,18 @@ def _neighbours(batches):
         yield table(carry, EDGE if open_run == 1 else MARK)
 
 
-def repeated(rows: DataFrame, store) -> DataFrame:
-    """``_k1``, ``kp`` of the rows whose (h, g) occurs twice or more.
+def repeated(rows: DataFrame, parts: int, store) -> DataFrame:
+    """``_k1``, ``_k2``, ``pos`` of the rows whose (h, g) occurs twice or more.
 
     A run of equal hashes inside a range is settled there.  The first and the
     last run of a range may go on in another: each gives one row, ``EDGE`` if
     it is alone in its range and ``MARK`` if not, and equal ones are counted.
     """
-    found = store(rows.repartitionByRange("h", "g", "_k1", "kp").sortWithinPartitions("h", "g", "_k1", "kp")
-                  .mapInArrow(_neighbours, ROWS + ", state int"))
-    edge = found.filter(F.col("state") != SHARED)
-    twice = edge.groupBy("h", "g").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h", "g")
-    late = edge.filter(F.col("state") == EDGE).join(twice, ["h", "g"], "left_semi")
-    return found.filter(F.col("state") == SHARED).select("_k1", "kp").unionByName(late.select("_k1", "kp"))
+    found = store(rows.repartitionById(parts, "part").sortWithinPartitions(*ORDER).select(*ORDER).mapInArrow(_neighbours, ROWS + ", state int"))
+    # at most two rows of a range
+    edges = (found.filter(F.col("state") != SHARED).groupBy("h", "g").agg(F.collect_list(F.struct(*KEY, "pos", "state")).alias("rows"))
+             .filter(F.size("rows") > 1).select(F.inline("rows")))
+    return found.filter(F.col("state") == SHARED).select(*KEY, "pos").unionByName(edges.filter(F.col("state") == EDGE).select(*KEY, "pos"))
 
 
 def remove_repeats(docs: DataFrame, length: int = 35) -> DataFrame:
@@ -146,22 +170,32 @@ def remove_repeats(docs: DataFrame, length: int = 35) -> DataFrame:
     width = length - PERIOD + 1
     if width < 1:
         raise ValueError(f"windows of at least {PERIOD} words are needed")
-    rows = docs.select(*_keys(docs), F.col("text").cast("string").alias("text"))
-    split = lambda df: df.select("_k1", F.shiftright("kp", 32).cast("int").alias("_k2"), F.col("kp").bitwiseAND(F.lit(2**32 - 1)).cast("int").alias("pos"))
-    anchors = split(repeated(rows.mapInArrow(_anchors(width), ROWS), lambda df: written(df, "anchors")))
-    anchors = anchors.groupBy("_k1", "_k2").agg(F.collect_set("pos").alias("anchors"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    schema, none = ROWS + ", part int", [np.zeros(0, np.int64)] * len(ORDER)
+    rows = docs.select("doc_id", *row_key(docs), F.col("text").cast("string").alias("text"))
+    few = rows.sample(min(1.0, BOUND_DOCS / max(1, rows.count())), seed=3)
+    bounds = _bounds(few.select(*KEY, "text").mapInArrow(_anchors(width, none), schema), parts)
+    anchors = repeated(rows.select(*KEY, "text").mapInArrow(_anchors(width, bounds), schema), parts, lambda df: written(df, "anchors"))
+    anchors = anchors.groupBy(*KEY).agg(F.collect_set(F.col("pos").cast("int")).alias("anchors"))
 
     # texts that have an equal copy: one of them, by key, is extended for all
-    hashed = rows.select("_k1", "_k2", F.md5("text").alias("m")).filter("m is not null")
-    copied = hashed.groupBy("m").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("_k1", "_k2")).alias("one")).filter("c > 1")
-    copies = written(hashed.join(copied, "m").select("_k1", "_k2", (F.struct("_k1", "_k2") == F.col("one")).alias("one")).distinct(), "copies")
-    anchors = anchors.join(copies.filter(~F.col("one")), ["_k1", "_k2"], "left_anti")
-
-    starts = split(repeated(rows.join(anchors, ["_k1", "_k2"]).select("_k1", "_k2", "text", "anchors").mapInArrow(_extended(length, width), ROWS), lambda df: df))
-    gone = starts.groupBy("_k1", "_k2").agg(F.collect_set("pos").alias("starts"))
-    gone = gone.join(copies.select("_k1", "_k2", F.lit(True).alias("whole")), ["_k1", "_k2"], "full")
-    joined = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"), *_keys(docs)).join(gone, ["_k1", "_k2"], "left")
-    return joined.select("doc_id", _removed(length)("_text", "starts", F.coalesce("whole", F.lit(False))).alias("_r")).select(
+    hashed = rows.select(*KEY, F.md5("text").alias("m")).filter("m is not null")
+    copied = hashed.groupBy("m").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(*KEY)).alias("one")).filter("c > 1")
+    copies = written(hashed.join(copied, "m").select(*KEY, (F.struct(*KEY) == F.col("one")).alias("one")).distinct(), "copies")
+    anchors = written(anchors.join(copies.filter(~F.col("one")), list(KEY), "left_anti"), "shared-anchors")
+
+    # both joins of the texts take the same columns, so that the texts are dealt out once
+    def extended(texts: DataFrame, found: DataFrame, ends: list[np.ndarray]) -> DataFrame:
+        joined = texts.join(found.hint("merge"), list(KEY)).select("doc_id", *KEY, "text", "anchors")
+        return joined.mapInArrow(_extended(length, ends), schema)
+
+    some = anchors.join(F.broadcast(few.select(*KEY).distinct().limit(2 * BOUND_DOCS)), list(KEY), "left_semi")
+    bounds = _bounds(extended(few, some, none), parts)
+    starts = repeated(extended(rows, anchors, bounds), parts, lambda df: df)
+    gone = starts.groupBy(*KEY).agg(F.collect_set(F.col("pos").cast("int")).alias("starts"))
+    gone = gone.join(copies.select(*KEY, F.lit(True).alias("whole")), list(KEY), "full")
+    joined = rows.join(gone.hint("merge"), list(KEY), "left")
+    return joined.select("doc_id", _removed(length)(F.coalesce("text", F.lit("")), "starts", F.coalesce("whole", F.lit(False))).alias("_r")).select(
         "doc_id", "_r.n_words", "_r.n_removed", "_r.kept")
 
 
