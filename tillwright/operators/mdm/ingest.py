@@ -18,18 +18,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ...session import checkpoint_dir
+from ...session import checkpoint_dir, written
+from ..components import components
 from ..tables import last_per_key
+from .commands import resolve_redirects
 from .match import candidate_pairs, find_matches, score
 from .merge import merge_golden
 
-MAX_ROUNDS = 64
-
-
-class ComponentsError(RuntimeError):
-    pass
-
-
 def normalise_sources(df: DataFrame, batch_ts) -> DataFrame:
     """Envelope defaults: confidence 1.0, sourceUpdatedAt / ingestedAt = batch time."""
     ts = F.lit(batch_ts).cast("timestamp")
@@ -43,25 +38,15 @@ def normalise_sources(df: DataFrame, batch_ts) -> DataFrame:
     return out
 
 
-def connected_components(spark: SparkSession, nodes: DataFrame, edges: DataFrame,
-                         max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """``(id, component)`` with component = smallest id reachable; min-label
-    propagation over undirected edges ``(a, b)``."""
-    checkpoint_dir(spark)
-    und = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    und = und.checkpoint(eager=True)
+def connected_components(spark: SparkSession, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(id, component)`` with component = smallest id reachable over undirected edges
+    ``(a, b)``, however long the chains are (see ``operators/components.py``)."""
+    und = written(edges.select("a", "b"), "edges")
     if und.isEmpty():  # no edge: every node is its own component, no iteration needed
         return nodes.select(F.col("id"), F.col("id").alias("component"))
-    labels = nodes.select(F.col("id"), F.col("id").alias("label")).checkpoint(eager=True)
-    for _ in range(max_rounds):
-        offers = und.join(labels, und["a"] == labels["id"]).select(F.col("b").alias("id"), "label")
-        new = labels.unionByName(offers).groupBy("id").agg(F.min("label").alias("label"))
-        new = new.checkpoint(eager=True)
-        changed = new.join(labels.withColumnRenamed("label", "old"), "id").where(F.col("label") != F.col("old"))
-        if changed.limit(1).count() == 0:
-            return new.withColumnRenamed("label", "component")
-        labels = new
-    raise ComponentsError(f"components did not converge in {max_rounds} rounds")
+    roots = components(und, "a", "b", written)
+    named = roots.join(roots.groupBy("root").agg(F.min("node").alias("component")), "root").select(F.col("node").alias("id"), "component")
+    return nodes.select("id").join(named, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 @dataclass
@@ -120,9 +105,13 @@ def apply_links(members: DataFrame, commands: DataFrame) -> DataFrame:
 
 
 def merge_goldens(members: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Merge golden pairs: ``mapping(fromId, toId)`` re-points members of
-    ``fromId`` to ``toId`` (re-merge the ``toId`` goldens afterwards)."""
-    mp = mapping.select(F.col("fromId").alias("__from"), F.col("toId").alias("__to"))
+    """Merge golden records at once: ``mapping(fromId, toId)`` re-points members of
+    ``fromId`` to the end of its chain (merge the golden records there again
+    afterwards).  Ids that lead into a cycle stay as they are; see
+    ``commands.resolve_redirects`` for the list of them, and ``commands.apply_commands``
+    for merges in order of time."""
+    ends, _ = resolve_redirects(mapping)
+    mp = ends.select(F.col("fromId").alias("__from"), F.col("toId").alias("__to"))
     j = members.join(mp, members["goldenRecordId"] == mp["__from"], "left")
     return j.withColumn("goldenRecordId", F.coalesce(F.col("__to"), F.col("goldenRecordId"))).drop("__from", "__to")
 

@@ -7,16 +7,18 @@ whole in one task.  ``mostFrequent`` needs value counts and runs as a
 two-level aggregate per such field.  Ties go to the first candidate in
 member order (``order_by``), as in the original's stable sorts.
 
-Deviation: contributions are reported per source *system* (field list and
-record count), and member ids are not collected into the golden row - the
-membership lives in the source table's ``goldenRecordId``; both keep every
-output row bounded.
+A golden row holds no list that grows with its members: ``sources`` is per
+source *system* (field list and record count), and a decision names the winning
+record and, on demand, the first ``candidates`` values it was chosen from.  The
+whole lists are tables: ``candidate_rows`` (one row a golden record, field and
+record with a value) and ``contribution_rows`` (one row a member: the fields that
+its system gave, so also the ids that a golden record was matched from).
 """
 
 from __future__ import annotations
 
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,9 +85,11 @@ def _nest(paths: dict[str, Column]) -> Column:
 
 
 def merge_golden(members: DataFrame, config: dict, *, order_by=("ingestedAt", "id"),
-                 existing: DataFrame | None = None, batch_ts=None, golden_col: str = "goldenRecordId") -> DataFrame:
+                 existing: DataFrame | None = None, batch_ts=None, golden_col: str = "goldenRecordId",
+                 candidates: int = 0) -> DataFrame:
     """Golden rows ``(id, entityType, data, sources, confidence, ...)`` for
-    every golden id present in ``members``."""
+    every golden id present in ``members``.  With ``candidates`` every decision
+    lists that many of its candidates, the first in member order."""
     default_strategy = config.get("defaultStrategy") or "mostRecent"
     default_ranking = config.get("defaultSourceRanking") or []
     data_type = members.schema["data"].dataType
@@ -93,7 +97,7 @@ def merge_golden(members: DataFrame, config: dict, *, order_by=("ingestedAt", "i
     now = F.lit(batch_ts).cast("timestamp") if batch_ts is not None else F.current_timestamp()
 
     m = members.withColumn("__ord", F.struct(*[F.col(c) for c in order_by]))
-    rec_of = lambda v: F.struct(v.alias("value"), F.col("sourceSystem").alias("system"))
+    rec_of = lambda v: F.struct(v.alias("value"), F.col("sourceSystem").alias("system"), F.col("id").alias("record"))
 
     aggs: list[Column] = [F.min_by(F.col("entityType"), F.col("__ord")).alias("entityType")]
     frequent: list[tuple[str, T.DataType]] = []
@@ -145,7 +149,7 @@ def merge_golden(members: DataFrame, config: dict, *, order_by=("ingestedAt", "i
     for path, dtype in fields:
         strategy, rule = plan[path]
         w = F.col(f"`__w_{path}`")
-        value, system = w.getField("value"), w.getField("system")
+        value, system, record = w.getField("value"), w.getField("system"), w.getField("record")
         if strategy == "manual" and existing is not None:
             ev = F.col("__edata")
             for p in path.split("."):
@@ -160,7 +164,8 @@ def merge_golden(members: DataFrame, config: dict, *, order_by=("ingestedAt", "i
         systems[path] = system
         decisions.append(F.when(system.isNotNull(), F.struct(
             F.lit(path).alias("field"), js_text(TypedCol(value, dtype)).alias("selectedValue"),
-            F.lit(strategy).alias("strategy"), system.alias("sourceSystem"))))
+            F.lit(strategy).alias("strategy"), system.alias("sourceSystem"),
+            F.when(~system.isin("golden", "default"), record).alias("sourceRecordId"))))
 
     contrib_pairs = F.filter(F.array(*[F.struct(F.lit(p).alias("field"), s.alias("system"))
                                        for p, s in systems.items()]),
@@ -172,9 +177,46 @@ def merge_golden(members: DataFrame, config: dict, *, order_by=("ingestedAt", "i
         contrib_pairs.alias("__contrib"),
         F.lit(False).alias("needsReview"), created.alias("createdAt"),
         now.alias("updatedAt"), now.alias("lastMergedAt"))
+    if candidates:
+        gold = _with_candidates(gold, candidate_rows(members, order_by=order_by, golden_col=golden_col), candidates)
     return _with_confidence(gold, m, golden_col)
 
 
+def candidate_rows(members: DataFrame, *, order_by=("ingestedAt", "id"), golden_col: str = "goldenRecordId") -> DataFrame:
+    """Every value a field was chosen from: ``id`` (of the golden record), ``field``, ``sourceSystem``,
+    ``sourceRecordId``, ``value`` (as text), ``confidence``, ``updatedAt`` and ``order`` (member order)."""
+    fields = [F.when(_candidate(_data_col(p), t), F.struct(F.lit(p).alias("field"), js_text(TypedCol(_data_col(p), t)).alias("value")))
+              for p, t in leaf_fields(members.schema["data"].dataType)]
+    return (members.where(F.col(golden_col).isNotNull())
+            .select(F.col(golden_col).alias("id"), "sourceSystem", F.col("id").alias("sourceRecordId"), "confidence",
+                    F.col("sourceUpdatedAt").alias("updatedAt"), F.struct(*[F.col(c) for c in order_by]).alias("order"),
+                    F.explode(F.array_compact(F.array(*fields))).alias("f"))
+            .select("id", "f.field", "sourceSystem", "sourceRecordId", "f.value", "confidence", "updatedAt", "order"))
+
+
+def _with_candidates(gold: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """The first ``k`` candidates of each decision: a limit a group before the shuffle, so no group is collected."""
+    first = Window.partitionBy("id", "field").orderBy("order")
+    few = rows.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
+    item = F.struct("rank", "sourceSystem", "sourceRecordId", "value", "confidence", "updatedAt")
+    lists = few.groupBy("id", "field").agg(F.sort_array(F.collect_list(item)).alias("list"))
+    lists = lists.groupBy(F.col("id").alias("__cid")).agg(F.map_from_entries(F.collect_list(F.struct("field", "list"))).alias("__lists"))
+    found = lambda d: F.coalesce(F.element_at("__lists", d["field"]), F.array().cast(few_type))
+    few_type = lists.schema["__lists"].dataType.valueType
+    return gold.join(lists, gold["id"] == lists["__cid"], "left").withColumn(
+        "mergeDecisions", F.transform("mergeDecisions", lambda d: d.withField("candidates", F.coalesce(found(d), F.array().cast(few_type))))).drop("__cid", "__lists")
+
+
+def contribution_rows(gold: DataFrame, members: DataFrame, golden_col: str = "goldenRecordId") -> DataFrame:
+    """One row a member of each golden record: ``id``, ``sourceRecordId``, ``sourceSystem``,
+    ``contributedFields`` (those that its system gave; empty if none) and ``lastUpdatedAt``."""
+    given = gold.select(F.col("id").alias("__gid"), F.explode("sources").alias("s")).select("__gid", F.col("s.sourceSystem").alias("__sys"), F.col("s.contributedFields").alias("__f"))
+    m = members.join(gold.select(F.col("id").alias(golden_col)), golden_col, "left_semi")
+    return (m.join(given, (m[golden_col] == given["__gid"]) & (m["sourceSystem"] == given["__sys"]), "left")
+            .select(F.col(golden_col).alias("id"), m["id"].alias("sourceRecordId"), "sourceSystem",
+                    F.coalesce("__f", F.array().cast("array<string>")).alias("contributedFields"), F.col("sourceUpdatedAt").alias("lastUpdatedAt")))
+
+
 def _with_confidence(gold: DataFrame, members: DataFrame, golden_col: str) -> DataFrame:
     """confidence = sum(conf * fields won by the record's system) / sum(fields), else 0.5."""
     per_sys = (gold.select("id", F.explode("__contrib").alias("c"))

@@ -14,9 +14,10 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.mdm.commands import apply_commands
 from ..operators.mdm.ingest import ingest_batch
 from ..operators.mdm.match import find_matches, score_given_pairs
-from ..operators.mdm.merge import merge_golden
+from ..operators.mdm.merge import candidate_rows, contribution_rows, merge_golden
 
 INGEST_TS = dt.datetime(2024, 6, 1)
 
@@ -139,6 +140,8 @@ def _sql_total(sc: dict[str, str]) -> str:
     return f"({expr} / 1.0::DOUBLE)"
 
 
+_SQL_NAME = "regexp_replace(trim(lower({}.name)), '\\\\s+', ' ', 'g')"
+
 _RULE_COLS = ["s_name", "s_nation", "s_segment", "s_balance", "s_fuzzy", "s_phonetic", "s_since"]
 
 
@@ -182,7 +185,8 @@ def _mdm_matches_sql():
 WITH {SOURCES_SQL},
 scored AS (
   SELECT a.id AS "sourceRecordId", b.id AS "matchedRecordId", {_sql_total(sc)} AS score
-  FROM src a JOIN src b ON a.entityType = b.entityType AND a.id <> b.id)
+  FROM src a JOIN src b ON a.entityType = b.entityType AND a.id <> b.id
+    AND {_SQL_NAME.format('a')} = {_SQL_NAME.format('b')})  -- 0.5 of 1.0 is lost otherwise, and 0.7 is needed
 SELECT "sourceRecordId", "matchedRecordId", 'source' AS "matchedRecordType", round(score, 6) AS score
 FROM scored WHERE score >= 0.7
 """
@@ -267,7 +271,176 @@ def mdm_ingest(spark, sf_dir):
     return res.sources.select("id", "goldenRecordId", F.round("matchScore", 6).alias("matchScore"))
 
 
+def _mdm_ingest_sql():
+    """Each record's best golden record, else the component of the records left that match each other."""
+    sc = _sql_scores("a", "b")
+    same = f"{_SQL_NAME.format('a')} = {_SQL_NAME.format('b')}"
+    return f"""
+WITH RECURSIVE {SOURCES_SQL},
+batch AS (SELECT * FROM src WHERE sourceSystem <> 'crm'),
+golden AS (SELECT * REPLACE ('g-' || sourceId AS id) FROM src WHERE sourceSystem = 'crm'),
+best AS (
+  SELECT a.id, b.id AS gid, {_sql_total(sc)} AS score FROM batch a JOIN golden b ON {same} WHERE {_sql_total(sc)} >= 0.7
+  QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY {_sql_total(sc)} DESC, b.id) = 1),
+alone AS (SELECT * FROM batch WHERE id NOT IN (SELECT id FROM best)),
+edge AS (SELECT a.id AS x, b.id AS y FROM alone a JOIN alone b ON a.id <> b.id AND {same} WHERE {_sql_total(sc)} >= 0.7),
+reach AS (SELECT id AS x, id AS y FROM alone UNION SELECT reach.x, edge.y FROM reach JOIN edge ON edge.x = reach.y)
+SELECT id, gid AS "goldenRecordId", round(score, 6) AS "matchScore" FROM best
+UNION ALL SELECT x, 'golden-' || min(y), 1.0::DOUBLE FROM reach GROUP BY x
+"""
+
+
+# -- M23: what each field was chosen from, and which records gave it ------------------------
+
+def _members_by_key(spark, sf_dir):
+    return mdm_sources(spark, sf_dir).withColumn("goldenRecordId", F.concat(F.lit("g-"), F.col("sourceId")))
+
+
+def mdm_candidates(spark, sf_dir):
+    """Every candidate of every field of every golden record."""
+    return candidate_rows(_members_by_key(spark, sf_dir)).select("id", "field", "sourceSystem", "sourceRecordId", "value", F.round("confidence", 6).alias("confidence"))
+
+
+def _mdm_candidates_sql():
+    number = "regexp_replace(CAST(balance AS VARCHAR), '[.]0$', '')"
+    fields = {"name": "name", "nation": "CAST(nation AS VARCHAR)", "segment": "segment", "balance": number,
+              "since": "strftime(since, '%Y-%m-%dT%H:%M:%S.000Z')"}
+    rows = " UNION ALL ".join(f"""SELECT 'g-' || sourceId AS id, '{f}' AS field, sourceSystem AS "sourceSystem", id AS "sourceRecordId", {v} AS value,
+  round(confidence, 6) AS confidence FROM src WHERE {f} IS NOT NULL AND {v} <> ''""" for f, v in fields.items())
+    return f"WITH {SOURCES_SQL} {rows}"
+
+
+def mdm_contributions(spark, sf_dir):
+    """The records each golden record was matched from, with the number of fields that their system gave."""
+    m = _members_by_key(spark, sf_dir)
+    rows = contribution_rows(merge_golden(m, SURVIVORSHIP_CONFIG, batch_ts=INGEST_TS), m)
+    return rows.select("id", "sourceRecordId", "sourceSystem", F.size("contributedFields").cast("long").alias("n_fields"), "lastUpdatedAt")
+
+
+def _mdm_contributions_sql():
+    return f"""
+WITH {_SURV_CTE}
+SELECT m.gid AS id, m.id AS "sourceRecordId", m.sourceSystem AS "sourceSystem", coalesce(won.fc, 0) AS n_fields, m.upd AS "lastUpdatedAt"
+FROM m LEFT JOIN won ON m.gid = won.gid AND m.sourceSystem = won.sys
+"""
+
+
+def mdm_decisions(spark, sf_dir):
+    """Each decision with the record that won and the first two values it was chosen from."""
+    g = merge_golden(_members_by_key(spark, sf_dir), SURVIVORSHIP_CONFIG, batch_ts=INGEST_TS, candidates=2)
+    return g.select("id", F.explode("mergeDecisions").alias("d")).select(
+        "id", "d.field", "d.strategy", "d.sourceSystem", "d.sourceRecordId",
+        F.array_join(F.transform("d.candidates", lambda c: c["sourceRecordId"]), ",").alias("candidates"))
+
+
+def _mdm_decisions_sql():
+    picks = {"name": ("longestValue", "w.name_sys"), "segment": ("sourceRanking", "w.segment_sys"), "balance": ("highestConfidence", "w.balance_sys"),
+             "since": ("mostRecent", "w.since_sys"), "nation": ("mostFrequent", "nf.nation_sys")}
+    rows = " UNION ALL ".join(f"""SELECT w.gid AS id, '{f}' AS field, '{s}' AS strategy, {sys} AS "sourceSystem",
+  {sys} || substr(w.gid, 2) AS "sourceRecordId", few.candidates FROM w JOIN nf USING (gid) JOIN few USING (gid)""" for f, (s, sys) in picks.items())
+    return f"""
+WITH {_SURV_CTE},
+few AS (SELECT gid, array_to_string(list(id ORDER BY id)[:2], ',') AS candidates FROM m GROUP BY gid)
+{rows}"""
+
+
+# -- M26-M28: a log of commands, one after the other --------------------------------------------
+
+COMMAND_RULES = {"customer": SURVIVORSHIP_CONFIG}
+
+
+def command_log(spark, sf_dir) -> DataFrame:
+    """Two commands a customer, from the whole table: chains of merges, links and unlinks that empty
+    records, commands on records that are gone by then, refreshes."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("n"), F.col("c_acctbal").alias("b"))
+    g = lambda x: F.concat(F.lit("g-"), x.cast("string"))
+    own = lambda system: F.concat(F.lit(system + "-"), F.col("k").cast("string"))
+    kind = F.when(F.col("n") < 8, "merge").when(F.col("n") < 14, "unlink").when(F.col("n") < 22, "link").otherwise("refresh")
+    first = c.select((F.col("k") * 2).alias("seq"), kind.alias("kind"), own("crm").alias("sourceRecordId"),
+                     F.when(F.col("n") < 8, g(F.col("k") + F.col("n") % 3)).otherwise(g(F.col("k") + F.col("n") % 5 - 2)).alias("goldenRecordId"),
+                     F.when(F.col("n") < 8, g(F.col("k") + 1 - F.col("n") % 2)).alias("otherId"))
+    kind = F.when(F.col("b") < 0, "unlink").when(F.col("b") < 5000, "merge").otherwise("link")
+    second = c.select((F.lit(10_000_000_000) - F.col("k")).alias("seq"), kind.alias("kind"), own("erp").alias("sourceRecordId"), g(F.col("k") + 7).alias("goldenRecordId"), g(F.col("k")).alias("otherId"))
+    return first.unionByName(second)
+
+
+COMMAND_LOG_SQL = """
+cmd AS (
+  SELECT c_custkey * 2 AS seq, CASE WHEN c_nationkey < 8 THEN 'merge' WHEN c_nationkey < 14 THEN 'unlink' WHEN c_nationkey < 22 THEN 'link' ELSE 'refresh' END AS kind,
+         'crm-' || c_custkey AS s, CASE WHEN c_nationkey < 8 THEN c_custkey + c_nationkey % 3 ELSE c_custkey + c_nationkey % 5 - 2 END AS g,
+         CASE WHEN c_nationkey < 8 THEN c_custkey + 1 - c_nationkey % 2 END AS o FROM customer
+  UNION ALL
+  SELECT 10000000000 - c_custkey, CASE WHEN c_acctbal < 0 THEN 'unlink' WHEN c_acctbal < 5000 THEN 'merge' ELSE 'link' END,
+         'erp-' || c_custkey, c_custkey + 7, c_custkey FROM customer)
+"""
+
+# One command after the other: the state is the golden record of every source and the records that are left, as maps.
+COMMANDS_SQL = f"""
+WITH RECURSIVE {SOURCES_SQL},
+{COMMAND_LOG_SQL},
+numbered AS (SELECT *, row_number() OVER (ORDER BY seq) AS i FROM cmd),
+start AS (SELECT list(id ORDER BY id) AS ids, list(CAST(sourceId AS BIGINT) ORDER BY id) AS place FROM src),
+ids AS (SELECT unnest(ids) AS s, generate_subscripts(ids, 1) AS p FROM start),
+run AS (
+  SELECT CAST(0 AS BIGINT) AS i, place, (SELECT list(DISTINCT CAST(sourceId AS BIGINT)) FROM src) AS alive, true AS ok, CAST(NULL AS BIGINT) AS again FROM start
+  UNION ALL
+  SELECT i + 1,
+         CASE WHEN NOT good THEN place
+              WHEN kind = 'link' THEN list_concat(place[:p - 1], [g], place[p + 1:])
+              WHEN kind = 'unlink' THEN list_concat(place[:p - 1], [CAST(NULL AS BIGINT)], place[p + 1:])
+              WHEN kind = 'merge' THEN list_transform(place, lambda x: CASE WHEN x = o THEN g ELSE x END)
+              ELSE place END,
+         CASE WHEN good AND kind = 'merge' THEN list_filter(alive, lambda x: x <> o)
+              WHEN good AND kind = 'unlink' AND len(list_filter(place, lambda x: x = was)) = 1 THEN list_filter(alive, lambda x: x <> was)
+              ELSE alive END,
+         good,
+         CASE WHEN NOT good THEN NULL WHEN kind = 'unlink' THEN was ELSE g END
+  FROM (
+    SELECT *, CASE kind WHEN 'unlink' THEN was IS NOT NULL
+                        WHEN 'link' THEN p IS NOT NULL AND list_contains(alive, g)
+                        WHEN 'merge' THEN list_contains(alive, g) AND list_contains(alive, o) AND g <> o AND (list_contains(place, g) OR list_contains(place, o))
+                        ELSE list_contains(alive, g) AND list_contains(place, g) END AS good
+    FROM (SELECT run.i, run.place, run.alive, n.kind, n.g, n.o, ids.p, run.place[ids.p] AS was
+          FROM run JOIN numbered n ON n.i = run.i + 1 LEFT JOIN ids ON ids.s = n.s)))
+"""
+
+
+def _commanded(spark, sf_dir):
+    m = _members_by_key(spark, sf_dir).withColumn("matchScore", F.lit(0.75))
+    goldens = merge_golden(m, SURVIVORSHIP_CONFIG, batch_ts=INGEST_TS)
+    return apply_commands(m, goldens, command_log(spark, sf_dir), COMMAND_RULES, INGEST_TS)
+
+
+def mdm_commands(spark, sf_dir):
+    """Where every source record is after the log."""
+    return _commanded(spark, sf_dir).sources.select("id", "goldenRecordId", "matchScore")
+
+
+def _mdm_commands_sql():
+    return f"""{COMMANDS_SQL},
+ended AS (SELECT place FROM run ORDER BY i DESC LIMIT 1),
+own AS (SELECT n.s, max_by(n.kind, n.i) AS kind FROM numbered n JOIN run USING (i) WHERE run.ok AND n.kind IN ('link', 'unlink') GROUP BY n.s)
+SELECT ids.s AS id, 'g-' || ended.place[ids.p] AS "goldenRecordId",
+       CASE own.kind WHEN 'link' THEN 1.0::DOUBLE WHEN 'unlink' THEN NULL ELSE 0.75::DOUBLE END AS "matchScore"
+FROM ids CROSS JOIN ended LEFT JOIN own ON own.s = ids.s
+"""
+
+
+def mdm_command_log(spark, sf_dir):
+    """Which commands were carried out."""
+    return _commanded(spark, sf_dir).log.select("seq", "kind", "ok")
+
+
+def _mdm_command_log_sql():
+    return f"{COMMANDS_SQL} SELECT n.seq, n.kind, run.ok FROM run JOIN numbered n USING (i)"
+
+
 QUERIES = {
+    "mdm_candidates": mdm_candidates,
+    "mdm_contributions": mdm_contributions,
+    "mdm_decisions": mdm_decisions,
+    "mdm_commands": mdm_commands,
+    "mdm_command_log": mdm_command_log,
     "mdm_scores": mdm_scores,
     "mdm_matches": mdm_matches,
     "mdm_survivorship": mdm_survivorship,
@@ -276,6 +449,12 @@ QUERIES = {
 }
 
 ORACLE = {
+    "mdm_candidates": _mdm_candidates_sql(),
+    "mdm_contributions": _mdm_contributions_sql(),
+    "mdm_decisions": _mdm_decisions_sql(),
+    "mdm_commands": _mdm_commands_sql(),
+    "mdm_command_log": _mdm_command_log_sql(),
+    "mdm_ingest": _mdm_ingest_sql(),
     "mdm_scores": _mdm_scores_sql(),
     "mdm_matches": _mdm_matches_sql(),
     "mdm_survivorship": _mdm_survivorship_sql(),

@@ -201,10 +201,12 @@ def mdm_merge_goldens(spark, sf_dir):
 
 
 MDM_MERGE_GOLDENS_SQL = f"""
-WITH {_MEMBERS_SQL}
-SELECT id, CASE WHEN c.c_acctbal > 8000 THEN 'g-' || CAST(src.k + 1 AS VARCHAR)
-                ELSE 'g-' || CAST(src.k AS VARCHAR) END AS "goldenRecordId"
-FROM src JOIN customer c ON c.c_custkey = src.k
+WITH RECURSIVE {_MEMBERS_SQL},
+walk AS (  -- a chain of merges goes on to its last record
+  SELECT k, k AS x FROM src
+  UNION
+  SELECT walk.k, walk.x + 1 FROM walk JOIN customer c ON c.c_custkey = walk.x AND c.c_acctbal > 8000)
+SELECT id, 'g-' || CAST((SELECT max(x) FROM walk WHERE walk.k = src.k) AS VARCHAR) AS "goldenRecordId" FROM src
 """
 
 

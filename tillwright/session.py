@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every session of ours relies on: UTC timestamps (the oracle and
 # the reference's ISO output are UTC) and adaptive execution, which
@@ -72,3 +73,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", path)
     sc.setCheckpointDir(path)
     return path
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Cut lineage with a table in the shared folder.
+
+    Unlike a checkpoint it also drops the constraints that the optimizer has
+    inferred, which grow from round to round in iterative work.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
