@@ -196,3 +196,73 @@ def test_best_combination_of_thirty_entries(spark):
     df = spark.createDataFrame([(es,)], f"entries array<{ev.ENTRY.simpleString()}>")
     got = df.select(F.explode(ev.best_combination(F.col("entries"))).alias("e")).select("e.idx").collect()
     assert [r["idx"] for r in got] == [i for i in range(29) if i % 3 != 2] + [29]
+
+
+def test_plan_does_not_grow_with_the_discounts(spark):
+    """Ten thousand definitions give the plan of twenty, and the right amounts."""
+    import time
+
+    def many(n):
+        out = []
+        for i in range(n):
+            d = {"id": f"d{i}", "priority": i % 7, "stacking": "stackable", "target": {"type": "cart"}, "value": {"type": "fixedAmount", "amount": 1 + i % 3},
+                 "conditions": [{"type": "or", "conditions": [{"type": "minAmount", "amount": 10 * (i + 1)}, {"type": "not", "condition": {"type": "minQuantity", "quantity": 1}}]}]}
+            if i % 2:
+                d["code"] = f"CODE{i}"
+            out.append(d)
+        return out
+
+    cart = [("c1", [(1, "p1", "a", 2.0, 50.0)], ["code1", "CODE9", "code19"], 5.0)]
+    carts = spark.createDataFrame(cart, "cart_id string, items array<struct<line:int,productId:string,categoryId:string,quantity:double,unitPrice:double>>, "
+                                        "appliedCodes array<string>, shippingAmount double").selectExpr(
+        "*", "named_struct('id', 'x', 'group', 'g', 'tags', array('t'), 'isFirstPurchase', true) AS customer", "timestamp'2024-01-01' AS evaluationDate")
+    planned, size, rows = {}, {}, {}
+    for n in (20, 10_000):
+        t = time.perf_counter()
+        df = evaluate(carts, many(n), "all")
+        plan = df._jdf.queryExecution().executedPlan()
+        planned[n], size[n] = time.perf_counter() - t, len(df._jdf.queryExecution().analyzed().toString().split("\n"))
+        rows[n] = df.first()
+        assert plan is not None
+    assert size[20] == size[10_000] and planned[10_000] < planned[20] + 5
+    # the cart of 100 meets the first ten of them: five automatic ones and codes 1 and 9; code 19 needs 200
+    for n in (20, 10_000):
+        assert {a["discountId"] for a in rows[n]["appliedDiscounts"]} == {"d0", "d2", "d4", "d6", "d8", "d1", "d9"}
+        assert [(r["code"], r["reason"]) for r in rows[n]["rejectedCodes"]] == [("code19", "Conditions not met")]
+
+
+def test_every_condition_and_value_by_rows(spark):
+    """Conditions that no query uses, nested, on products, tags and dates."""
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from tillwright.operators.pricing.conditions import condition
+    from tillwright.operators.pricing.values import discount_amount
+
+    cart = spark.createDataFrame([([(1, "p1", "a", 2.0, 50.0), (2, "p2", None, 3.0, 10.0)], ["vip"], dt.datetime(2024, 5, 5))],
+                                 "items array<struct<line:int,productId:string,categoryId:string,quantity:double,unitPrice:double>>, tags array<string>, evaluationDate timestamp")
+    cart = cart.selectExpr("*", "named_struct('group', 'gold', 'tags', tags, 'isFirstPurchase', false) AS customer", "5.0D AS shippingAmount")
+    quantity = lambda n, *ids: {"type": "minQuantity", "quantity": n, "productIds": list(ids)}
+    true = [quantity(3, "p2"), quantity(5), {"type": "dateRange", "from": "2024-05-01", "until": "2024-05-31T00:00:00Z"}, {"type": "dateRange"},
+            {"type": "customerTag", "tags": ["x", "vip"]}, {"type": "requiredProducts", "productIds": ["p1", "p2"], "minQuantity": 2}, {"type": "requiredProducts"},
+            {"type": "and", "conditions": []}, {"type": "customerGroup", "groups": ["gold"]},
+            {"type": "or", "conditions": [quantity(9), {"type": "and", "conditions": [quantity(1), {"type": "not", "condition": {"type": "firstPurchase"}}]}]}]
+    false = [quantity(4, "p2"), quantity(1, "p3"), {"type": "dateRange", "from": "2024-06-01"}, {"type": "customerTag", "tags": []}, {"type": "customerTag", "tags": ["y"]},
+             {"type": "requiredProducts", "productIds": ["p1", "p3"]}, {"type": "requiredProducts", "productIds": ["p1"], "minQuantity": 3}, {"type": "or", "conditions": []},
+             {"type": "minAmount", "amount": 131}, {"type": "customerGroup"}, {"type": "firstPurchase"}]
+    row = cart.select(*[condition(c).alias(f"c{i}") for i, c in enumerate(true + false)]).first()
+    assert list(row) == [True] * len(true) + [False] * len(false)
+    product, whole = {"type": "product", "productIds": ["p2"]}, {"type": "cart"}
+    worth = [
+        ({"type": "percentage", "percentage": 10}, product, 3.0), ({"type": "percentage", "percentage": 50, "maxAmount": 40}, whole, 40.0),
+        ({"type": "buyXGetY", "buyQuantity": 2, "getQuantity": 1, "discountPercentage": 100, "getProductIds": ["p1"]}, whole, 50.0),
+        ({"type": "buyXGetY", "buyQuantity": 1, "getQuantity": 1, "discountPercentage": 50}, whole, 10.0),
+        ({"type": "tiered", "tierBy": "quantity", "tiers": [{"threshold": 2, "percentage": 10}, {"threshold": 5, "fixedAmount": 7}]}, whole, 7.0),
+        ({"type": "tiered", "tierBy": "amount", "tiers": [{"threshold": 500, "percentage": 10}]}, whole, None),
+        ({"type": "bundle", "items": [{"productId": "p1", "quantity": 1}, {"productId": "p2", "quantity": 2}], "bundlePrice": 60}, whole, 10.0),
+        ({"type": "bundle", "items": [{"productId": "p1", "quantity": 3}], "bundlePrice": 60}, whole, None),
+        ({"type": "freeShipping"}, {"type": "shipping"}, 5.0), ({"type": "fixedAmount", "amount": 500}, {"type": "category", "categoryIds": ["a"]}, 100.0),
+        ({"type": "fixedAmount", "amount": 5}, {"type": "product", "productIds": ["none"]}, None)]
+    row = cart.select(*[F.round(discount_amount({"target": t, "value": v}), 6).alias(f"v{i}") for i, (v, t, _) in enumerate(worth)]).first()
+    assert list(row) == [w for _, _, w in worth]

@@ -40,4 +40,5 @@ def subtotal(items: Column) -> Column:
 
 def first_line_of(items: Column, product_id) -> Column:
     """The first cart line holding ``product_id`` (NULL when absent)."""
-    return F.try_element_at(F.filter(items, lambda x: x["productId"] == F.lit(product_id)), F.lit(1))
+    wanted = product_id if isinstance(product_id, Column) else F.lit(str(product_id))
+    return F.get(F.filter(items, lambda x: x["productId"].cast("string") == wanted), F.lit(0))

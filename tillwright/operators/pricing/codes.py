@@ -10,12 +10,15 @@ keep the same code, and owners left without one draw again in the next round.
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ...session import checkpoint_dir
+from .conditions import failed
+from .table import SCHEMA, row
 
 # Default character sets (alphanumeric leaves out 0, O, 1, I).
 CHARSETS = {
@@ -141,12 +144,14 @@ def validate_codes(requests: DataFrame, discounts: list[dict], generated: DataFr
     ``zero_unit_price`` reproduces the original, which prices validation
     carts at 0 (so ``minAmount`` never holds).
     """
-    from .conditions import condition
-    from .evaluate import _ts, with_defaults
-
-    ds = [with_defaults(d) for d in discounts]
-    now = F.coalesce(F.col("evaluationDate"), F.current_timestamp()) if "evaluationDate" in requests.columns \
-        else F.current_timestamp()
+    ds = [row(d, i) for i, d in enumerate(discounts)]
+    spark = requests.sparkSession
+    now = F.unix_micros(F.coalesce(F.col("evaluationDate"), F.current_timestamp()) if "evaluationDate" in requests.columns else F.current_timestamp())
+    # definitions as a table, met by equi joins: by id for generated codes, by code for the others; the first of equal ones counts
+    defs = spark.createDataFrame([(json.dumps(d), d["id"], d["code"], d["idx"]) for d in ds], "d string, id string, code string, idx int")
+    defs = defs.select(F.from_json("d", SCHEMA).alias("d"), "id", "code", "idx")
+    by_id = defs.groupBy(F.col("id").alias("__did")).agg(F.min_by("d", "idx").alias("__by_id"))
+    by_code = defs.where("code is not null").groupBy(F.col("code").alias("__dcode")).agg(F.min_by("d", "idx").alias("__by_code"))
     r = requests
     if generated is not None:
         # one row per code, used if any of its rows is
@@ -156,17 +161,11 @@ def validate_codes(requests: DataFrame, discounts: list[dict], generated: DataFr
     else:
         r = r.withColumn("__gdid", F.lit(None).cast("string")).withColumn("__gused", F.lit(None).cast("string")) \
             .withColumn("__gen", F.lit(None).cast("boolean"))
-    by_id = F.lit(None).cast("int")
-    for i in reversed(range(len(ds))):
-        by_id = F.when(F.col("__gdid") == F.lit(str(ds[i].get("id"))), F.lit(i)).otherwise(by_id)
-    by_code = F.lit(None).cast("int")
-    for i in reversed(range(len(ds))):
-        if ds[i].get("code"):
-            by_code = F.when(F.col("code") == F.lit(ds[i]["code"]), F.lit(i)).otherwise(by_code)
+    r = r.join(by_id, r["__gdid"] == by_id["__did"], "left").join(by_code, r["code"] == by_code["__dcode"], "left")
     gen = F.coalesce(F.col("__gen"), F.lit(False))
-    r = r.withColumn("__idx", F.when(gen, by_id).otherwise(by_code))
-    ids = F.array(*[F.lit(str(d.get("id", i))) for i, d in enumerate(ds)]) if ds else F.array().cast("array<string>")
-    r = r.withColumn("discountId", F.when(F.col("__idx").isNotNull(), F.element_at(ids, F.col("__idx") + 1)))
+    r = r.withColumn("__d", F.when(gen, F.col("__by_id")).otherwise(F.col("__by_code"))).drop("__did", "__dcode", "__by_id", "__by_code")
+    d = F.col("__d")
+    r = r.withColumn("discountId", d["id"])
     if usage is not None:
         u = usage.groupBy(F.col("discountId").alias("__udid"), F.col("customerId").alias("__ucid")).agg(
             F.count(F.lit(1)).alias("__uses"))
@@ -174,57 +173,35 @@ def validate_codes(requests: DataFrame, discounts: list[dict], generated: DataFr
             .drop("__udid", "__ucid")
     else:
         r = r.withColumn("__uses", F.lit(None).cast("long"))
-    items = F.col("items") if "items" in r.columns else F.lit(None)
+    items = F.col("items") if "items" in r.columns else F.lit(None).cast(
+        "array<struct<line:int,productId:string,categoryId:string,quantity:double,unitPrice:double>>")
     if zero_unit_price and "items" in r.columns:
         items = F.transform(F.col("items"), lambda x: x.withField("unitPrice", F.lit(0.0)))
-    ctx = r.withColumn("__items", items).withColumn(
+    ctx = r.withColumn("items", items).withColumn(
         "customer", F.struct(F.col("customerId").cast("string").alias("id"), F.lit(None).cast("string").alias("group"),
                              F.lit(None).cast("array<string>").alias("tags"),
                              F.lit(None).cast("boolean").alias("isFirstPurchase")))
-
-    def reason_of(d):
-        checks = []
-        if d["status"] != "active":
-            checks.append((F.lit(True), f"Discount is {d['status']}"))
-        if d.get("validFrom"):
-            checks.append((now < _ts(d["validFrom"]), "Discount is not yet active"))
-        if d.get("validUntil"):
-            checks.append((now > _ts(d["validUntil"]), "Discount has expired"))
-        if d.get("usageLimit") and d["currentUsage"] >= d["usageLimit"]:
-            checks.append((F.lit(True), "Usage limit reached"))
-        if d.get("usageLimitPerCustomer"):
-            checks.append((F.col("customerId").isNotNull() & (F.coalesce(F.col("__uses"), F.lit(0))
-                                                             >= F.lit(d["usageLimitPerCustomer"])),
-                           "Customer usage limit reached"))
-        failed = failed_conditions(d)
-        if d["conditions"]:
-            checks.append((F.col("__items").isNotNull() & (F.size(failed) > 0), "Conditions not met"))
-        out = F.lit(None).cast("string")
-        for c, why in reversed(checks):
-            out = F.when(F.coalesce(c, F.lit(False)), F.lit(why)).otherwise(out)
-        return out
-
-    def failed_conditions(d):
-        if not d["conditions"]:
-            return F.array().cast("array<string>")
-        flags = [F.when(~F.coalesce(condition(c), F.lit(False)), F.lit(c["type"])) for c in d["conditions"]]
-        return F.filter(F.array(*flags), lambda x: x.isNotNull())
-
-    per = F.lit(None).cast("string")
-    failed = F.lit(None).cast("array<string>")
-    for i in reversed(range(len(ds))):
-        per = F.when(F.col("__idx") == i, reason_of(ds[i])).otherwise(per)
-        failed = F.when(F.col("__idx") == i, failed_conditions(ds[i])).otherwise(failed)
-    reason = (F.when(gen & F.col("__gused").isNotNull(), F.lit("Code has already been redeemed"))
-              .when(gen & F.col("__idx").isNull(), F.lit("Discount no longer exists"))
-              .when(F.col("__idx").isNull(), F.lit("Invalid code"))
-              .otherwise(per))
+    if "evaluationDate" not in ctx.columns:
+        ctx = ctx.withColumn("evaluationDate", F.lit(None).cast("timestamp"))
     # conditions are evaluated over the request's own lines
-    ctx = ctx.withColumn("items", F.col("__items")) if "items" in ctx.columns else ctx.withColumn("items", F.col("__items"))
+    ctx = ctx.withColumn("__failed", F.when(F.col("items").isNotNull(), failed(F.col("__d.conditions"))))
+    hit = lambda c: F.coalesce(c, F.lit(False))
+    # The texts of the reasons, in the order they are checked.
+    reason = (F.when(gen & F.col("__gused").isNotNull(), F.lit("Code has already been redeemed"))
+              .when(gen & d.isNull(), F.lit("Discount no longer exists"))
+              .when(d.isNull(), F.lit("Invalid code"))
+              .when(d["status"] != "active", F.concat(F.lit("Discount is "), d["status"]))
+              .when(hit(now < d["validFrom"]), F.lit("Discount is not yet active"))
+              .when(hit(now > d["validUntil"]), F.lit("Discount has expired"))
+              .when(hit((d["usageLimit"] != 0) & (d["currentUsage"] >= d["usageLimit"])), F.lit("Usage limit reached"))
+              .when(hit((d["usageLimitPerCustomer"] != 0) & F.col("customerId").isNotNull() & (F.coalesce("__uses", F.lit(0)) >= d["usageLimitPerCustomer"])),
+                    F.lit("Customer usage limit reached"))
+              .when(hit(F.size("__failed") > 0), F.lit("Conditions not met")))
     out = ctx.withColumn("reason", reason).withColumn("valid", F.col("reason").isNull())
     out = out.withColumn("isExpired", F.col("reason").isin("Discount has expired", "Discount is expired")) \
         .withColumn("isInactive", F.col("reason") == F.lit("Discount is inactive")) \
         .withColumn("usageLimitReached", F.col("reason") == F.lit("Usage limit reached")) \
         .withColumn("customerUsageLimitReached", F.col("reason") == F.lit("Customer usage limit reached")) \
-        .withColumn("conditionsNotMet", F.when(F.col("reason") == F.lit("Conditions not met"), failed))
-    return out.drop("__gdid", "__gused", "__gen", "__idx", "__uses", "__items", "customer")
+        .withColumn("conditionsNotMet", F.when(F.col("reason") == F.lit("Conditions not met"), F.col("__failed")))
+    out = out.drop("__gdid", "__gused", "__gen", "__d", "__uses", "__failed", "customer")
+    return out if "evaluationDate" in requests.columns else out.drop("evaluationDate")

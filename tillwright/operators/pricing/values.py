@@ -1,143 +1,93 @@
-"""Discount amounts (targets and value types) as per-cart column folds.
+"""Discount amounts (targets and value types) as folds over a cart, interpreted
+from the fields of a definition row (``table.SCHEMA``).
 
-``discount_amount(discount)`` is the amount the discount gives the cart row,
-or NULL when it gives none (no eligible line for a product / category
-target, or an amount <= 0).
+``amount(d)`` is what the discount gives the cart row, or NULL when it gives
+none (no eligible line for a product / category target, or an amount <= 0).
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .carts import first_line_of, line_total, sum_over
+from .table import one
 
 
-def eligible_items(target: dict) -> Column:
+def eligible_items(d: Column) -> Column:
     items = F.col("items")
-    t = target["type"]
-    if t == "cart":
-        return items
-    if t == "product":
-        ids = list(target.get("productIds") or [])
-        return F.filter(items, lambda x: x["productId"].isin(ids)) if ids else F.filter(items, lambda x: F.lit(False))
-    if t == "category":
-        ids = list(target.get("categoryIds") or [])
-        return F.filter(items, lambda x: x["categoryId"].isNotNull() & x["categoryId"].isin(ids)) if ids \
-            else F.filter(items, lambda x: F.lit(False))
-    if t == "shipping":
-        return F.filter(items, lambda x: F.lit(False))
-    raise ValueError(f"unknown target type {t!r}")
-
-
-def _percentage(v: dict, items: Column) -> Column:
-    pct = float(v["percentage"])
-    cap = v.get("maxAmount")
+    inside = lambda x: F.coalesce(
+        F.when(d["target"] == "cart", F.lit(True)).when(d["target"] == "product", F.array_contains(d["targetIds"], x["productId"].cast("string")))
+        .when(d["target"] == "category", F.array_contains(d["targetIds"], x["categoryId"].cast("string"))), F.lit(False))
+    return F.filter(items, inside)
+
 
+def _percentage(d: Column, items: Column) -> Column:
     def step(acc, x):
-        d = line_total(x) * F.lit(pct) / F.lit(100.0)
-        if cap is not None:
-            d = F.least(d, F.lit(float(cap)) - acc)
-        return acc + F.when(d > 0, d).otherwise(F.lit(0.0))
+        part = line_total(x) * d["percentage"] / F.lit(100.0)
+        part = F.when(d["maxAmount"].isNull(), part).otherwise(F.least(part, d["maxAmount"] - acc))
+        return acc + F.when(part > 0, part).otherwise(F.lit(0.0))
 
     return F.aggregate(items, F.lit(0.0), step)
 
 
-def _fixed(v: dict, items: Column) -> Column:
-    return F.least(F.lit(float(v["amount"])), sum_over(items, line_total))
-
-
-def _buy_x_get_y(v: dict, items: Column) -> Column:
-    qty = sum_over(items, lambda x: x["quantity"])
-    set_size = float(v["buyQuantity"]) + float(v["getQuantity"])
-    sets = F.floor(qty / F.lit(set_size))
-    free = sets * F.lit(float(v["getQuantity"]))
-    get_ids = v.get("getProductIds")
-    pool = F.filter(F.col("items"), lambda x: x["productId"].isin(list(get_ids))) if get_ids else items
+def _buy_x_get_y(d: Column, items: Column) -> Column:
+    sets = F.floor(sum_over(items, lambda x: x["quantity"]) / (d["buy"] + d["get"]))
+    pool = F.when(d["getIds"].isNull(), items).otherwise(F.filter(F.col("items"), lambda x: F.array_contains(d["getIds"], x["productId"].cast("string"))))
     # cheapest first; equal prices keep cart line order
-    ordered = F.sort_array(F.transform(pool, lambda x: F.struct(x["unitPrice"].alias("p"), x["line"].alias("l"),
-                                                                 x["quantity"].alias("q"))))
-    pct = float(v["discountPercentage"])
+    ordered = F.sort_array(F.transform(pool, lambda x: F.struct(x["unitPrice"].alias("p"), x["line"].alias("l"), x["quantity"].alias("q"))))
 
     def step(acc, x):
         take = F.least(x["q"], acc["left"])
         use = acc["left"] > 0
-        add = F.when(use, x["p"] * take * F.lit(pct) / F.lit(100.0)).otherwise(F.lit(0.0))
-        return F.struct((acc["left"] - F.when(use, take).otherwise(F.lit(0.0))).alias("left"),
-                        (acc["total"] + add).alias("total"))
+        add = F.when(use, x["p"] * take * d["percentage"] / F.lit(100.0)).otherwise(F.lit(0.0))
+        return F.struct((acc["left"] - F.when(use, take).otherwise(F.lit(0.0))).alias("left"), (acc["total"] + add).alias("total"))
 
-    start = F.struct(free.cast("double").alias("left"), F.lit(0.0).alias("total"))
-    out = F.aggregate(ordered, start, step)["total"]
-    return F.when(sets == 0, F.lit(0.0)).otherwise(out)
+    start = F.struct((sets * d["get"]).cast("double").alias("left"), F.lit(0.0).alias("total"))
+    return F.when(sets == 0, F.lit(0.0)).otherwise(F.aggregate(ordered, start, step)["total"])
 
 
-def _tiered(v: dict, items: Column) -> Column:
-    if v.get("tierBy") == "amount":
-        measure = sum_over(items, line_total)
-    else:
-        measure = sum_over(items, lambda x: x["quantity"])
+def _tiered(d: Column, items: Column) -> Column:
     total = sum_over(items, line_total)
-    tiers = sorted(v.get("tiers") or [], key=lambda t: -float(t["threshold"]))  # stable, highest first
-    out = F.lit(0.0)
-    for tier in reversed(tiers):
-        if tier.get("percentage") is not None:
-            amt = total * F.lit(float(tier["percentage"])) / F.lit(100.0)
-        elif tier.get("fixedAmount") is not None:
-            amt = F.least(F.lit(float(tier["fixedAmount"])), total)
-        else:
-            amt = F.lit(0.0)
-        out = F.when(measure >= F.lit(float(tier["threshold"])), amt).otherwise(out)
-    return out
-
-
-def _bundle(v: dict) -> Column:
+    measure = F.when(d["tierBy"] == "amount", total).otherwise(sum_over(items, lambda x: x["quantity"]))
+    # tiers are stored highest first
+    reached = F.get(F.filter(d["tiers"], lambda t: measure >= t["threshold"]), F.lit(0))
+    given = (F.when(reached["percentage"].isNotNull(), total * reached["percentage"] / F.lit(100.0))
+             .when(reached["fixed"].isNotNull(), F.least(reached["fixed"], total)))
+    return F.coalesce(given, F.lit(0.0))
+
+
+def _bundle(d: Column) -> Column:
     items = F.col("items")
-    parts = []
-    complete = []
-    for b in v.get("items") or []:
+
+    def step(acc, b):
         line = first_line_of(items, b["productId"])
-        complete.append(line.isNotNull() & (line["quantity"] >= F.lit(float(b["quantity"]))))
-        parts.append(line["unitPrice"] * F.lit(float(b["quantity"])))
-    if not parts:
-        return F.lit(0.0)
-    ok = reduce(lambda a, b: a & b, complete)
-    original = reduce(lambda a, b: a + b, [F.lit(0.0)] + parts)
-    if v.get("bundlePrice") is not None:
-        d = original - F.lit(float(v["bundlePrice"]))
-    elif v.get("bundlePercentage") is not None:
-        d = original * F.lit(float(v["bundlePercentage"])) / F.lit(100.0)
-    else:
-        return F.lit(0.0)
-    return F.when(F.coalesce(ok, F.lit(False)), F.greatest(F.lit(0.0), d)).otherwise(F.lit(0.0))
-
-
-def raw_amount(discount: dict, items: Column | None = None) -> Column:
-    v = discount["value"]
-    items = eligible_items(discount["target"]) if items is None else items
-    t = v["type"]
-    if t == "percentage":
-        return _percentage(v, items)
-    if t == "fixedAmount":
-        return _fixed(v, items)
-    if t == "buyXGetY":
-        return _buy_x_get_y(v, items)
-    if t == "tiered":
-        return _tiered(v, items)
-    if t == "bundle":
-        return _bundle(v)
-    if t == "freeShipping":
-        return F.coalesce(F.col("shippingAmount").cast("double"), F.lit(0.0))
-    raise ValueError(f"unknown value type {t!r}")
+        ok = F.coalesce(line.isNotNull() & (line["quantity"] >= b["quantity"]), F.lit(False))
+        return F.struct((acc["ok"] & ok).alias("ok"), (acc["sum"] + F.coalesce(line["unitPrice"] * b["quantity"], F.lit(0.0))).alias("sum"))
+
+    seen = F.aggregate(d["bundle"], F.struct(F.lit(True).alias("ok"), F.lit(0.0).alias("sum")), step)
+    off = F.when(d["bundlePrice"].isNotNull(), seen["sum"] - d["bundlePrice"]).when(d["bundlePercentage"].isNotNull(), seen["sum"] * d["bundlePercentage"] / F.lit(100.0))
+    return F.when((F.size(d["bundle"]) > 0) & seen["ok"], F.greatest(F.lit(0.0), F.coalesce(off, F.lit(0.0)))).otherwise(F.lit(0.0))
+
+
+def raw_amount(d: Column, items: Column) -> Column:
+    return (F.when(d["type"] == "percentage", _percentage(d, items))
+            .when(d["type"] == "fixedAmount", F.least(d["amount"], sum_over(items, line_total)))
+            .when(d["type"] == "buyXGetY", _buy_x_get_y(d, items))
+            .when(d["type"] == "tiered", _tiered(d, items))
+            .when(d["type"] == "bundle", _bundle(d))
+            .when(d["type"] == "freeShipping", F.coalesce(F.col("shippingAmount").cast("double"), F.lit(0.0))))
+
+
+def amount(d: Column) -> Column:
+    """Amount given to the cart, NULL for none; ``d`` is a definition row."""
+    def worth(items):
+        off = raw_amount(d, items)
+        return F.when((off > 0) & (d["target"].isin("cart", "shipping") | (F.size(items) > 0)), off)
+
+    return F.get(F.transform(F.array(eligible_items(d)), worth), F.lit(0))  # eligible lines once
 
 
 def discount_amount(discount: dict) -> Column:
-    """Amount given to the cart, NULL for none."""
-    target = discount["target"]["type"]
-    items = eligible_items(discount["target"])
-    amount = raw_amount(discount, items)
-    ok = amount > 0
-    if target not in ("cart", "shipping"):
-        ok = ok & (F.size(items) > 0)
-    return F.when(ok, amount)
+    """Amount of one definition."""
+    return amount(one(discount))
