@@ -100,3 +100,38 @@ def test_exists_not_equal_reduces_to_aggregate(cat):
     out = route(cat, ctx, wf)
     assert {r["id"]: r["outcome"] for r in out.collect()} == {"1": "no", "2": "yes"}
     assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_graph_of_forty_diamonds(spark, cat):
+    """Branches that meet again do not multiply: each step is compiled once."""
+    steps = []
+    for i in range(40):
+        compare = {"type": "compare", "operator": ">", "left": {"type": "context", "path": "x"}, "right": {"type": "constant", "value": i}}
+        steps += [{"id": f"c{i}", "type": "condition", "condition": compare, "onTrue": f"y{i}", "onFalse": f"n{i}"},
+                  {"id": f"y{i}", "type": "action", "action": {"type": "setContext", "values": {"last": {"type": "constant", "value": f"over {i}"}}}, "next": f"c{i + 1}"},
+                  {"id": f"n{i}", "type": "action", "action": {"type": "createEntity", "collection": "log", "data": {"at": {"type": "context", "path": "last"}}}, "next": f"c{i + 1}"}]
+    steps.append({"id": "c40", "type": "end", "status": "completed"})
+    ctx = spark.createDataFrame([(1, 3), (2, 100), (3, None)], "id long, x long")
+    out = {r["id"]: r for r in route(cat, ctx, {"steps": steps, "startStepId": "c0"}).collect()}
+    assert [(out[i]["outcome"], out[i]["status"], out[i]["last"], len(out[i]["path"]), len(out[i]["actions"])) for i in (1, 2, 3)] == [
+        ("c40", "completed", "over 2", 81, 37), ("c40", "completed", "over 39", 81, 0), ("c40", "completed", None, 81, 40)]
+
+
+def test_exists_with_substrings_against_context_values(spark, cat):
+    """Every value by brute force: short and empty ones, trigrams that are common, rare or in no text."""
+    import random
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("abcd", k=rng.randint(0, 9))) for _ in range(200)] + [None, "", "äöü straße"]
+    values = ["", "a", "z", "ab", "zz", "abc", "ße", "straß", *("".join(rng.choices("abcd", k=rng.randint(3, 6))) for _ in range(60)), "abcz", None]
+    cat.register("names", spark.createDataFrame([(t,) for t in texts], "name string"))
+    ctx = spark.createDataFrame(list(enumerate(values)), "id long, v string").unionByName(spark.createDataFrame([(1000 + i, "abc") for i in range(50)], "id long, v string"))
+    tests = {"contains": lambda t, v: v in t, "startsWith": str.startswith, "endsWith": str.endswith}
+    for op, holds in tests.items():
+        cond = {"type": "exists", "collection": "names", "filter": {"field": "name", "operator": op, "value": {"type": "context", "path": "v"}}}
+        wf = {"steps": [{"id": "c", "type": "condition", "condition": cond, "onTrue": "y", "onFalse": "n"}, {"id": "y", "type": "end"}, {"id": "n", "type": "end"}]}
+        got = {r["id"]: r["outcome"] == "y" for r in route(cat, ctx, wf).collect()}
+        plain = ["null" if t is None else t for t in texts]
+        want = {i: any(holds(t, "null" if v is None else v) for t in plain) for i, v in enumerate(values)}
+        assert {i: got[i] for i in want} == want, op
+        assert len({got[1000 + i] for i in range(50)}) == 1 and len(got) == len(values) + 50

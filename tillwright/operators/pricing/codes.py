@@ -82,14 +82,6 @@ def generate_codes(owners: DataFrame, length: int, prefix: str = "", suffix: str
         start, span = start + span, min(2 * span, 64)
 
 
-def check_complete(owners: DataFrame, codes: DataFrame, owner_col: str = "owner") -> None:
-    """Raise when some owner got no code (an action; call it at the sink)."""
-    missing = owners.select(F.col(owner_col).alias("owner")).join(codes, "owner", "left_anti").limit(1).count()
-    if missing:
-        raise CodeGenerationError("could not generate a unique code for every owner; "
-                                  "increase the code length or change the pattern")
-
-
 def format_check(code: Column, length: int, prefix: str = "", suffix: str = "", pattern: str = "alphanumeric",
                  custom: str | None = None, exclude_chars: str | None = None, uppercase: bool = True) -> Column:
     """Prefix, suffix, core length and character set; the core is upper-cased
@@ -124,12 +116,25 @@ def redeem(codes: DataFrame, redemptions: DataFrame) -> tuple[DataFrame, DataFra
 
 def usage_counts(usage: DataFrame) -> DataFrame:
     """Uses per (discount, customer) with the discount's total, from the ledger
-    (replaces the original's running counter).  Both are hash aggregates."""
+    (replaces the original's running counter).  Both are hash aggregates; uses
+    without a customer are a row of their own."""
     per_customer = usage.groupBy("discountId", "customerId").agg(F.count(F.lit(1)).alias("uses"))
     per_discount = per_customer.groupBy("discountId").agg(F.sum("uses").alias("discountUses"))
     return per_customer.join(per_discount, "discountId")
 
 
+def usage_of(usage: DataFrame, discounts: DataFrame) -> DataFrame:
+    """The ledger rows of the given discounts (``discounts(id)``)."""
+    return usage.join(discounts.select(F.col("id").alias("discountId")).distinct(), "discountId", "left_semi")
+
+
+def record_usage(discounts: DataFrame, usage: DataFrame) -> DataFrame:
+    """``discounts(id, currentUsage, ...)`` after the ledger rows ``usage``: every use counts one, of unknown discounts none."""
+    uses = usage.groupBy(F.col("discountId").alias("__did")).agg(F.count(F.lit(1)).alias("__uses"))
+    joined = discounts.join(uses, discounts["id"] == uses["__did"], "left")
+    return joined.withColumn("currentUsage", F.coalesce("currentUsage", F.lit(0)) + F.coalesce("__uses", F.lit(0))).drop("__did", "__uses")
+
+
 # -- batch code validation (C15) ---------------------------------------------------------
 
 def validate_codes(requests: DataFrame, discounts: list[dict], generated: DataFrame | None = None,

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,9 +18,10 @@ from ..functions.aggregates import agg_column
 from ..functions.expressions import compile_expr
 from ..functions.ordering import norm_term, order_struct, require, sort_columns, term_column
 from ..functions.values import TypedCol, family, js_text, resolve
+from ..session import written
 from ..sources.catalog import Catalog, TableInfo
 
-PIVOT_MAX_VALUES = 10_000  # same bound as spark.sql.pivotMaxValues
+PIVOT_COLUMNS = 10_000  # widest table a pivot without given values makes
 
 
 class StepError(ValueError):
@@ -111,6 +112,8 @@ def join_step(cat: Catalog, cfg: dict) -> TableInfo:
     how = cfg.get("type", "inner")
     if how not in ("inner", "left", "right", "full"):
         raise StepError(f"unknown join type {how!r}")
+    if not cfg.get("on"):
+        raise StepError("a join needs at least one pair of fields in 'on'")
     li, ri = cat.info(cfg["left"]), cat.info(cfg["right"])
     ldf = li.df.select(*[_q(c).alias(f"__l{i}") for i, c in enumerate(li.df.columns)])
     rdf = ri.df.select(*[_q(c).alias(f"__r{i}") for i, c in enumerate(ri.df.columns)],
@@ -135,7 +138,7 @@ def join_step(cat: Catalog, cfg: dict) -> TableInfo:
         joined = {"inner": left_rows.where(F.lit(False)), "left": left_rows, "right": right_rows,
                   "full": left_rows.unionByName(right_rows)}[how]
     else:
-        cond = reduce(lambda a, b: a & b, conds) if conds else F.lit(True)
+        cond = reduce(lambda a, b: a & b, conds)
         joined = ldf.join(rdf, cond, {"full": "full_outer"}.get(how, how))
 
     sel = cfg.get("select") or {}
@@ -241,7 +244,7 @@ def union_step(cat: Catalog, cfg: dict) -> TableInfo:
             if j < len(info.order_key):
                 fields += [k[f"n{j}"].alias(f"n{j}"), _rank_value(k[f"v{j}"], info.df, info.order_key[j]).alias(f"v{j}")]
             else:
-                fields += [F.lit(0).alias(f"n{j}"), F.lit(None).cast("double").alias(f"v{j}")]
+                fields += [F.lit(0).alias(f"n{j}"), _exact(F.lit(None).cast("double")).alias(f"v{j}")]
         keyed.append(info.df.withColumn("__rank", F.struct(F.lit(n).alias("src"), *fields)))
     allc = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), keyed)
     cols = [c for c in allc.columns if c != "__rank"]
@@ -251,12 +254,18 @@ def union_step(cat: Catalog, cfg: dict) -> TableInfo:
     return TableInfo(cfg["output"], out)
 
 
+def _exact(v: Column) -> Column:
+    """A number to order by, of any numeric type: as a double, then as a decimal
+    that parts what doubles cannot (integers above 2 to the 53rd)."""
+    return F.struct(v.cast("double").alias("d"), v.try_cast("decimal(38,9)").alias("x"))
+
+
 def _rank_value(v: Column, df: DataFrame, term) -> Column:
     tc = resolve(df.schema, norm_term(term)["field"])
     if family(tc.dtype) == "date":
-        return F.unix_micros(v.cast("timestamp")).cast("double") if norm_term(term)["direction"] == "asc" else v.cast("double")
+        return _exact(F.unix_micros(v.cast("timestamp")) if norm_term(term)["direction"] == "asc" else v)
     if family(tc.dtype) in ("number", "boolean"):
-        return v.cast("double")
+        return _exact(v.cast("int") if family(tc.dtype) == "boolean" else v)
     return v.cast("string")
 
 
@@ -323,15 +332,35 @@ def sort_step(cat: Catalog, cfg: dict) -> TableInfo:
     return src.with_df(src.df, name=cfg["output"], order_key=order)
 
 
+TOP_ROWS = 100_000  # up to so many rows a limit is one top-k, beyond it the order is dealt in ranges
+
+
 def limit_step(cat: Catalog, cfg: dict) -> TableInfo:
+    """Rows ``offset`` to ``offset + limit`` of the table's order.  A large (or
+    ``distributed``) limit is taken from sorted ranges, so no task holds it."""
     src = cat.info(cfg["source"])
     order = require(_order_of(cfg, src), "limit")
+    off, limit = int(cfg.get("offset") or 0), int(cfg["limit"])
+    if off + limit > TOP_ROWS or cfg.get("distributed"):
+        return src.with_df(ordered_slice(src.df, sort_columns(src.df, order), off, limit), name=cfg["output"])
     df = src.df.orderBy(*sort_columns(src.df, order))
-    off = int(cfg.get("offset") or 0)
     if off:
         df = df.offset(off)
-    df = df.limit(int(cfg["limit"]))
-    return src.with_df(df, name=cfg["output"])
+    return src.with_df(df.limit(limit), name=cfg["output"])
+
+
+def ordered_slice(df: DataFrame, by: list[Column], offset: int, limit: int) -> DataFrame:
+    """Rows ``offset`` to ``offset + limit`` in the order ``by``.
+
+    Rows are dealt in ranges of the order and numbered inside each (a written
+    table); the sizes of the ranges before, one row a range, give the rest.
+    """
+    ranged = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id())
+    ranged = written(ranged.withColumns({"__part": F.shiftright("__at", 33), "__at": F.col("__at").bitwiseAND((1 << 33) - 1)}), "ranges")
+    sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    place = F.col("__before") + F.col("__at")
+    return ranged.join(F.broadcast(before), "__part").where((place >= offset) & (place < offset + limit)).select(*[_q(c) for c in df.columns])
 
 
 def materialize_order(info: TableInfo) -> DataFrame:
@@ -351,31 +380,29 @@ def pivot_text(tc: TypedCol) -> Column:
 
 
 def pivot_step(cat: Catalog, cfg: dict) -> TableInfo:
+    """Values of one field to columns, in two phases: one aggregate per group and
+    value, then a spread of those few rows (Spark's own pivot, by a lookup of the
+    value).  Without given ``values`` the names come from the first phase; more than
+    ``PIVOT_COLUMNS`` of them give one map column ``pivoted`` instead."""
     src = cat.info(cfg["source"])
     df = src.df
     ptc = resolve(df.schema, cfg["pivotField"])
-    pcol = pivot_text(ptc)
-    values = cfg.get("values")
-    if values is None:
-        rows = df.select(pcol.alias("p")).distinct().limit(PIVOT_MAX_VALUES + 1).collect()
-        if len(rows) > PIVOT_MAX_VALUES:
-            raise StepError(f"pivot column has more than {PIVOT_MAX_VALUES} distinct values")
-        values = sorted(r["p"] for r in rows)
     order = _order_of(cfg, src)
-    fn = cfg["aggregation"]
     groups = [resolve(df.schema, g).col.alias(g) for g in cfg.get("groupBy") or []]
-    staged = df.withColumn("__p", pcol)
-    aggs = []
-    for v in values:
-        hit = F.col("__p") == F.lit(v)
-        a = agg_column(staged, cfg["valueField"], fn, order, rows_filter=hit)
-        has_rows = F.count(F.when(hit, F.lit(1))) > 0
-        aggs.append(F.when(has_rows, a).alias(str(v)))
-    if groups:
-        out = staged.groupBy(*groups).agg(*aggs)
-    else:
-        out = (staged.agg(F.count(F.lit(1)).alias("__rows"), *aggs)
-               .where("__rows > 0").drop("__rows"))
+    staged = df.withColumn("__p", pivot_text(ptc))
+    each = staged.groupBy(*groups, "__p").agg(agg_column(staged, cfg["valueField"], cfg["aggregation"], order).alias("__v"))
+    names = cfg.get("values")
+    if names is None:
+        each = written(each, "pivot")
+        names = sorted(r["__p"] for r in each.select("__p").distinct().limit(PIVOT_COLUMNS + 1).collect())
+    by = [_q(g) for g in cfg.get("groupBy") or []]
+    if len(names) > PIVOT_COLUMNS:
+        return TableInfo(cfg["output"], each.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("__p", "__v"))).alias("pivoted")))
+    if not names:  # no rows
+        return TableInfo(cfg["output"], each.select(*by).distinct())
+    out = each.groupBy(*by).pivot("__p", [str(v) for v in names]).agg(F.first("__v"))
+    if not by and each.isEmpty():
+        out = out.where(F.lit(False))
     return TableInfo(cfg["output"], out)
 
 

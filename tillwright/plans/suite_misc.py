@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..operators import tables
 from ..operators.audience import extract_variables as extract_vars
 from ..operators.audience import preview, render_column, run_campaign
+from ..operators.history import history_stats
+from ..operators.pricing.codes import record_usage, usage_counts, usage_of
 from ..operators.rules import route
 from ..sources.catalog import test_catalog
 
@@ -151,18 +153,81 @@ FROM r
 """
 
 
-def execution_stats(spark, sf_dir):
-    """Conversations as execution histories: steps, roles and size per execution."""
+def _executions(spark, sf_dir):
+    """Conversations as executions: a turn is an entry of the history of its conversation."""
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    return c.groupBy("conv_id").agg(
-        F.count(F.lit(1)).alias("steps"), F.count_if(F.col("role") == "user").alias("user_steps"),
-        F.max("turn").alias("last_turn"), F.sum(F.length("text")).cast("long").alias("chars"))
+    status = F.element_at(F.array(*map(F.lit, ("started", "completed", "started", "failed", "started", "skipped", "completed"))), (F.col("turn") % 7 + 1).cast("int"))
+    entry = F.struct("turn", F.concat(F.lit("s"), (F.col("turn") % 4).cast("string")).alias("stepId"), F.col("role").alias("stepType"), status.alias("status"),
+                     F.timestamp_seconds(F.col("turn") * 60 + F.coalesce(F.length("text"), F.lit(0)) % 50).alias("timestamp"), F.length("text").cast("double").alias("durationMs"))
+    return c.groupBy("conv_id").agg(F.sort_array(F.collect_list(entry)).alias("history"))
+
+
+def execution_stats(spark, sf_dir):
+    """What each execution's history tells."""
+    e = history_stats(_executions(spark, sf_dir))
+    return e.select("conv_id", "entries", "started", "completed", "failed", "skipped", "retries", "totalMs", "longestGapMs", "currentStep", "lastStatus")
+
+
+def execution_step_times(spark, sf_dir):
+    """Time of every step of every execution."""
+    return history_stats(_executions(spark, sf_dir)).select("conv_id", F.explode("stepMs").alias("step", "ms"))
+
+
+_HISTORY_SQL = """
+WITH e AS (
+  SELECT conv_id, turn, 's' || CAST(turn % 4 AS VARCHAR) AS step, role,
+         (['started', 'completed', 'started', 'failed', 'started', 'skipped', 'completed'])[turn % 7 + 1] AS status,
+         (turn * 60 + coalesce(length(text), 0) % 50) * 1000.0::DOUBLE AS at_ms, CAST(length(text) AS DOUBLE) AS ms
+  FROM conversations),
+f AS (
+  SELECT *, at_ms - lag(at_ms) OVER (PARTITION BY conv_id ORDER BY turn) AS gap,
+         max(CASE WHEN status IN ('completed', 'failed', 'skipped') THEN turn END) OVER (PARTITION BY conv_id, step) AS closed
+  FROM e)
+"""
+
+EXECUTION_STATS_SQL = _HISTORY_SQL + """
+SELECT conv_id, count(*) AS entries, count(*) FILTER (status = 'started') AS started, count(*) FILTER (status = 'completed') AS completed,
+       count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'skipped') AS skipped,
+       count(*) FILTER (status = 'started') - count(DISTINCT step) FILTER (status = 'started') AS retries,
+       coalesce(sum(ms), 0.0) AS "totalMs", max(gap) AS "longestGapMs",
+       arg_max(step, turn) FILTER (status = 'started' AND (closed IS NULL OR closed < turn)) AS "currentStep", arg_max(status, turn) AS "lastStatus"
+FROM f GROUP BY conv_id
+"""
+
+EXECUTION_STEP_TIMES_SQL = _HISTORY_SQL + "SELECT conv_id, step, coalesce(sum(ms), 0.0) AS ms FROM e GROUP BY conv_id, step"
+
+
+def _ledger(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return o.select(F.concat(F.lit("d"), (F.col("o_orderkey") % 20).cast("string")).alias("discountId"),
+                    F.when(F.col("o_orderkey") % 11 > 0, F.col("o_custkey") % 50).alias("customerId"), F.col("o_orderkey").alias("orderId"))
+
+
+def discount_usage(spark, sf_dir):
+    """Uses of every discount by every customer, from a ledger of all orders."""
+    return usage_counts(_ledger(spark, sf_dir))
+
+
+DISCOUNT_USAGE_SQL = """
+WITH u AS (SELECT 'd' || CAST(o_orderkey % 20 AS VARCHAR) AS "discountId", CASE WHEN o_orderkey % 11 > 0 THEN o_custkey % 50 END AS "customerId" FROM orders)
+SELECT *, CAST(sum(uses) OVER (PARTITION BY "discountId") AS BIGINT) AS "discountUses"
+FROM (SELECT "discountId", "customerId", count(*) AS uses FROM u GROUP BY 1, 2)
+"""
+
+
+def discount_current_usage(spark, sf_dir):
+    """Discounts of all nations' numbers after the ledger, those without a use and the rows of two of them included."""
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    d = n.select(F.concat(F.lit("d"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_nationkey").cast("long").alias("currentUsage"))
+    ledger = _ledger(spark, sf_dir)
+    listed = usage_of(ledger, d.where("currentUsage in (3, 4)")).groupBy(F.col("discountId").alias("id")).agg(F.sum("orderId").alias("orders"))
+    return record_usage(d, ledger).join(listed, "id", "left")
 
 
-EXECUTION_STATS_SQL = """
-SELECT conv_id, count(*) AS steps, count(*) FILTER (WHERE role = 'user') AS user_steps, max(turn) AS last_turn,
-       CAST(sum(length(text)) AS BIGINT) AS chars
-FROM conversations GROUP BY conv_id
+DISCOUNT_CURRENT_USAGE_SQL = """
+SELECT 'd' || CAST(n_nationkey AS VARCHAR) AS id, CAST(n_nationkey + (SELECT count(*) FROM orders WHERE o_orderkey % 20 = n_nationkey) AS BIGINT) AS "currentUsage",
+       CASE WHEN n_nationkey IN (3, 4) THEN (SELECT CAST(sum(o_orderkey) AS BIGINT) FROM orders WHERE o_orderkey % 20 = n_nationkey) END AS orders
+FROM nation
 """
 
 CUSTOMER_SCHEMA = {
@@ -303,6 +368,9 @@ QUERIES = {
     "extract_variables": extract_variables,
     "route_orders": route_orders,
     "execution_stats": execution_stats,
+    "execution_step_times": execution_step_times,
+    "discount_usage": discount_usage,
+    "discount_current_usage": discount_current_usage,
     "validate_rows": validate_rows,
     "upsert": upsert,
     "patch_rows": patch_rows,

@@ -715,6 +715,21 @@ SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 10
 """
 
 
+def limit_distributed(spark, sf_dir):
+    """A slice of all line items, from sorted ranges instead of one top-k."""
+    steps = [
+        step(1, "sort", source="lineitem", output="_temp_s", orderBy=[{"field": "l_extendedprice", "direction": "desc"}, {"field": "l_shipdate"}]),
+        step(2, "limit", source="_temp_s", output="out", limit=20_000, offset=15_000, distributed=True),
+    ]
+    return run_steps(spark, sf_dir, steps, "out", ["lineitem"]).select("l_orderkey", "l_linenumber", "l_extendedprice")
+
+
+LIMIT_DISTRIBUTED_SQL = """
+SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem
+ORDER BY l_extendedprice DESC, l_shipdate, l_orderkey, l_linenumber LIMIT 20000 OFFSET 15000
+"""
+
+
 def dedupe_first(spark, sf_dir):
     steps = [step(1, "deduplicate", source="events", output="out", keys=["user_id"], keep="first",
                   orderBy={"field": "ts", "direction": "asc"})]
@@ -853,6 +868,7 @@ QUERIES = {
     "unpivot": unpivot,
     "sort_limit_nulls": sort_limit_nulls,
     "limit_offset": limit_offset,
+    "limit_distributed": limit_distributed,
     "dedupe_first": dedupe_first,
     "dedupe_last": dedupe_last,
     "dedupe_text_desc": dedupe_text_desc,

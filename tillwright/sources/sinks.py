@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.tables import last_per_key
 from ..session import checkpoint_dir
 
 
@@ -50,7 +51,9 @@ def query_log(log: DataFrame, recipient=None, template_id=None, status=None) ->
 
 
 def update_status(log: DataFrame, updates: DataFrame, at=None) -> DataFrame:
-    """``updates(id, status, error?)`` -> log with new status, ``updatedAt`` and error."""
+    """``updates(id, status, error?, at?)`` -> log with new status, ``updatedAt`` and error.
+    Of updates that repeat an id one counts: the last by ``at``, without it see ``tables.last_per_key``."""
+    updates = last_per_key(updates, "id", ("at",) if "at" in updates.columns else ())
     ts = F.lit(at).cast("timestamp") if at is not None else F.current_timestamp()
     u = updates.select(F.col("id").alias("__id"), F.col("status").alias("__st"),
                        (F.col("error") if "error" in updates.columns else F.lit(None).cast("string")).alias("__err"))
