@@ -168,3 +168,50 @@ def test_active_config_selection():
     assert active_config([{"entityType": "person"}], "person", "survivorship")["defaultStrategy"] == "mostRecent"
     with pytest.raises(MatchConfigError):
         active_config(cfgs, "company")
+
+
+def test_similar_values_are_those_of_all_pairs(spark):
+    """Every pair in reach, for short, equal, empty and long texts and several bounds."""
+    import random
+
+    from tillwright.operators.mdm.match import similar_values
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            old, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                old, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, old + (x != y))
+        return row[-1]
+
+    rng = random.Random(4)
+    base = ["".join(rng.choices("abc", k=rng.randint(0, 14))) for _ in range(60)]
+    texts = base + ["".join(c if rng.random() > 0.12 else rng.choice(["", "x", c + "y"]) for c in t) for t in base] + ["", "a", "ab", None]
+    frame = spark.createDataFrame([("g" if i % 3 else "h", t) for i, t in enumerate(texts)], "g string, v string")
+    by = {}
+    for i, t in enumerate(texts):
+        if t is not None:
+            by.setdefault("g" if i % 3 else "h", set()).add(t)
+    for similarity, most in ((0.9, None), (0.7, None), (0.5, None), (0.6, 2), (0.34, 3)):
+        got = {tuple(r) for r in similar_values(frame, frame, similarity, most).collect()}
+        want = {(g, a, b) for g, s in by.items() for a in s for b in s
+                if distance(a, b) <= (1 - similarity) * max(len(a), len(b)) + 1e-9 and (most is None or distance(a, b) <= most)}
+        assert want <= got and all(distance(a, b) <= max(len(a), len(b)) for _, a, b in got), similarity
+        assert len(got) <= 3 * len(want) + 10  # candidates are compared before they are given
+
+
+def test_fuzzy_rule_alone_gives_candidates(spark):
+    """No binary rule is needed; NULL values fall back on what the other rules still need."""
+    rng = __import__("random").Random(2)
+    names = ["jonathan smith", "jonathon smith", "jonathan smyth", "mary jones", "marie jones", "bob", "rob", None, None, ""]
+    rows = [(f"r{i}", "person", "crm", str(i), (rng.choice(names), "Smith", rng.choice(["a@x.com", "b@x.com", None]), None), 1.0, T0, T0, None, None) for i in range(60)]
+    recs = _records(spark, rows)
+    config = {"threshold": 0.8, "rules": [{"field": "firstName", "type": "fuzzy", "weight": 0.6}, {"field": "email", "type": "exact", "weight": 0.3},
+                                          {"field": "lastName", "type": "phonetic", "weight": 0.1}]}
+    flat = {"threshold": 0.8, "rules": [{"field": "firstName", "type": "fuzzy", "weight": 0.9}, {"field": "lastName", "type": "phonetic", "weight": 0.1}]}
+    for c in (config, flat):
+        key = lambda df: sorted((r["sourceRecordId"], r["matchedRecordId"], round(r["score"], 9)) for r in df.where("isMatch").collect())
+        every = [(a, b) for a in rows for b in rows if a[0] != b[0]]
+        pairs = spark.createDataFrame([(a[0], b[0]) for a, b in every], "sourceRecordId string, targetRecordId string")
+        from tillwright.operators.mdm.match import score_given_pairs
+        assert key(find_matches(recs, recs, c, "source")) == key(score_given_pairs(pairs, recs, recs, c, "source"))

@@ -9,8 +9,17 @@ or 1) is *necessary* when the other rules together cannot reach the
 threshold: ``(W - w_r) / W < threshold``.  Any pair it scores 0 can never
 match, so its normalised value is a null-safe join key that loses no match
 (two NULLs score 1, hence ``<=>``).  All necessary rules together form one
-composite key.  Without a necessary rule the caller must name blocking
-columns (lossy, their choice) or pass ``allow_all_pairs`` explicitly.
+composite key.
+
+Without one, a necessary ``fuzzy`` rule gives candidates: a match needs a least
+similarity, so an edit distance of at most k, and of two texts that far apart the
+k + 1 segments of one leave a segment unchanged in the other, near its place.
+Distinct values meet by an equi join on such segments and are compared, then
+records join by value.  Records where both values are NULL score 1 in that rule;
+they are matched by what the other rules still need, in the same way.
+
+Without any such rule the caller must name blocking columns (lossy, their
+choice) or pass ``allow_all_pairs`` explicitly.
 
 Hot blocks are split by adaptive execution's skew-join handling.
 """
@@ -43,6 +52,53 @@ def necessary_rules(config: dict) -> list[dict]:
             and (total - float(r["weight"])) / total < thr - EPS]
 
 
+def needed_fuzzy(rules: list[dict], need: float) -> tuple[int, float] | None:
+    """The ``fuzzy`` rule that demands the greatest similarity of a match, and that similarity.
+
+    ``need`` is the weight that the rules have to give together.
+    """
+    total = sum(float(r["weight"]) for r in rules)
+    least = [((need - (total - float(r["weight"]))) / float(r["weight"]), -i) for i, r in enumerate(rules) if r["type"] == "fuzzy" and float(r["weight"]) > 0]
+    best = max(least, default=(0.0, 0))
+    return (-best[1], best[0] - EPS) if best[0] > EPS else None
+
+
+def similar_values(left: DataFrame, right: DataFrame, similarity: float, max_distance: int | None = None) -> DataFrame:
+    """Pairs ``(g, a, b)`` of ``left(g, v)`` and ``right(g, v)`` with an edit distance of at most
+    ``1 - similarity`` of the longer text (and ``max_distance``); none is lost.
+
+    ``similarity`` is above 0.  A text of length l is at most ``k`` edits from any
+    such partner, k = l (1 - similarity) / similarity.  It is cut into k + 1
+    segments; one of them is in the partner, shifted by no more than the edits
+    allow on either side.  Texts of no more than k characters have no such
+    segments and meet all texts of the lengths in reach.
+    """
+    def most(n):
+        k = F.floor(n * ((1 - similarity) / similarity) + EPS)
+        return (k if max_distance is None else F.least(k, F.lit(int(max_distance)))).cast("int")
+
+    ls = left.where("v is not null").distinct().select("g", F.col("v").alias("a"), F.length("v").alias("m"))
+    rs = right.where("v is not null").distinct().select("g", F.col("v").alias("b"), F.length("v").alias("l")).withColumn("k", most(F.col("l")))
+    # lengths l in reach of a text of m characters
+    reach = F.sequence(F.greatest(F.lit(0), F.floor(F.col("m") * similarity - EPS).cast("int")), F.ceil(F.col("m") / similarity + EPS).cast("int"))
+    probes = ls.withColumn("l", F.explode(reach)).withColumn("k", most(F.col("l"))).where(F.abs(F.col("m") - F.col("l")) <= F.col("k"))
+    short = probes.where("l <= k").join(rs.where("l <= k").drop("k"), ["g", "l"]).select("g", "a", "b", "k")
+    parts, base = F.col("k") + 1, F.floor(F.col("l") / (F.col("k") + 1)).cast("int")
+    longer = F.col("l") - base * parts  # that many segments, the last ones, are a character longer
+    i = F.col("i")
+    size = (base + F.when(i >= parts - longer, 1).otherwise(0)).cast("int")
+    start = (i * base + F.greatest(F.lit(0), i - (parts - longer))).cast("int")
+    cut = lambda df: df.where("l > k").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k")))).withColumn("size", size).withColumn("start", start)
+    index = cut(rs).select("g", "l", "i", "b", F.substring(F.col("b"), F.col("start") + 1, F.col("size")).alias("segment"))
+    more = F.col("m") - F.col("l")
+    first = F.greatest(F.lit(0), F.col("start") - F.floor((F.col("k") - more) / 2).cast("int"))
+    last = F.least(F.col("m") - F.col("size"), F.col("start") + F.floor((F.col("k") + more) / 2).cast("int"))
+    asked = (cut(probes).withColumn("first", first).withColumn("last", last).where("first <= last").withColumn("p", F.explode(F.sequence("first", "last")))
+             .select("g", "l", "i", "k", "a", F.substring(F.col("a"), F.col("p") + 1, F.col("size")).alias("segment")))
+    near = asked.join(index, ["g", "l", "i", "segment"]).select("g", "a", "b", "k").unionByName(short).distinct()
+    return near.where(F.levenshtein("a", "b") <= F.col("k")).select("g", "a", "b")
+
+
 def _field(df: DataFrame, path: str) -> TypedCol:
     return resolve(df.schema, "data." + path)
 
@@ -69,19 +125,46 @@ def _types(left: DataFrame, right: DataFrame, config: dict) -> list[bool]:
 def candidate_pairs(left: DataFrame, right: DataFrame, config: dict, *, exclude_self: bool = False,
                     blocking: list[str] | None = None, allow_all_pairs: bool = False) -> DataFrame:
     """Prepared pairs ``(s, t, features...)`` that may match under ``config``."""
-    keys = [i for i, r in enumerate(config["rules"]) if r in necessary_rules(config)]
-    if not keys and not blocking and not allow_all_pairs:
-        raise MatchConfigError(
-            "no rule is necessary for a match under this threshold; pass blocking=[...] "
-            "(explicit, possibly lossy keys) or allow_all_pairs=True")
     comparable = _types(left, right, config)
     ls, rs = prepare(left, config, "s"), prepare(right, config, "t")
+    extra = []
     for j, path in enumerate(blocking or []):
         ls = ls.withColumn(f"__sx{j}", resolve(ls.schema, "s." + path).col)
         rs = rs.withColumn(f"__tx{j}", resolve(rs.schema, "t." + path).col)
+        extra.append(j)
+    total = sum(float(r["weight"]) for r in config["rules"])
+    rules = {i: r for i, r in enumerate(config["rules"])}
+    need = float(config.get("threshold", DEFAULT_THRESHOLD)) * total
+    if total <= 0 or any(float(r["weight"]) < 0 for r in config["rules"]):
+        rules, need = {}, float("inf")
+    pairs = _pairs(ls, rs, rules, need, comparable, extra, allow_all_pairs)
+    if exclude_self:
+        pairs = pairs.where(F.col("s.id") != F.col("t.id"))
+    return pairs
+
+
+def _pairs(ls: DataFrame, rs: DataFrame, rules: dict[int, dict], need: float, comparable: list[bool], extra: list[int], all_pairs: bool) -> DataFrame:
+    """Pairs for which ``rules`` may give the weight ``need``."""
+    total = sum(float(r["weight"]) for r in rules.values())
+    keys = [i for i, r in rules.items() if r["type"] in BINARY_TYPES and total - float(r["weight"]) < need - EPS * max(1.0, total)]
+    fuzzy = None if keys or extra else needed_fuzzy(list(rules.values()), need)
+    if fuzzy:
+        i, similarity = list(rules)[fuzzy[0]], fuzzy[1]
+        distance = (rules[i].get("options") or {}).get("maxDistance")
+        values = similar_values(ls.select(F.col("__set").alias("g"), F.col(f"__sf{i}").alias("v")).where(~F.col(f"__sn{i}")),
+                                rs.select(F.col("__tet").alias("g"), F.col(f"__tf{i}").alias("v")).where(~F.col(f"__tn{i}")), similarity, distance)
+        some = (ls.where(~F.col(f"__sn{i}")).join(values, (F.col("__set") == F.col("g")) & (F.col(f"__sf{i}") == F.col("a"))).drop("g", "a")
+                .join(rs.where(~F.col(f"__tn{i}")).withColumn("g", F.col("__tet")), (F.col("__set") == F.col("g")) & (F.col(f"__tf{i}") == F.col("b"))).drop("g", "b"))
+        rest = {j: r for j, r in rules.items() if j != i}
+        nulls = _pairs(ls.where(F.col(f"__sn{i}")), rs.where(F.col(f"__tn{i}")), rest, need - float(rules[i]["weight"]), comparable, extra, all_pairs)
+        return some.unionByName(nulls)
+    if not keys and not extra and not all_pairs and need > EPS:
+        raise MatchConfigError(
+            "no rule is necessary for a match under this threshold; pass blocking=[...] "
+            "(explicit, possibly lossy keys) or allow_all_pairs=True")
     conds = [ls["__set"] == rs["__tet"]]
     for i in keys:
-        if config["rules"][i]["type"] == "exact" and not comparable[i]:
+        if rules[i]["type"] == "exact" and not comparable[i]:
             # incomparable types: only two NULLs score 1
             conds.append(ls[f"__sn{i}"] & rs[f"__tn{i}"])
             continue
@@ -89,11 +172,8 @@ def candidate_pairs(left: DataFrame, right: DataFrame, config: dict, *, exclude_
         lk = F.when(~ls[f"__sn{i}"], ls[f"__sf{i}"])
         rk = F.when(~rs[f"__tn{i}"], rs[f"__tf{i}"])
         conds.append(lk.eqNullSafe(rk))
-    conds += [ls[f"__sx{j}"].eqNullSafe(rs[f"__tx{j}"]) for j in range(len(blocking or []))]
-    pairs = ls.join(rs, reduce(lambda a, b: a & b, conds), "inner")
-    if exclude_self:
-        pairs = pairs.where(F.col("s.id") != F.col("t.id"))
-    return pairs
+    conds += [ls[f"__sx{j}"].eqNullSafe(rs[f"__tx{j}"]) for j in extra]
+    return ls.join(rs, reduce(lambda a, b: a & b, conds), "inner")
 
 
 def score_columns(pairs: DataFrame, config: dict, comparable: list[bool] | None = None):

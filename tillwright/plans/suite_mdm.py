@@ -192,6 +192,30 @@ FROM scored WHERE score >= 0.7
 """
 
 
+# -- J10 without a binary rule: candidates by the segments of similar texts -------------------
+
+FUZZY_CONFIG = {"entityType": "part", "threshold": 0.9, "rules": [
+    {"field": "label", "type": "fuzzy", "weight": 0.75}, {"field": "price", "type": "exact", "weight": 0.25}]}
+
+
+def mdm_fuzzy_matches(spark, sf_dir):
+    """Parts whose labels are a character or two apart, every 20th of them without a label."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    label = F.when(F.col("p_partkey") % 20 > 0, F.concat_ws(" ", "p_name", "p_brand", "p_type"))
+    rows = p.select(F.col("p_partkey").cast("string").alias("id"), F.lit("part").alias("entityType"), F.struct(label.alias("label"), F.col("p_retailprice").alias("price")).alias("data"))
+    return find_matches(rows, rows, FUZZY_CONFIG, "source").select("sourceRecordId", "matchedRecordId", F.round("score", 6).alias("score"))
+
+
+MDM_FUZZY_SQL = """
+WITH r AS (SELECT CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_partkey % 20 > 0 THEN p_name || ' ' || p_brand || ' ' || p_type END AS label, p_retailprice AS price FROM part),
+s AS (SELECT a.id AS x, b.id AS y, CASE WHEN a.label IS NULL AND b.label IS NULL THEN 1.0::DOUBLE WHEN a.label IS NULL OR b.label IS NULL THEN 0.0::DOUBLE
+        ELSE 1.0::DOUBLE - levenshtein(a.label, b.label) / CAST(greatest(length(a.label), length(b.label)) AS DOUBLE) END * 0.75::DOUBLE
+        + CASE WHEN a.price = b.price THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END AS score
+      FROM r a JOIN r b ON a.id <> b.id)
+SELECT x AS "sourceRecordId", y AS "matchedRecordId", round(score, 6) AS score FROM s WHERE score >= 0.9
+"""
+
+
 # -- M14-M23: survivorship over the records of one customer key ------------------------------
 
 def _golden(spark, sf_dir):
@@ -436,6 +460,7 @@ def _mdm_command_log_sql():
 
 
 QUERIES = {
+    "mdm_fuzzy_matches": mdm_fuzzy_matches,
     "mdm_candidates": mdm_candidates,
     "mdm_contributions": mdm_contributions,
     "mdm_decisions": mdm_decisions,
@@ -449,6 +474,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "mdm_fuzzy_matches": MDM_FUZZY_SQL,
     "mdm_candidates": _mdm_candidates_sql(),
     "mdm_contributions": _mdm_contributions_sql(),
     "mdm_decisions": _mdm_decisions_sql(),
