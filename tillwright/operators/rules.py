@@ -166,7 +166,7 @@ class RuleCompiler:
         if op == "endsWith":
             return F.coalesce(sa.endswith(sb), F.lit(False))
         if op == "matches":
-            return F.coalesce(sa.rlike(sb), F.lit(False))
+            return F.coalesce(F.rlike(sa, sb), F.lit(False))
         return F.lit(False)
 
     # -- conditions ----------------------------------------------------------------
