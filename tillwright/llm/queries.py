@@ -27,7 +27,7 @@ def op1_licence_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as mail that quotes the turns before, linked again and read without quotes."""
     found = quotes.linked(quotes.quoting(table(spark, sf_dir, "conversations")))
-    return found.select(F.col("scope").cast("long").alias("conv_id"), F.col("message_id").alias("turn"), F.col("parent").alias("parent_turn"),
+    return found.select(F.col("scope").alias("conv_id"), F.col("message_id").alias("turn"), F.col("parent").alias("parent_turn"),
                         F.col("root").alias("root_turn"), "depth", "n_quoted", F.md5("own").alias("own_md5"))
 
 

@@ -109,7 +109,8 @@ def linked(messages: DataFrame) -> DataFrame:
     ``messages`` has ``scope`` (any type), ``message_id`` (ordered as sent)
     and ``text``.
     """
-    plain = messages.select(F.coalesce(F.col("scope").cast("string"), F.lit("\x00null")).alias("scope"), F.col("message_id").cast("long").alias("message_id"), "text")
+    # scopes as text that tells null from every value
+    plain = messages.select(F.coalesce(F.concat(F.lit("="), F.col("scope").cast("string")), F.lit("")).alias("scope"), F.col("message_id").cast("long").alias("message_id"), "text")
     each = written(passages(lines(plain)).filter(F.size("keys") > 0), "passages")
     place = ["scope", "message_id", "level"]
     whole = each.select(*place, F.col("hash").alias("key"), F.size("keys").alias("n"))
@@ -142,10 +143,22 @@ def linked(messages: DataFrame) -> DataFrame:
     own = plain.select("scope", "message_id", F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: ~x.rlike(_MARKS)).alias("own"),
                        F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: x.rlike(_MARKS))).alias("n_quoted"))
     return (own.join(links, ["scope", "message_id"], "left").join(at.select("scope", "message_id", F.col("to").alias("root"), "depth"), ["scope", "message_id"], "left")
-            .select("scope", "message_id", "parent", F.coalesce("root", "message_id").alias("root"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"),
+            .select(F.when(F.col("scope") != "", F.substring("scope", 2, 2**31 - 1)).cast(messages.schema["scope"].dataType).alias("scope"),
+                    "message_id", "parent", F.coalesce("root", "message_id").alias("root"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"),
                     F.col("n_quoted").cast("long").alias("n_quoted"), F.btrim(F.array_join("own", "\n"), F.lit("\n")).alias("own")))
 
 
+def conversations(messages: DataFrame) -> DataFrame:
+    """Conversations to read: ``linked`` messages without quotes, replies after what they answer.
+
+    One row a message, in the order of scope, conversation (its root), depth and
+    message; sorted in ranges, so a conversation of any length is no one row or task.
+    """
+    found = linked(messages)
+    return found.select("scope", F.col("root").alias("conversation"), "depth", "message_id", F.col("parent").alias("answers"), F.col("own").alias("text")).orderBy(
+        "scope", "conversation", "depth", "message_id")
+
+
 def quoting(conversations: DataFrame) -> DataFrame:
     """Mail-like messages made from a table of conversations.
 
