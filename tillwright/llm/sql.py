@@ -76,4 +76,74 @@ select doc_id, leaf, aroot.h as subroot, broot.h as root, sha256(sib) as proof_s
 from bup{LEVELS - 1} u join aroot on aroot.g = u.src, broot"""
 
 
-ORACLE = {"op12_hilbert_zones": hard_negatives(), "op13_merkle_descent": merkle()}
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+SPACE = r"\x09-\x0D\x20"
+
+
+def leaked_windows(window: int = 10) -> str:
+    """Every window of every item looked up among the windows of the documents."""
+    words = lambda c: f"regexp_extract_all({LOWER.format(c)}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    runs = lambda n: f"list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i:i + {n} - 1], ' '))"
+    return f"""
+with d as (select doc_id, row_number() over () as r, coalesce({words('text')}, []) as w from documents),
+i as (select item_id, coalesce({words('text')}, []) as w from benchmark),
+g as (
+  select distinct item_id, unnest(case when len(w) >= {window} then {runs(window)} else [array_to_string(w, ' ')] end) as win,
+         least(len(w), {window}) as n from i where len(w) > 0),
+p as (select r, n, unnest(range(1, len(w) - n + 2)) as s, w from d, (select distinct n from g)),
+f as (select r, n, s, array_to_string(w[s:s + n - 1], ' ') as win from p),
+h as (select f.r, f.s, f.n, g.item_id from f join g on f.n = g.n and f.win = g.win),
+c as (select r, count(distinct x) as n_hit from (select r, unnest(range(s, s + n)) as x from h) group by r),
+t as (select r, count(distinct item_id) as n_items, string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as items from h group by r)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join c using (r) left join t using (r)"""
+
+
+def frequent_lines(min_docs: int = 10, min_chars: int = 1) -> str:
+    key = LOWER.format(r"regexp_replace(line, '^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$', '', 'g')")
+    return f"""
+with d as (select doc_id, row_number() over () as r, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+l as (select r, unnest(ls) as line, unnest(range(1, len(ls) + 1)) as i from d),
+k as (select r, i, line, {key} as key from l),
+often as (select key from k where length(key) >= {min_chars} group by key having count(distinct r) >= {min_docs}),
+kept as (select r, count(*) filter (key not in (select key from often)) as n, string_agg(line, chr(10) order by i) filter (key not in (select key from often)) as text from k group by r)
+select doc_id, cast(len(ls) as bigint) as n_lines, cast(len(ls) - n as bigint) as n_dropped, sha256(coalesce(kept.text, '')) as kept_sha256
+from d join kept using (r)"""
+
+
+def quality() -> str:
+    """Base features and the fixed rules, in any order."""
+    return f"""
+with d as (
+  select doc_id, row_number() over () as r, coalesce(text, '') as t, coalesce(regexp_extract_all(text, '[^{SPACE}]+'), []) as w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^{SPACE}]')) as ls
+  from documents),
+g as (select r, i, array_to_string(w[i:i + 2], ' ') as win from (select r, w, unnest(range(1, len(w) - 1)) as i from d)),
+again as (select r, i from (select r, i, count(*) over (partition by r, win) as c from g) where c > 1),
+rep as (select r, count(distinct x) as n from (select r, unnest([i, i + 1, i + 2]) as x from again) group by r),
+f as (
+  select doc_id, cast(len(w) as bigint) as n_words, cast(length(array_to_string(w, '')) as bigint) as word_chars,
+         cast(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) as bigint) as n_symbols, cast(len(ls) - len(list_distinct(ls)) as bigint) as n_dup_lines,
+         coalesce(rep.n, 0) as n_repeat_words, len(ls) as lines, length(regexp_replace(t, '[^A-Z]+', '', 'g')) as capitals, length(regexp_replace(t, '[^!]+', '', 'g')) as calls
+  from d left join rep using (r))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+       not (n_words < 50 or 100 * n_repeat_words > 50 * n_words or 10 * n_symbols > n_words or 10 * n_dup_lines > 3 * lines
+            or word_chars < 2 * n_words or word_chars > 20 * n_words or 10 * capitals > 4 * word_chars or 10 * calls > 3 * n_words) as kept
+from f"""
+
+
+def repeated_windows(length: int = 35) -> str:
+    return f"""
+with d as (select doc_id, row_number() over () as r, coalesce(regexp_extract_all(text, '[^{SPACE}]+'), []) as w from documents),
+p as (select r, unnest(range(1, len(w) - {length} + 2)) as i, w from d),
+f as (select r, i, count(*) over (partition by array_to_string(w[i:i + {length} - 1], ' ')) as c from p),
+gone as (select distinct r, unnest(range(i, i + {length})) as i from f where c > 1),
+words as (select r, unnest(w) as x, unnest(range(1, len(w) + 1)) as i from d),
+kept as (select r, count(*) as n, string_agg(x, ' ' order by i) as text from words anti join gone using (r, i) group by r)
+select doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256
+from d left join kept using (r)"""
+
+
+ORACLE = {"op4_difference_cover": repeated_windows(), "op5_wu_manber": leaked_windows(), "op8_line_bitmaps": frequent_lines(), "op9_quality_cascade": quality(),
+          "op12_hilbert_zones": hard_negatives(), "op13_merkle_descent": merkle()}
