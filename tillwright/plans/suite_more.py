@@ -213,24 +213,22 @@ SELECT id, 'g-' || CAST((SELECT max(x) FROM walk WHERE walk.k = src.k) AS VARCHA
 # -- J3 + X0: lookup many, then flatten keeping empty groups -----------------------------------------
 
 def lookup_flatten(spark, sf_dir):
+    """Every customer with each of its orders, customers without one too."""
     steps = [
-        step(1, "filter", source="customer", output="_temp_rich",
-             conditions=[{"field": "c_acctbal", "operator": "gt", "value": 9900}]),
-        step(2, "lookup", source="nation", **{"from": "_temp_rich"}, localField="n_nationkey",
-             foreignField="c_nationkey", **{"as": "rich"}, multiple=True, output="_temp_l"),
-        step(3, "flatten", source="_temp_l", field="rich", **{"as": "one"}, preserveEmpty=True, output="out"),
+        step(1, "lookup", source="customer", **{"from": "orders"}, localField="c_custkey",
+             foreignField="o_custkey", **{"as": "rich"}, multiple=True, output="_temp_l"),
+        step(2, "flatten", source="_temp_l", field="rich", **{"as": "one"}, preserveEmpty=True, output="out"),
     ]
-    df = run_steps(spark, sf_dir, steps, "out", ["customer", "nation"])
-    return df.select("n_nationkey", "n_name", "pos", F.col("one.c_custkey").alias("c_custkey"),
+    df = run_steps(spark, sf_dir, steps, "out", ["customer", "orders"])
+    return df.select("c_custkey", "c_name", "pos", F.col("one.o_orderkey").alias("o_orderkey"),
                      F.size("rich").cast("long").alias("n_rich"))
 
 
 LOOKUP_FLATTEN_SQL = """
-WITH rich AS (SELECT * FROM customer WHERE c_acctbal > 9900),
-g AS (SELECT c_nationkey, list(c_custkey ORDER BY c_custkey) AS ks FROM rich GROUP BY c_nationkey)
-SELECT n.n_nationkey, n.n_name, CAST(u.pos AS INTEGER) AS pos, u.c_custkey, coalesce(len(g.ks), 0) AS n_rich
-FROM nation n LEFT JOIN g ON g.c_nationkey = n.n_nationkey
-LEFT JOIN LATERAL (SELECT unnest(range(len(g.ks))) AS pos, unnest(g.ks) AS c_custkey) u ON true
+WITH g AS (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS ks FROM orders GROUP BY o_custkey)
+SELECT n.c_custkey, n.c_name, CAST(u.pos AS INTEGER) AS pos, u.o_orderkey, coalesce(len(g.ks), 0) AS n_rich
+FROM customer n LEFT JOIN g ON g.o_custkey = n.c_custkey
+LEFT JOIN LATERAL (SELECT unnest(range(len(g.ks))) AS pos, unnest(g.ks) AS o_orderkey) u ON true
 """
 
 

@@ -430,49 +430,44 @@ def join_left_collision(spark, sf_dir):
     steps = [
         step(1, "map", source="customer", output="_temp_c", mappings=[
             mp("name", fld("c_name")), mp("nation", fld("c_nationkey")), mp("bal", fld("c_acctbal"))]),
-        step(2, "filter", source="supplier", output="_temp_s0", conditions=[cond("s_acctbal", "gte", 5000)]),
-        step(3, "map", source="_temp_s0", output="_temp_s", mappings=[
+        step(2, "map", source="supplier", output="_temp_s", mappings=[
             mp("name", fld("s_name")), mp("nation", fld("s_nationkey")), mp("bal", fld("s_acctbal"))]),
-        step(4, "join", left="_temp_c", right="_temp_s", type="left", output="out",
-             on=[{"leftField": "nation", "rightField": "nation"}]),
+        step(3, "join", left="_temp_c", right="_temp_s", type="left", output="out",
+             on=[{"leftField": "c_custkey", "rightField": "s_suppkey"}]),
     ]
     return run_steps(spark, sf_dir, steps, "out", ["customer", "supplier"])
 
 
 JOIN_LEFT_COLLISION_SQL = """
 WITH c AS (SELECT c_custkey, c_name AS name, c_nationkey AS nation, c_acctbal AS bal FROM customer),
-     s AS (SELECT s_suppkey, s_name AS name, s_nationkey AS nation, s_acctbal AS bal FROM supplier WHERE s_acctbal >= 5000)
+     s AS (SELECT s_suppkey, s_name AS name, s_nationkey AS nation, s_acctbal AS bal FROM supplier)
 SELECT CASE WHEN s.s_suppkey IS NOT NULL THEN s.name ELSE c.name END AS name,
        CASE WHEN s.s_suppkey IS NOT NULL THEN s.nation ELSE c.nation END AS nation,
        CASE WHEN s.s_suppkey IS NOT NULL THEN s.bal ELSE c.bal END AS bal,
        c.c_custkey AS left_id, s.s_suppkey AS right_id
-FROM c LEFT JOIN s ON c.nation IS NOT DISTINCT FROM s.nation
+FROM c LEFT JOIN s ON c.c_custkey = s.s_suppkey
 """
 
 
 def join_full(spark, sf_dir):
     steps = [
-        step(1, "filter", source="supplier", output="_temp_s", conditions=[cond("s_acctbal", "gte", 5000)]),
-        step(2, "filter", source="customer", output="_temp_c", conditions=[cond("c_mktsegment", "eq", "BUILDING")]),
-        step(3, "join", left="_temp_s", right="_temp_c", type="full", output="out",
-             on=[{"leftField": "s_nationkey", "rightField": "c_nationkey"}]),
+        step(1, "join", left="supplier", right="customer", type="full", output="out",
+             on=[{"leftField": "s_suppkey", "rightField": "c_custkey"}]),
     ]
     return run_steps(spark, sf_dir, steps, "out", ["customer", "supplier"])
 
 
 JOIN_FULL_SQL = """
-WITH s AS (SELECT * FROM supplier WHERE s_acctbal >= 5000),
-     c AS (SELECT * FROM customer WHERE c_mktsegment = 'BUILDING')
+WITH s AS (SELECT * FROM supplier), c AS (SELECT * FROM customer)
 SELECT s.s_name, s.s_nationkey, s.s_acctbal, s.s_suppkey AS left_id,
        c.c_name, c.c_nationkey, c.c_acctbal, c.c_mktsegment, c.c_custkey AS right_id
-FROM s FULL OUTER JOIN c ON s.s_nationkey IS NOT DISTINCT FROM c.c_nationkey
+FROM s FULL OUTER JOIN c ON s.s_suppkey = c.c_custkey
 """
 
 
 def join_right_prefix(spark, sf_dir):
     steps = [
-        step(1, "filter", source="orders", output="_temp_o", conditions=[cond("o_orderpriority", "eq", "1-URGENT")]),
-        step(2, "join", left="_temp_o", right="customer", type="right", output="out",
+        step(1, "join", left="orders", right="customer", type="right", output="out",
              on=[{"leftField": "o_custkey", "rightField": "c_custkey"}],
              prefix={"left": "ord_", "right": "cus_"},
              select={"left": ["o_totalprice", "o_orderstatus"], "right": ["c_name", "c_mktsegment"]}),
@@ -481,10 +476,9 @@ def join_right_prefix(spark, sf_dir):
 
 
 JOIN_RIGHT_PREFIX_SQL = """
-WITH o AS (SELECT * FROM orders WHERE o_orderpriority = '1-URGENT')
 SELECT o.o_totalprice AS ord_o_totalprice, o.o_orderstatus AS ord_o_orderstatus, o.o_orderkey AS ord_id,
        c.c_name AS cus_c_name, c.c_mktsegment AS cus_c_mktsegment, c.c_custkey AS cus_id
-FROM o RIGHT JOIN customer c ON o.o_custkey IS NOT DISTINCT FROM c.c_custkey
+FROM orders o RIGHT JOIN customer c ON o.o_custkey IS NOT DISTINCT FROM c.c_custkey
 """
 
 
@@ -785,27 +779,22 @@ SELECT * FROM orders WHERE o_orderstatus = 'P'
 
 
 def union_distinct(spark, sf_dir):
+    """The first order of every customer, and the customers that have none."""
     steps = [
-        step(1, "filter", source="customer", output="_temp_c0",
-             conditions=[cond("c_mktsegment", "eq", "BUILDING"), cond("c_acctbal", "gt", 9000)]),
-        step(2, "map", source="_temp_c0", output="_temp_c", mappings=[
-            mp("nation", fld("c_nationkey")), mp("name", fld("c_name")), mp("bal", fld("c_acctbal"))]),
-        step(3, "map", source="supplier", output="_temp_s", mappings=[
-            mp("nation", fld("s_nationkey")), mp("name", fld("s_name")), mp("bal", fld("s_acctbal"))]),
-        step(4, "union", sources=["_temp_c", "_temp_s"], mode="distinct", distinctKeys=["nation"], output="out"),
+        step(1, "map", source="orders", output="_temp_o", mappings=[mp("key", fld("o_custkey")), mp("amount", fld("o_totalprice"))]),
+        step(2, "map", source="customer", output="_temp_c", mappings=[mp("key", fld("c_custkey")), mp("amount", fld("c_acctbal"))]),
+        step(3, "union", sources=["_temp_o", "_temp_c"], mode="distinct", distinctKeys=["key"], output="out"),
     ]
-    return run_steps(spark, sf_dir, steps, "out", ["customer", "supplier"])
+    return run_steps(spark, sf_dir, steps, "out", ["customer", "orders"])
 
 
 UNION_DISTINCT_SQL = """
 WITH u AS (
-  SELECT c_custkey, NULL::BIGINT AS s_suppkey, c_nationkey AS nation, c_name AS name, c_acctbal AS bal,
-         0 AS src, c_custkey AS ord
-  FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 9000
+  SELECT o_orderkey, NULL::BIGINT AS c_custkey, o_custkey AS key, o_totalprice AS amount, 0 AS src, o_orderkey AS ord FROM orders
   UNION ALL
-  SELECT NULL::BIGINT, s_suppkey, s_nationkey, s_name, s_acctbal, 1, s_suppkey FROM supplier)
-SELECT c_custkey, s_suppkey, nation, name, bal FROM (
-  SELECT *, row_number() OVER (PARTITION BY nation ORDER BY src, ord) AS rn FROM u) WHERE rn = 1
+  SELECT NULL::BIGINT, c_custkey, c_custkey, c_acctbal, 1, c_custkey FROM customer)
+SELECT o_orderkey, c_custkey, key, amount FROM (
+  SELECT *, row_number() OVER (PARTITION BY key ORDER BY src, ord) AS rn FROM u) WHERE rn = 1
 """
 
 
@@ -824,7 +813,7 @@ def flatten_words(spark, sf_dir):
     """Whole-document word split then flatten (keeps empty docs with NULL)."""
     steps = [
         step(1, "map", source="documents", output="_temp_w", mappings=[
-            mp("words", _str("split", "lang", separator="")), mp("source", fld("source"))]),
+            mp("words", _str("split", "text", separator=" ")), mp("source", fld("source"))]),
         step(2, "flatten", source="_temp_w", output="out", field="words", **{"as": "ch"}, preserveEmpty=True),
     ]
     df = run_steps(spark, sf_dir, steps, "out", ["documents"])
@@ -832,8 +821,8 @@ def flatten_words(spark, sf_dir):
 
 
 FLATTEN_WORDS_SQL = """
-SELECT doc_id, source, CAST(generate_subscripts(string_split(lang, ''), 1) - 1 AS INTEGER) AS pos,
-       unnest(string_split(lang, '')) AS ch
+SELECT doc_id, source, CAST(generate_subscripts(string_split(text, ' '), 1) - 1 AS INTEGER) AS pos,
+       unnest(string_split(text, ' ')) AS ch
 FROM documents
 """
 
