@@ -132,9 +132,11 @@ def segments(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int = BLOC
         if keys:
             yield flush()
 
+    # rows that share an id (all without one, say) are ranges of their own: by text, then by where they were read
+    order = [F.col("doc_id").asc_nulls_first(), "_h", "_p"]
     return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-            .repartitionByRange(F.col("doc_id").asc_nulls_first())
-            .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+            .withColumns({"_h": F.xxhash64("text"), "_p": F.spark_partition_id()})
+            .repartitionByRange(*order).sortWithinPartitions(*order)
             .select(F.col("doc_id").cast("string").alias("doc_id"), "text")  # exact where pandas would make floats of nulls
             .mapInPandas(run, SEGMENTS))
 
