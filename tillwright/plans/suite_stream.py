@@ -14,7 +14,7 @@ from ..operators.mdm.merge import merge_golden
 from ..session import checkpoint_dir
 from ..sources.catalog import Catalog, TEST_TABLE_KEYS
 from ..streaming.incremental import ingest_stream, read_state, run_to_table, stream_steps
-from .suite_mdm import INGEST_TS, MATCH_CONFIG, SURVIVORSHIP_CONFIG, mdm_sources
+from .suite_mdm import _SQL_NAME, INGEST_TS, MATCH_CONFIG, SOURCES_SQL, SURVIVORSHIP_CONFIG, _sql_scores, _sql_total, mdm_sources
 
 
 def stream_events(spark, sf_dir):
@@ -55,14 +55,14 @@ def stream_ingest(spark, sf_dir):
            .withColumn("matchScore", F.lit(1.0)))
     goldens = merge_golden(crm, SURVIVORSHIP_CONFIG, batch_ts=INGEST_TS)
     stage = os.path.join(checkpoint_dir(spark), f"stream-stage-{uuid.uuid4().hex[:8]}")
-    for system in ("erp", "web"):  # two arrivals -> two micro-batches
-        src.where(F.col("sourceSystem") == system).coalesce(1).write.mode("overwrite").parquet(f"{stage}/{system}")
-    stream = (spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 1)
-              .option("recursiveFileLookup", "true").parquet(stage))
-    q, root = ingest_stream(spark, stream, MATCH_CONFIG, SURVIVORSHIP_CONFIG, golden_seed=goldens, member_seed=crm)
-    q.awaitTermination()
-    if q.exception():
-        raise RuntimeError(str(q.exception()))
+    stream = spark.readStream.schema(src.schema).option("recursiveFileLookup", "true").parquet
+    root = None
+    for system in ("erp", "web"):  # two arrivals, each a run of the same stream
+        src.where(F.col("sourceSystem") == system).write.parquet(f"{stage}/{system}")
+        q, root = ingest_stream(spark, stream(stage), MATCH_CONFIG, SURVIVORSHIP_CONFIG, state_dir=root, golden_seed=goldens, member_seed=crm)
+        q.awaitTermination()
+        if q.exception():
+            raise RuntimeError(str(q.exception()))
     members = read_state(spark, root, "members")
     return members.where("sourceSystem <> 'crm'").select("id", "goldenRecordId", F.round("matchScore", 6).alias("matchScore"))
 
@@ -72,6 +72,32 @@ QUERIES = {
     "stream_ingest": stream_ingest,
 }
 
+def _stream_ingest_sql():
+    """Two batches, the second against golden records that hold the matched records of the first."""
+    sc = _sql_total(_sql_scores("a", "b"))
+    same = f"{_SQL_NAME.format('a')} = {_SQL_NAME.format('b')}"
+    cols = "id, entityType, sourceSystem, sourceId, name, nation, segment, balance, since, confidence, upd"
+    best = lambda batch, golden: f"""SELECT a.id, b.gid, {sc} AS score FROM {batch} a JOIN {golden} b ON {same} WHERE {sc} >= 0.7
+  QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY {sc} DESC, b.gid) = 1"""
+    return f"""
+WITH {SOURCES_SQL},
+crm AS (SELECT *, 'g-' || sourceId AS gid FROM src WHERE sourceSystem = 'crm'), erp AS (SELECT * FROM src WHERE sourceSystem = 'erp'), web AS (SELECT * FROM src WHERE sourceSystem = 'web'),
+first AS ({best("erp", "crm")}),
+m AS (SELECT {cols}, gid FROM crm
+      UNION ALL SELECT {", ".join("e." + c for c in cols.split(", "))}, coalesce(first.gid, 'golden-' || e.id) FROM erp e LEFT JOIN first USING (id)),
+nations AS (
+  SELECT gid, first(nation ORDER BY n DESC, lead) AS nation FROM (SELECT gid, nation, count(*) AS n, min(id) AS lead FROM m GROUP BY gid, nation) GROUP BY gid),
+golden AS (
+  SELECT gid, first(name ORDER BY length(name) DESC, id) AS name, first(segment ORDER BY CASE sourceSystem WHEN 'erp' THEN 1 WHEN 'crm' THEN 2 ELSE 3 END, id) AS segment,
+         first(balance ORDER BY confidence DESC, id) AS balance, first(since ORDER BY upd DESC, id) AS since, any_value(nations.nation) AS nation
+  FROM m JOIN nations USING (gid) GROUP BY gid),
+second AS ({best("web", "golden")})
+SELECT id, coalesce(first.gid, 'golden-' || id) AS "goldenRecordId", round(coalesce(score, 1.0), 6) AS "matchScore" FROM erp LEFT JOIN first USING (id)
+UNION ALL SELECT id, coalesce(second.gid, 'golden-' || id), round(coalesce(score, 1.0), 6) FROM web LEFT JOIN second USING (id)
+"""
+
+
 ORACLE = {
     "stream_events": STREAM_EVENTS_SQL,
+    "stream_ingest": _stream_ingest_sql(),
 }

@@ -51,17 +51,18 @@ def stream_steps(cat: Catalog, source: str, steps: list[dict]) -> DataFrame:
     return last.df
 
 
-def run_to_table(df: DataFrame, name: str, checkpoint: str | None = None) -> DataFrame:
-    """Drive a streaming DataFrame over all available input into a memory
-    table and return it as a batch DataFrame (tests, reports)."""
+def run_to_table(df: DataFrame, name: str, checkpoint: str | None = None, path: str | None = None) -> DataFrame:
+    """Drive a streaming DataFrame over all available input into a Parquet table
+    of the shared folder, written by the tasks, and return it as a batch DataFrame."""
     spark = df.sparkSession
-    ck = checkpoint or os.path.join(checkpoint_dir(spark), f"stream-{name}-{uuid.uuid4().hex[:8]}")
-    q = (df.writeStream.format("memory").queryName(name).outputMode("append")
-         .option("checkpointLocation", ck).trigger(availableNow=True).start())
+    base = os.path.join(checkpoint_dir(spark), f"stream-{name}-{uuid.uuid4().hex[:8]}")
+    out = path or os.path.join(base, "rows")
+    q = (df.writeStream.format("parquet").option("path", out).outputMode("append")
+         .option("checkpointLocation", checkpoint or os.path.join(base, "checkpoint")).trigger(availableNow=True).start())
     q.awaitTermination()
     if q.exception():
         raise RuntimeError(str(q.exception()))
-    return spark.table(name)
+    return spark.read.schema(df.schema).parquet(out)
 
 
 def _version_path(root: str, table: str, version: int, snapshot: bool = False) -> str:
