@@ -14,7 +14,7 @@ each after a u64 length: document ids (i64), null marks (u8), document lengths
 (u64); then the index (u64 end of every plane of every block); then the planes.
 
 Defined results: a null or empty text has only the end id; a null ``doc_id``
-sorts first; rows that repeat an id are kept, ordered by text; an empty table
+sorts first; rows that repeat an id are kept, ordered by a hash of their text; an empty table
 gives an empty result; other columns are ignored.
 """
 
