@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators.pricing.carts import build_carts
 from ..operators.pricing.codes import generate_codes, validate_codes
+from ..operators.pricing.conditions import condition
 from ..operators.pricing.evaluate import evaluate, rejection, with_defaults
 from ..operators.pricing.values import discount_amount
 
@@ -245,6 +246,23 @@ SELECT cart_id, CAST({n_all} AS BIGINT) AS n_applied, subtotal AS subtotal,
 FROM amt"""
 
 
+def _best_sql() -> str:
+    """The exclusive code alone, or everything else with the better of the two PROMO discounts."""
+    promo = "CASE WHEN d_promo20 IS NULL OR d_promo_fixed >= d_promo20 THEN coalesce(d_promo_fixed, d_promo20) ELSE d_promo20 END"
+    rest = "d_small_bxgy, d_bundle, d_cart10, c_high, d_tiers, c_notyet, c_cond, c_cond"
+    sum_of = lambda xs: f"list_reduce(list_filter([{xs}], lambda x: x IS NOT NULL), lambda a, b: a + b, 0.0::DOUBLE)"
+    return f"""
+WITH {BASE_SQL},
+tried AS (
+  SELECT *, {sum_of(f"{promo}, d_ship, {rest}")} AS joint, {sum_of(f"{promo}, {rest}")} AS items,
+         len(list_filter([{promo}, d_ship, {rest}], lambda x: x IS NOT NULL)) AS n FROM amt),
+best AS (SELECT *, c_urgent IS NOT NULL AND round(c_urgent, 6) > round(joint, 6) AS alone FROM tried),
+given AS (SELECT *, CASE WHEN alone THEN c_urgent ELSE items END AS disc, CASE WHEN alone THEN 0.0::DOUBLE ELSE coalesce(d_ship, 0.0::DOUBLE) END AS shipd FROM best)
+SELECT cart_id, CAST(CASE WHEN alone THEN 1 ELSE n END AS BIGINT) AS n_applied, subtotal AS subtotal, least(disc, subtotal) AS total_discount,
+       shipd AS shipping_discount, greatest(0.0::DOUBLE, subtotal - least(disc, subtotal) + ship - shipd) AS final_total
+FROM given"""
+
+
 def _drop_cols(sql: str, *cols: str) -> str:
     return f"SELECT * EXCLUDE ({', '.join(cols)}) FROM ({sql})"
 
@@ -336,7 +354,60 @@ SELECT cart_id, code, "discountId", reason IS NULL AS valid, reason,
 FROM v
 """
 
+# -- K3, K6-K8 and the forms of values that the definitions above do not use ---------------------
+
+POOL = list(range(0, 200, 3))
+DATES = {"type": "dateRange", "from": dt.datetime(1996, 1, 1), "until": dt.datetime(1997, 12, 31)}
+TAGGED = {"type": "customerTag", "tags": ["1-URGENT", "2-HIGH"]}
+REQUIRED = {"type": "requiredProducts", "productIds": [P_BUNDLE], "minQuantity": 3}
+CHECKED = {
+    "in_dates": DATES, "tagged": TAGGED, "has_product": REQUIRED, "enough": {"type": "minQuantity", "quantity": 5, "productIds": POOL},
+    "nested": {"type": "or", "conditions": [{"type": "and", "conditions": [{"type": "not", "condition": DATES}, TAGGED]}, REQUIRED]}}
+WORTH = {
+    "off_products": ({"type": "product", "productIds": POOL}, {"type": "percentage", "percentage": 5}),
+    "off_quantity": ({"type": "cart"}, {"type": "tiered", "tierBy": "quantity", "tiers": [{"threshold": 50, "fixedAmount": 40}, {"threshold": 100, "percentage": 3}]}),
+    "off_bundle": ({"type": "cart"}, {"type": "bundle", "items": [{"productId": P_BUNDLE, "quantity": 2}], "bundlePrice": 100}),
+    "off_free": ({"type": "cart"}, {"type": "buyXGetY", "buyQuantity": 10, "getQuantity": 2, "discountPercentage": 100, "getProductIds": POOL})}
+
+
+def price_conditions(spark, sf_dir):
+    """Conditions on dates, tags and products, nested, for every cart."""
+    return pricing_carts(spark, sf_dir).select("cart_id", *[condition(c).alias(n) for n, c in CHECKED.items()])
+
+
+def price_values(spark, sf_dir):
+    """Amounts off products, by quantity, for a bundle and for free products, for every cart."""
+    return pricing_carts(spark, sf_dir).select("cart_id", *[F.round(discount_amount({"target": t, "value": v}), 4).alias(n) for n, (t, v) in WORTH.items()])
+
+
+_POOL_SQL = f"pid IN ({', '.join(map(str, POOL))})"
+PRICE_CONDITIONS_SQL = f"""
+WITH {BASE_SQL},
+pool AS (SELECT cart_id, sum(q) AS pq FROM lines WHERE {_POOL_SQL} GROUP BY cart_id),
+k AS (SELECT cart_id, d BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1997-12-31' AS in_dates, prio IN ('1-URGENT', '2-HIGH') AS tagged,
+             coalesce(b_q >= 3, false) AS has_product, coalesce(pq, 0) >= 5 AS enough FROM base LEFT JOIN pool USING (cart_id))
+SELECT *, (NOT in_dates AND tagged) OR has_product AS nested FROM k
+"""
+PRICE_VALUES_SQL = f"""
+WITH {BASE_SQL},
+pool AS (
+  SELECT *, coalesce(sum(q) OVER (PARTITION BY cart_id ORDER BY price, ln, pid, ep ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM lines WHERE {_POOL_SQL}),
+free AS (
+  SELECT cart_id, list_reduce(list(price * q * 5.0::DOUBLE / 100.0::DOUBLE ORDER BY ln, pid, ep), lambda a, b: a + b, 0.0::DOUBLE) AS pct,
+         list_reduce(list(price * greatest(0.0::DOUBLE, least(q, floor(tq / 12.0::DOUBLE) * 2.0::DOUBLE - before)) * 100.0::DOUBLE / 100.0::DOUBLE ORDER BY price, ln, pid, ep),
+                     lambda a, b: a + b, 0.0::DOUBLE) AS off
+  FROM pool JOIN base USING (cart_id) GROUP BY cart_id)
+SELECT cart_id, CASE WHEN pct > 0 THEN round(pct, 4) END AS off_products,
+       CASE WHEN tq >= 100 AND subtotal > 0 THEN round(subtotal * 3 / 100, 4) WHEN tq >= 50 AND subtotal > 0 THEN round(least(40.0, subtotal), 4) END AS off_quantity,
+       CASE WHEN b_q >= 2 AND b_price * 2 > 100 THEN round(b_price * 2 - 100, 4) END AS off_bundle, CASE WHEN off > 0 THEN round(off, 4) END AS off_free
+FROM base LEFT JOIN free USING (cart_id)
+"""
+
+
 QUERIES = {
+    "price_conditions": price_conditions,
+    "price_values": price_values,
     "price_percentage": _single("d_promo20"),
     "price_fixed": _single("d_promo_fixed"),
     "price_bxgy": _single("d_small_bxgy"),
@@ -354,6 +425,9 @@ QUERIES = {
 }
 
 ORACLE = {
+    "price_conditions": PRICE_CONDITIONS_SQL,
+    "price_values": PRICE_VALUES_SQL,
+    "price_best_combination": _best_sql(),
     "price_percentage": _single_sql("d_promo20"),
     "price_fixed": _single_sql("d_promo_fixed"),
     "price_bxgy": _single_sql("d_small_bxgy"),
