@@ -10,7 +10,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwright.session import checkpoint_dir
+from tillwright.session import checkpoint_dir, remember
 
 # Functions of these modules travel to the Python workers by value, so that
 # executors need no copy of the package.
@@ -41,6 +41,7 @@ def written(df: DataFrame, label: str, **options) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/llm-{label}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
+    remember(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
