@@ -95,3 +95,40 @@ def test_every_owner_gets_a_code(spark):
     assert len({r["owner"] for r in got}) == len({r["code"] for r in got}) == len(got) == 90
     with pytest.raises(CodeGenerationError):
         generate_codes(spark.range(101).withColumnRenamed("id", "owner"), length=2, pattern="numeric")
+
+
+def test_schema_of_a_registered_table(cat):
+    """A table keeps its JSON Schema, takes its relations from it and refuses rows that break it."""
+    schema = {"type": "object", "required": ["name"], "properties": {
+        "id": {"type": "string"}, "name": {"type": "string", "minLength": 2}, "nation": {"type": "integer", "x-link-to": "nation"},
+        "tags": {"type": "array", "items": {"type": "string", "x-link-to": "tag"}}}}
+    fields = "id string, name string, nation long, tags array<string>"
+    cat.register("people", cat.spark.createDataFrame([("a", "Anna", 1, ["x"])], fields), schema=schema)
+    assert cat.schema_of("people") == schema and cat.info("people").relations == {"nation": ("nation", False), "tags": ("tag", True)}
+    rows = cat.spark.createDataFrame([("a", "Again", 1, None), ("b", "Bea", 2, None), ("c", None, 3, None), ("d", "D", 3, None)], fields)
+    grown, refused = cat.insert("people", rows)
+    assert sorted(r["id"] for r in cat.get("people").collect()) == ["a", "b"] == sorted(r["id"] for r in grown.collect())
+    assert sorted(r["id"] for r in refused.collect()) == ["a", "c", "d"]
+    assert cat.schema_of("people") == schema
+
+
+def test_write_fills_ids_and_sees_what_it_reads(cat, tmp_path):
+    spark, path = cat.spark, str(tmp_path / "t")
+    df = spark.createDataFrame([("a", 1), (None, 2), (None, 3)], "id string, n long")
+    write_table(df, path, id_col="id")
+    assert len({r["id"] for r in spark.read.parquet(path).collect()}) == 3
+    write_table(spark.read.parquet(path).where("n > 1").join(spark.range(2, 3).withColumnRenamed("id", "n"), "n"), path)
+    assert [r["n"] for r in spark.read.parquet(path).collect()] == [2]
+
+
+def test_one_row_an_update(cat):
+    from pyspark.sql import functions as F
+    log = cat.spark.createDataFrame([("m1", "sent"), ("m2", "sent")], "id string, status string")
+    updates = cat.spark.createDataFrame([("m1", "opened", 2), ("m1", "delivered", 1), ("m3", "opened", 1)], "id string, status string, at int")
+    assert sorted((r["id"], r["status"]) for r in update_status(log, updates.withColumn("at", F.timestamp_seconds("at"))).collect()) == [("m1", "opened"), ("m2", "sent")]
+
+
+def test_clear_keeps_the_columns(cat):
+    from tillwright.operators.tables import clear
+    df = cat.spark.createDataFrame([("a", 1)], "id string, n long")
+    assert clear(df).count() == 0 and clear(df).schema == df.schema

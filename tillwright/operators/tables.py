@@ -97,8 +97,8 @@ def _num(v) -> str:
     return str(int(v)) if isinstance(v, float) and v.is_integer() else str(v)
 
 
-def split_valid(df: DataFrame, schema: dict) -> tuple[DataFrame, DataFrame]:
-    checked = validate(df, schema)
+def split_valid(df: DataFrame, schema: dict, prefix: str = "data") -> tuple[DataFrame, DataFrame]:
+    checked = validate(df, schema, prefix)
     return (checked.where(F.size("errors") == 0).drop("errors", "error"),
             checked.where(F.size("errors") > 0))
 

@@ -53,6 +53,18 @@ class CatalogError(ValueError):
     pass
 
 
+def links(schema: dict) -> dict[str, tuple[str, bool]]:
+    """Relations that a JSON Schema names: field -> (table, whether it is an array of keys)."""
+    out = {}
+    for name, spec in (schema.get("properties") or {}).items():
+        items = spec.get("items") if isinstance(spec.get("items"), dict) else {}
+        if spec.get("x-link-to"):
+            out[name] = (spec["x-link-to"], False)
+        elif items.get("x-link-to"):
+            out[name] = (items["x-link-to"], True)
+    return out
+
+
 @dataclass
 class TableInfo:
     name: str
@@ -60,6 +72,7 @@ class TableInfo:
     order_key: tuple = ()
     id_col: str | None = None
     relations: dict = field(default_factory=dict)
+    schema: dict | None = None  # JSON Schema of the rows
 
     def with_df(self, df: DataFrame, **kw) -> "TableInfo":
         cols = set(df.columns)
@@ -70,7 +83,8 @@ class TableInfo:
         if id_col and id_col not in cols:
             id_col = None
         rel = {k: v for k, v in kw.pop("relations", self.relations).items() if k in cols}
-        return TableInfo(kw.pop("name", self.name), df, tuple(order_key), id_col, rel)
+        schema = kw.pop("schema", self.schema if kw.get("name", self.name) == self.name else None)
+        return TableInfo(kw.pop("name", self.name), df, tuple(order_key), id_col, rel, schema)
 
 
 def _key_names(order_key):
@@ -91,17 +105,39 @@ class Catalog:
 
     # -- registration -----------------------------------------------------
     def register(self, name: str, df: DataFrame, order_key=(), id_col=None,
-                 relations=None, replace: bool = False) -> TableInfo:
+                 relations=None, replace: bool = False, schema: dict | None = None) -> TableInfo:
+        """``schema`` is a JSON Schema of the rows; without given ``relations`` its
+        ``x-link-to`` keywords (of a field, or of an array's items) are the relations."""
         if name in self._tables and not replace:
             raise CatalogError(f"Collection {name!r} already exists")
         if isinstance(order_key, str):
             order_key = (order_key,)
         if id_col is None and "id" in df.columns:
             id_col = "id"
-        info = TableInfo(name, df, tuple(order_key), id_col, dict(relations or {}))
+        if relations is None and schema:
+            relations = links(schema)
+        info = TableInfo(name, df, tuple(order_key), id_col, dict(relations or {}), schema)
         self._tables[name] = info
         return info
 
+    def schema_of(self, name: str) -> dict | None:
+        """The JSON Schema a table was registered with."""
+        return self.info(name).schema
+
+    def insert(self, name: str, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Append ``rows`` to a registered table: those its schema rejects, and keys that are there
+        already, come back with their ``error`` (see ``operators/tables.py``); the table then holds the others."""
+        from ..operators.tables import insert, split_valid
+
+        info = self.info(name)
+        good, bad = split_valid(rows, info.schema, prefix="data") if info.schema else (rows, None)
+        grown, twice = insert(info.df, good, info.id_col, info.order_key)
+        self._tables[name] = info.with_df(grown, name=name)
+        if bad is None:
+            return grown, twice
+        kept = [c for c in twice.columns if c in bad.columns or c in ("error", "reason")]
+        return grown, bad.drop("errors").unionByName(twice.select(*kept), allowMissingColumns=True)
+
     def put(self, info: TableInfo) -> None:
         self._tables[info.name] = info
 

@@ -24,10 +24,26 @@ def _norm(path: str) -> str:
     return os.path.normpath(p)
 
 
+def _roots(df: DataFrame) -> list[str]:
+    """Root paths of the files that a plan scans: metadata of its relations, not the list of files."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    out = []
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            paths = leaf.relation().location().rootPaths()
+            out += [paths.apply(k).toString() for k in range(paths.size())]
+    return out
+
+
 def write_table(df: DataFrame, path: str, mode: str = "overwrite", fmt: str = "parquet",
-                partition_by: list[str] | None = None) -> None:
+                partition_by: list[str] | None = None, id_col: str | None = None) -> None:
+    """Write a step's output; with ``id_col`` rows without an id get a UUID."""
+    if id_col:
+        given = F.col(id_col) if id_col in df.columns else F.lit(None).cast("string")
+        df = df.withColumn(id_col, F.coalesce(given, F.expr("uuid()")))
     target = _norm(path)
-    reads_target = any(_norm(f).startswith(target + os.sep) or _norm(f) == target for f in df.inputFiles())
+    reads_target = any(_norm(f).startswith(target + os.sep) or _norm(f) == target or target.startswith(_norm(f) + os.sep) for f in _roots(df))
     if reads_target and mode == "overwrite":
         checkpoint_dir(df.sparkSession)
         df = df.checkpoint(eager=True)  # cut the read of ``path`` before replacing it
