@@ -269,7 +269,7 @@ def test_quotations(spark):
     got = {(r.scope, r.message_id): (r.parent, r.root, r.depth, r.n_quoted, r.own) for r in quotes.linked(frame).collect()}
     assert got["t", 2] == (1, 1, 1, 1, "I agree") and got["t", 3] == (2, 1, 2, 2, "Me too") and got["t", 4] == (1, 1, 1, 1, "no")
     assert got["t", 5] == (None, 5, 0, 1, "odd") and got["t", 6] == (None, 6, 0, 0, "") and got["u", 9] == (None, 9, 0, 1, "other")
-    assert got["\x00null", 2] == (1, 1, 1, 1, "")
+    assert got[None, 2] == (1, 1, 1, 1, "")
     runs = {(r.message_id, r.level): r.n_lines for r in quotes.passages(quotes.lines(frame)).collect()}
     assert runs[3, 2] == 1 and runs[3, 1] == 1
     assert quotes.linked(frame.limit(0)).count() == 0
