@@ -2,6 +2,11 @@
 
 Every stage takes what the stage before kept, from a written table; all but
 the last return the columns of ``documents``.
+
+Defined results of all stages: other columns are dropped, whatever they are
+called; repeated rows and ids are rows of their own (near dedup keeps one of
+equal rows); texts of any length are read whole; an empty table gives an empty
+one.
 """
 
 from __future__ import annotations
@@ -16,18 +21,25 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no quality rule rejects."""
+    """Documents that no quality rule rejects; a null or empty text has no words and goes."""
     return quality.cascade(docs).select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines found in ten documents or more; ``n_chars`` follows."""
+    """Texts without the lines found in ten documents or more; ``n_chars`` follows.
+
+    A null text is one empty line, so an empty text; a text that loses all lines is empty and stays.
+    """
     found = lines.with_bitmaps(docs, lines.keep_bitmaps(docs), carried=("lang", "source"))
     return found.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, 80 %)."""
+    """One document of each group of near duplicates (five-word shingles, 80 %).
+
+    The smallest id stays, rows without id come last, ties go to the smaller text
+    hash; texts without words are alone and stay.
+    """
     found = minmax.near_duplicates(docs, width=5, num=80, den=100).filter("root is not null").groupBy("root", "_k1", "_k2").agg(
         F.min(F.coalesce("doc_id", F.lit(minmax.LAST))).alias("id"), F.count(F.lit(1)).alias("c"))
     found = written(found, "found")
@@ -45,13 +57,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a ten-word window of a test item."""
+    """Documents without a ten-word window of a test item; items without words, and null texts, hit nothing."""
     found = wumanber.decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=[c for c in COLUMNS if c != "doc_id"])
     return found.filter(F.size("spans") == 0).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rest in sequences of at most 1024 tokens."""
+    """The rest in sequences of at most 1024 tokens; a null text is its end token only."""
     return queries.packed(docs)
 
 
