@@ -224,7 +224,7 @@ def test_licence_sequences(spark, docs, empty):
              "Licensed under the Apache License, Version 2.0.\nyou may not use this file except in compliance with the License.", None, "", "nothing"]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: (r.licences, r.n_unused) for r in licences.scan(frame).collect()}
-    assert got == {0: (["MIT"], 0), 1: (["MIT"], 0), 2: (["CC-BY-NC", "proprietary"], 0), 3: (["Apache"], 1), 4: ([], 0), 5: ([], 0), 6: ([], 0)}
+    assert got == {0: (["MIT"], 0), 1: (["MIT"], 0), 2: (["CC-BY-NC-4.0", "proprietary"], 0), 3: (["Apache-2.0"], 1), 4: ([], 0), 5: ([], 0), 6: ([], 0)}
     assert licences.scan(docs).count() == docs.count() and licences.scan(empty).count() == 0
     assert licences.matched(["a", "b", "c", "a"], [("AB", ("a", "b")), ("A", ("a",))]) == (["AB", "A"], 1)
 
@@ -234,19 +234,20 @@ def test_wrapped_licences(spark):
     said = defaultdict(list)
     for name, text in licences.SENTENCES:
         said[name].append(text)
-    full = {"MIT": "mit-grant mit-notice as-is", "BSD-3-Clause": "bsd-redistribution bsd-source bsd-binary bsd-names", "GPL-or-later": "gpl-free gpl-terms gpl-version",
-            "Apache": "apache-ref apache-comply apache-copy apache-as-is"}
+    full = {"MIT": "mit-grant mit-notice as-is", "BSD-3-Clause": "bsd-redistribution bsd-source bsd-binary bsd-names", "GPL-3.0-or-later": "gnu-free GPL-terms later:3",
+            "LGPL-2.1-or-later": "gnu-free LGPL-later:2.1", "GPL-2.0-only": "gnu-free GPL-only:2", "MPL-2.0": "mpl-subject mpl-copy", "ISC": "isc-grant isc-as-is",
+            "Zlib": "zlib-as-is zlib-liable zlib-grant", "Unlicense": "unlicense-free unlicense-grant", "EPL-2.0": "epl-2"}
     texts, want = [], {}
     for name, ids in full.items():
         ids = ids.split()
-        wrapped = [line for x in ids for line in textwrap.wrap(said[x][-1] + ".", 70)]
+        wrapped = [line for x in ids for line in textwrap.wrap(said[x][0] + ("." if said[x][0][-1] != "v" else ". 2.0."), 70, break_on_hyphens=False)]
         for mark, end in (("", "\n"), ("# ", "\n"), (" * ", "\r\n"), (";; ", "\n"), ("dnl ", "\n"), ("// ", "\r"), ("! ", " !\n")):
             want[len(texts)] = (ids, [name], 0)
             texts.append(end.join(mark + x for x in ["Copyright 2020 A. Author", *wrapped, "", "code(here)"]))
     # one hit a place: the line alone is a sentence too; parts with a blank line between are no sentence
-    want[len(texts)] = (["mit-ref"], ["MIT"], 0)
+    want[len(texts)] = (["ref:MIT"], ["MIT"], 0)
     texts.append("This project is\nlicensed under the MIT License")
-    want[len(texts)] = (["apache-ref"], ["Apache"], 0)
+    want[len(texts)] = (["ref:Apache-2.0"], ["Apache-2.0"], 0)
     texts.append('/*\n * Licensed under the Apache License, Version 2.0\n * (the "License");\n */')
     want[len(texts)] = ([], [], 0)
     texts.append("# All rights\n#\n# reserved")
@@ -254,6 +255,26 @@ def test_wrapped_licences(spark):
     assert {r.doc_id: (r.sentence_ids, r.licences, r.n_unused) for r in licences.scan(frame).collect()} == want
 
 
+def test_versions_are_kept(spark):
+    """Licences that differ in a number, tags, and the header of a whole Apache file."""
+    said = {"This work is licensed under the GNU General Public License, version 2": "GPL-2.0-only", "Licensed under the GNU General Public License, version 3": "GPL-3.0-only",
+            "Licensed under CC BY 3.0": "CC-BY-3.0", "Licensed under CC BY 4.0": "CC-BY-4.0", "Licensed under CC BY-SA 2.5.": "CC-BY-SA-2.5", "// SPDX-License-Identifier: MPL-2.0": "MPL-2.0",
+            "# SPDX-License-Identifier: LGPL-2.1-or-later": "LGPL-2.1-or-later", "SPDX-License-Identifier: Apache-2.0\nint x;": "Apache-2.0", "Distributed under the Boost Software License, Version 1.0.": "BSL-1.0",
+            "Licensed under the Eclipse Public License v2.0": "EPL-2.0", "This project is licensed under the GNU Affero General Public License v3.0": "AGPL-3.0-only", "Released under the zlib License!": "Zlib"}
+    apache = """Licensed under the Apache License, Version 2.0 (the "License");
+ you may not use this file except in compliance with the License.
+ You may obtain a copy of the License at
+
+     http://www.apache.org/licenses/LICENSE-2.0
+
+ Unless required by applicable law or agreed to in writing, software
+ distributed under the License is distributed on an "AS IS" BASIS,
+ WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+    texts = [*said, apache]
+    got = {r.doc_id: r.licences for r in licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {k: [x] for k, x in enumerate([*said.values(), "Apache-2.0"])}
+
+
 def test_padded_licences(spark):
     """Blanks and marks inside a sentence do not count for its length."""
     padded = [("All" + " " * 9000 + "rights" + " *|" * 900 + " reserved", "proprietary"),

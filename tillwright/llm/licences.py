@@ -3,7 +3,7 @@
 Comment marks are taken off every line, and texts are cut at sentence ends and
 at blank lines.  What lies between is one line or several (a wrapped sentence,
 perhaps after a title); every run of its lines is a candidate, normalised (A-Z
-in lower case, marks and punctuation off, numbers replaced by ``0``) and looked
+in lower case, marks and punctuation off, version 2.0 the same as 2) and looked
 up in a table of known licence sentences.  Runs that share a line are one
 place, whose longest sentence counts.  The identifiers found in a document, in
 order, form a sequence; ordered licence rules are matched against it, each
@@ -37,54 +37,107 @@ from tillwright.llm.common import row_key, small_batches
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# SPDX names and the names that texts give the licences.
+NAMES = (
+    ("MIT", ("MIT License", "MIT licence")),
+    ("Apache-2.0", ("Apache License, Version 2.0", "Apache License, Version 2.0 (the \"License\")", "Apache License 2.0", "Apache 2.0 License")),
+    ("BSD-2-Clause", ("BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License")),
+    ("BSD-3-Clause", ("BSD 3-Clause License", "3-Clause BSD License", "New BSD License")),
+    ("ISC", ("ISC License",)),
+    ("Zlib", ("zlib License",)),
+    ("Unlicense", ("Unlicense",)),
+    ("BSL-1.0", ("Boost Software License, Version 1.0", "Boost Software License 1.0")),
+    ("MPL-2.0", ("Mozilla Public License 2.0", "Mozilla Public License, Version 2.0", "Mozilla Public License, v2.0")),
+    ("EPL-1.0", ("Eclipse Public License 1.0", "Eclipse Public License, Version 1.0", "Eclipse Public License v1.0")),
+    ("EPL-2.0", ("Eclipse Public License 2.0", "Eclipse Public License, Version 2.0", "Eclipse Public License v2.0")),
+    ("GPL-2.0-only", ("GNU General Public License, version 2", "GNU General Public License v2.0", "GNU GPL version 2", "GPLv2")),
+    ("GPL-3.0-only", ("GNU General Public License, version 3", "GNU General Public License v3.0", "GNU GPL version 3", "GPLv3")),
+    ("LGPL-2.1-only", ("GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v2.1", "LGPLv2.1")),
+    ("LGPL-3.0-only", ("GNU Lesser General Public License, version 3", "GNU Lesser General Public License v3.0", "LGPLv3")),
+    ("AGPL-3.0-only", ("GNU Affero General Public License, version 3", "GNU Affero General Public License v3.0", "AGPLv3")),
+)
+
+# How a text names its licence.
+PHRASES = ("Licensed under the {}", "Released under the {}", "Distributed under the {}", "Licensed under {}", "This project is licensed under the {}",
+           "This work is licensed under the {}", "This software is licensed under the {}", "This program is licensed under the {}")
+
+# Creative Commons licences, with the versions each came in.
+COMMONS = tuple((f"CC-{kind}-{version}", (f"CC {kind} {version}", f"CC-{kind}-{version}", f"Creative Commons {words} {version} International License", f"Creative Commons {words} {version}"))
+                for kind, words in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"),
+                                    ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))
+                for version in ("1.0", "2.0", "2.5", "3.0", "4.0")) + (("CC0-1.0", ("CC0 1.0", "CC0 1.0 Universal")),)
+
+# The GNU families, and the versions of each.
+GNU = (("GPL", "General", ("2", "3")), ("LGPL", "Lesser General", ("2.1", "3")), ("AGPL", "Affero General", ("3",)))
+GNU_TERMS = "you can redistribute it and/or modify it under the terms of the GNU {} Public License as published by the Free Software Foundation"
+GNU_LATER = "either version {} of the License, or (at your option) any later version"
+
 # Public licence wording, one identifier a sentence.
 SENTENCES = (
-    ("mit-ref", "Released under the MIT License"),
-    ("mit-ref", "Licensed under the MIT License"),
-    ("mit-ref", "This project is licensed under the MIT License"),
+    *((f"ref:{name}", phrase.format(title)) for name, titles in (*NAMES, *COMMONS) for title in titles for phrase in PHRASES),
+    *((f"name:{name}", name) for name, _ in (*NAMES, *COMMONS)),
+    *((f"name:{kind}-{v if '.' in v else v + '.0'}-or-later", f"{kind}-{v if '.' in v else v + '.0'}-or-later") for kind, _, versions in GNU for v in versions),
+    ("spdx", "SPDX-License-Identifier"),
     ("mit-grant", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions"),
     ("mit-notice", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
     ("as-is", "The software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement"),
-    ("apache-ref", "Licensed under the Apache License, Version 2"),
-    ("apache-ref", "Licensed under the Apache License, Version 2.0"),
-    ("apache-ref", "Licensed under the Apache License, Version 2.0 (the \"License\")"),
     ("apache-comply", "you may not use this file except in compliance with the License"),
     ("apache-copy", "You may obtain a copy of the License at"),
     ("apache-as-is", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied"),
-    ("gpl-ref", "This work is licensed under the GNU General Public License, version 3"),
-    ("gpl-ref", "Licensed under the GNU General Public License, version 3"),
-    ("gpl-free", "This program is free software"),
-    ("gpl-terms", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("gpl-version", "either version 3 of the License, or (at your option) any later version"),
-    ("lgpl-terms", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+    ("gnu-free", "This program is free software"),
+    ("gnu-free", "This library is free software"),
+    *((f"{kind}-terms", GNU_TERMS.format(family)) for kind, family, _ in GNU),
+    *((f"{kind}-terms", GNU_TERMS.format(family) + ",") for kind, family, _ in GNU),
+    *((f"later:{v}", GNU_LATER.format(v)) for v in ("2", "2.1", "3")),
+    *((f"{kind}-later:{v}", GNU_TERMS.format(family) + ", " + GNU_LATER.format(v)) for kind, family, versions in GNU for v in versions),
+    *((f"{kind}-only:{v}", GNU_TERMS.format(family).replace(" as published", f" version {v} as published")) for kind, family, versions in GNU for v in versions),
     ("bsd-redistribution", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("bsd-source", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
     ("bsd-binary", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"),
     ("bsd-names", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
-    ("cc-by-ref", "Licensed under CC BY 4.0"),
-    ("cc-by-sa-ref", "Licensed under CC BY-SA 4.0"),
-    ("cc-by-nc-ref", "Licensed under CC BY-NC 4.0"),
-    ("cc-by-nc-sa-ref", "Licensed under CC BY-NC-SA 4.0"),
+    ("isc-grant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("isc-grant", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("isc-as-is", "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS"),
+    ("mpl-subject", "This Source Code Form is subject to the terms of the Mozilla Public License, v"),
+    ("mpl-copy", "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/"),
+    ("mpl-copy", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/"),
+    ("zlib-as-is", "This software is provided 'as-is', without any express or implied warranty"),
+    ("zlib-liable", "In no event will the authors be held liable for any damages arising from the use of this software"),
+    ("zlib-grant", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
+    ("unlicense-free", "This is free and unencumbered software released into the public domain"),
+    ("unlicense-grant", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means"),
+    ("epl-2", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("epl-2", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at http://www.eclipse.org/legal/epl-2.0"),
+    ("epl-1", "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html".split(". ", 1)[1]),
+    ("boost-copy", "(See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)"),
     ("reserved", "All rights reserved"),
 )
 
-# Sequences of identifiers, in order of match.
+# Sequences of identifiers, in order of match: whole texts and headers, then tags, then names.
 RULES = (
     ("MIT", ("mit-grant", "mit-notice", "as-is")),
     ("MIT", ("mit-grant", "mit-notice")),
-    ("Apache", ("apache-ref", "apache-comply", "apache-copy", "apache-as-is")),
-    ("Apache", ("apache-ref", "apache-comply", "apache-copy")),
+    ("Apache-2.0", ("ref:Apache-2.0", "apache-comply", "apache-copy", "apache-as-is")),
+    ("Apache-2.0", ("ref:Apache-2.0", "apache-comply", "apache-copy")),
     ("BSD-3-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-names")),
     ("BSD-2-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary")),
-    ("GPL-or-later", ("gpl-free", "gpl-terms", "gpl-version")),
-    ("LGPL-or-later", ("gpl-free", "lgpl-terms", "gpl-version")),
-    ("GPL", ("gpl-ref",)),
-    ("MIT", ("mit-ref",)),
-    ("Apache", ("apache-ref",)),
-    ("CC-BY", ("cc-by-ref",)),
-    ("CC-BY-SA", ("cc-by-sa-ref",)),
-    ("CC-BY-NC", ("cc-by-nc-ref",)),
-    ("CC-BY-NC-SA", ("cc-by-nc-sa-ref",)),
+    ("Zlib", ("zlib-as-is", "zlib-liable", "zlib-grant")),
+    ("Unlicense", ("unlicense-free", "unlicense-grant")),
+    ("ISC", ("isc-grant", "isc-as-is")),
+    ("MPL-2.0", ("mpl-subject", "mpl-copy")),
+    ("EPL-1.0", ("reserved", "epl-1")),
+    ("BSL-1.0", ("ref:BSL-1.0", "boost-copy")),
+    *((f"{kind}-{v if '.' in v else v + '.0'}-or-later", ("gnu-free", f"{kind}-terms", f"later:{v}")) for kind, _, versions in GNU for v in versions),
+    *((f"{kind}-{v if '.' in v else v + '.0'}-{how}", ("gnu-free", f"{kind}-{tail}:{v}")) for kind, _, versions in GNU for v in versions for how, tail in (("or-later", "later"), ("only", "only"))),
+    *((f"{kind}-{v if '.' in v else v + '.0'}-or-later", ("spdx", f"name:{kind}-{v if '.' in v else v + '.0'}-or-later")) for kind, _, versions in GNU for v in versions),
+    *((name, ("spdx", f"name:{name}")) for name, _ in (*NAMES, *COMMONS)),
+    *((f"{kind}-{v if '.' in v else v + '.0'}-{how}", (f"{kind}-{tail}:{v}",)) for kind, _, versions in GNU for v in versions for how, tail in (("or-later", "later"), ("only", "only"))),
+    ("ISC", ("isc-grant",)),
+    ("MPL-2.0", ("mpl-subject",)),
+    ("Unlicense", ("unlicense-free",)),
+    ("EPL-2.0", ("epl-2",)),
+    ("EPL-1.0", ("epl-1",)),
+    *((name, (f"ref:{name}",)) for name, _ in (*NAMES, *COMMONS)),
     ("proprietary", ("reserved",)),
 )
 
@@ -96,15 +149,15 @@ SLICE = 200
 
 # Patterns (RE2) and what replaces them, in order: line breaks, comment marks
 # before a line and box marks after it, sentence ends (before white space or the end; a blank line
-# then), numbers, and all that is no letter.
+# then), ``.0`` after a version, and all that is no letter or digit.
 STEPS = (
     (r"\r\n?", "\n"),
     (r"(?m)^[^A-Za-z0-9\x{80}-\x{10ffff}\n]+", ""),
     (r"(?m)[ \t]+[^A-Za-z0-9\x{80}-\x{10ffff}\n]+$", ""),
     (r"(?mi)^(?:dnl|rem)(?:[ \t]+|$)", ""),
     (r"[.;:!?]+(?:[\t-\r ]|$)", "\n\n"),
-    (r"[0-9]+(?:\.[0-9]+)*", "0"),
-    (r"[^A-Za-z0\x{80}-\x{10ffff}\n]+", " "),
+    (r"([0-9])\.0([^0-9.]|$)", r"\1\2"),
+    (r"[^A-Za-z0-9\x{80}-\x{10ffff}\n]+", " "),
 )
 
 
