@@ -254,10 +254,12 @@ def apply_commands(sources: DataFrame, goldens: DataFrame, commands: DataFrame,
     asked = stored(lifted(asked.distinct(), "g", past.steps).distinct().join(past.deaths.select("g"), "g", "left_anti"))
     left = goldens.join(past.deaths.select(F.col("g").alias("id")), "id", "left_anti")
     again = left.join(asked.select(F.col("g").alias("id")), "id", "left_semi")
+    typed = again.where(F.array_contains(types, F.col("entityType")))
+    held = final.select(F.col("goldenRecordId").alias("id")).distinct().join(typed.select("id"), "id", "left_semi")
     out = left
     if survivorship:
-        new = stored(refresh_goldens(final, again, survivorship, batch_ts))
-        out = left.join(new.select("id"), "id", "left_anti").unionByName(new, allowMissingColumns=True)
+        new = refresh_goldens(final, again, survivorship, batch_ts)
+        out = left.join(held, "id", "left_anti").unionByName(new, allowMissingColumns=True)
     return CommandResult(final, out, cmds.select("seq", "kind").join(verdict, "seq"))
 
 
