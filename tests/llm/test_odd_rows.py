@@ -1,5 +1,6 @@
 """Rows that once ended a query: null scopes, colliding keys, long hosts, words that always occur together."""
 
+import hashlib
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -98,3 +99,13 @@ def test_mined_rules_are_those_of_brute_force(spark):
                 rules.append(rule)
     want = {i: "block" if any(r <= t for r in rules) else "allow" for i, t in held.items()}
     assert verdict == want and "block" in want.values() and len(rules) > 1
+
+
+def test_equal_rows_are_documents_of_their_own(spark, tmp_path):
+    """A line of ten rows equal in id and text goes; one of nine stays."""
+    rows = [(7, "Ten rows\nof 7")] * 9 + [(8, "ten ROWS\tstay"), (8, " ten rows")] + [(None, "no id\nx")] * 10 + [(9, "nine\ny")] * 9
+    docs = [(i, t, "en", "s", len(t)) for i, t in rows]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    kept = [(7, "of 7", 2, 1)] * 9 + [(8, "ten ROWS\tstay", 1, 0), (8, "", 1, 1)] + [(None, "", 2, 2)] * 10 + [(9, "nine\ny", 2, 0)] * 9
+    found = Counter((r.doc_id, r.kept_sha256, r.n_lines, r.n_dropped) for r in queries.op8_line_bitmaps(spark, str(tmp_path)).collect())
+    assert found == Counter((i, hashlib.sha256(t.encode()).hexdigest(), n, gone) for i, t, n, gone in kept)

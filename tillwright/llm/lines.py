@@ -14,9 +14,9 @@ A key is the line without white space (space, \\t \\n \\v \\f \\r) at its ends,
 A-Z in lower case.  Keys shorter than ``min_chars`` code points stay.
 
 Defined results: a null or empty text is one empty line; a document is a row
-by id and text, so rows equal in both count once and share their result; a
-null id is an id of its own kind, after the text's hash; an empty table gives
-an empty result; other columns are ignored.
+by id and text, so rows equal in both count once, or once each with
+``each_row``, and share their result; a null id is an id of its own kind, after
+the text's hash; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -54,20 +54,19 @@ def _stream(min_docs: int):
             if docs < min_docs:
                 out.extend((now, *r, WAIT, part, docs) for r in held)
             else:
-                out.append((now, None, None, None, None, MARK, part, docs))
+                out.append((now, 0, 0, 0, 0, MARK, part, docs))  # no row; a null would turn the keys beside it into floats
 
         def table():
-            return pd.DataFrame(out, columns=[c.split()[0] for c in FOUND.split(", ")]).astype(
-                {c: "Int64" for c in ("_k1", "_k2", "pos", "n_lines")})
+            return pd.DataFrame(out, columns=[c.split()[0] for c in FOUND.split(", ")])
 
         for pdf in batches:
-            for h, k1, k2, pos, n in zip(*(pdf[c].tolist() for c in ("h", "_k1", "_k2", "pos", "n_lines")), strict=True):
+            for h, k1, k2, row, pos, n in zip(*(pdf[c].tolist() for c in ("h", "_k1", "_k2", "row", "pos", "n_lines")), strict=True):
                 if h != now:
                     close(first)
                     first = first and now is None
                     held, docs, now, doc = [], 0, h, None
-                if (k1, k2) != doc:
-                    doc, docs = (k1, k2), docs + 1
+                if (k1, k2, row) != doc:
+                    doc, docs = (k1, k2, row), docs + 1
                     if docs == min_docs:
                         out.extend((h, *r, DROP, part, 0) for r in held)
                         held = []
@@ -85,22 +84,24 @@ def _stream(min_docs: int):
     return run
 
 
-def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
-    """Bitmaps of the lines that stay, for documents that lose some.
+def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, each_row: bool = False) -> DataFrame:
+    """Bitmaps of the lines that stay, for documents that lose some; with ``each_row`` every row is a document.
 
     Columns: the row key ``_k1``, ``_k2`` (see ``common.row_key``),
     ``n_lines``, ``n_dropped``, ``keep`` (zlib; bit i, from the lowest, is line
     i).  ``with_bitmaps`` joins them to documents.
     """
     small_batches(docs.sparkSession)
-    lines = (docs.select(*row_key(docs), F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1).alias("lines"))
-             .select("_k1", "_k2", F.size("lines").alias("n_lines"), F.posexplode("lines").alias("pos", "line"))
+    # a row's number tells equal rows apart; it holds for this one pass, whose lines are written
+    row = F.monotonically_increasing_id() if each_row else F.lit(0).cast("long")
+    lines = (docs.select(*row_key(docs), row.alias("row"), F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1).alias("lines"))
+             .select("_k1", "_k2", "row", F.size("lines").alias("n_lines"), F.posexplode("lines").alias("pos", "line"))
              .withColumn("key", lower_ascii(F.btrim("line", F.lit(SPACE_CHARS))))
              .filter(F.length("key") >= max(1, min_chars))
-             .select(F.unhex(F.md5("key")).alias("h"), "_k1", "_k2", "pos", "n_lines"))
+             .select(F.unhex(F.md5("key")).alias("h"), "_k1", "_k2", "row", "pos", "n_lines"))
     # written once: the bounds of the ranges are found by reading the hashes, not the texts, again
     lines = written(lines, "hashed-lines")
-    order = ["h", "_k1", "_k2"]
+    order = ["h", "_k1", "_k2", "row"]
     found = written(lines.repartitionByRange(*order).sortWithinPartitions(*order, "pos")
                     .mapInPandas(_stream(min_docs), FOUND), "lines")
     edge = (found.filter(F.col("state") != DROP).groupBy("h", "part").agg(F.max("n_docs").alias("n"))
