@@ -102,3 +102,18 @@ def test_python_udf_query_runs_without_the_package_on_workers():
                          env=env, timeout=600)
     assert out.returncode == 0, out.stderr[-2000:]
     assert int(out.stdout.strip().splitlines()[-1]) > 0
+
+
+def _pairs_by_nation(spark, query, unmatched):
+    """Rows of a join by nation over the whole tables: every pair of a nation, and the rows without partner of the sides that stay."""
+    from tillwright.plans import suite
+
+    count = lambda t, c: {r[0]: r[1] for r in spark.read.parquet(f"{suite_dir}/{t}.parquet").groupBy(c).count().collect()}
+    suite_dir = "/root/testdata/sf0.001"
+    left, right = count("customer", "c_nationkey"), count("supplier", "s_nationkey")
+    alone = sum(n for k, n in left.items() if k not in right) + (sum(n for k, n in right.items() if k not in left) if unmatched == "both" else 0)
+    assert suite.QUERIES[query](spark, suite_dir).count() == sum(n * right.get(k, 0) for k, n in left.items()) + alone
+
+
+def test_left_join_meets_all_suppliers_of_a_nation(spark):
+    _pairs_by_nation(spark, "join_left_collision", "left")
