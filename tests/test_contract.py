@@ -117,3 +117,7 @@ def _pairs_by_nation(spark, query, unmatched):
 
 def test_left_join_meets_all_suppliers_of_a_nation(spark):
     _pairs_by_nation(spark, "join_left_collision", "left")
+
+
+def test_full_join_meets_all_suppliers_of_a_nation(spark):
+    _pairs_by_nation(spark, "join_full", "both")
