@@ -215,3 +215,18 @@ def test_fuzzy_rule_alone_gives_candidates(spark):
         pairs = spark.createDataFrame([(a[0], b[0]) for a, b in every], "sourceRecordId string, targetRecordId string")
         from tillwright.operators.mdm.match import score_given_pairs
         assert key(find_matches(recs, recs, c, "source")) == key(score_given_pairs(pairs, recs, recs, c, "source"))
+
+
+def test_fuzzy_candidates_inside_the_blocks_of_a_key(spark):
+    """A key shared by many records does not make pairs of all of them; the matches, NULL keys and texts included, are those of all pairs."""
+    from pyspark.sql import functions as F
+
+    names = [None, "abcdefghij", "abcdefghiX", "qrstuvwxyz", *(f"{k:02d}" * 5 for k in range(40))]
+    rows = [(f"{c}-{i}", "part", (n, k)) for c, k in enumerate((1.5, 2.5, None)) for i, n in enumerate(names)]
+    recs = spark.createDataFrame(rows, "id string, entityType string, data struct<name:string,price:double>")
+    config = {"threshold": 0.9, "rules": [{"field": "name", "type": "fuzzy", "weight": 0.75}, {"field": "price", "type": "exact", "weight": 0.25}]}
+    pairs = candidate_pairs(recs, recs, config).select(F.col("s.id").alias("a"), F.col("t.id").alias("b"))
+    assert pairs.count() == pairs.distinct().count() < len(rows) * len(names) / 5
+    got = {(r.sourceRecordId, r.matchedRecordId) for r in find_matches(recs, recs, config, "source").collect()}
+    every = find_matches(recs.withColumn("x", F.lit(1)), recs.withColumn("x", F.lit(1)), config, "source", blocking=["x"])
+    assert got == {(r.sourceRecordId, r.matchedRecordId) for r in every.collect()} and ("2-1", "2-2") in got

@@ -11,7 +11,7 @@ match, so its normalised value is a null-safe join key that loses no match
 (two NULLs score 1, hence ``<=>``).  All necessary rules together form one
 composite key.
 
-Without one, a necessary ``fuzzy`` rule gives candidates: a match needs a least
+Inside the blocks of these keys (or without any), a necessary ``fuzzy`` rule gives candidates: a match needs a least
 similarity, so an edit distance of at most k, and of two texts that far apart the
 k + 1 segments of one leave a segment unchanged in the other, near its place.
 Distinct values meet by an equi join on such segments and are compared, then
@@ -147,32 +147,38 @@ def _pairs(ls: DataFrame, rs: DataFrame, rules: dict[int, dict], need: float, co
     """Pairs for which ``rules`` may give the weight ``need``."""
     total = sum(float(r["weight"]) for r in rules.values())
     keys = [i for i, r in rules.items() if r["type"] in BINARY_TYPES and total - float(r["weight"]) < need - EPS * max(1.0, total)]
-    fuzzy = None if keys or extra else needed_fuzzy(list(rules.values()), need)
-    if fuzzy:
-        i, similarity = list(rules)[fuzzy[0]], fuzzy[1]
-        distance = (rules[i].get("options") or {}).get("maxDistance")
-        values = similar_values(ls.select(F.col("__set").alias("g"), F.col(f"__sf{i}").alias("v")).where(~F.col(f"__sn{i}")),
-                                rs.select(F.col("__tet").alias("g"), F.col(f"__tf{i}").alias("v")).where(~F.col(f"__tn{i}")), similarity, distance)
-        some = (ls.where(~F.col(f"__sn{i}")).join(values, (F.col("__set") == F.col("g")) & (F.col(f"__sf{i}") == F.col("a"))).drop("g", "a")
-                .join(rs.where(~F.col(f"__tn{i}")).withColumn("g", F.col("__tet")), (F.col("__set") == F.col("g")) & (F.col(f"__tf{i}") == F.col("b"))).drop("g", "b"))
-        rest = {j: r for j, r in rules.items() if j != i}
-        nulls = _pairs(ls.where(F.col(f"__sn{i}")), rs.where(F.col(f"__tn{i}")), rest, need - float(rules[i]["weight"]), comparable, extra, all_pairs)
-        return some.unionByName(nulls)
-    if not keys and not extra and not all_pairs and need > EPS:
+    fuzzy = None if extra else needed_fuzzy(list(rules.values()), need)
+    if not keys and not fuzzy and not extra and not all_pairs and need > EPS:
         raise MatchConfigError(
             "no rule is necessary for a match under this threshold; pass blocking=[...] "
             "(explicit, possibly lossy keys) or allow_all_pairs=True")
-    conds = [ls["__set"] == rs["__tet"]]
+    on = []
     for i in keys:
         if rules[i]["type"] == "exact" and not comparable[i]:
             # incomparable types: only two NULLs score 1
-            conds.append(ls[f"__sn{i}"] & rs[f"__tn{i}"])
+            ls, rs = ls.where(F.col(f"__sn{i}")), rs.where(F.col(f"__tn{i}"))
             continue
         # NULL keeps its own key: two NULLs score 1, NULL vs "" scores 0
-        lk = F.when(~ls[f"__sn{i}"], ls[f"__sf{i}"])
-        rk = F.when(~rs[f"__tn{i}"], rs[f"__tf{i}"])
-        conds.append(lk.eqNullSafe(rk))
-    conds += [ls[f"__sx{j}"].eqNullSafe(rs[f"__tx{j}"]) for j in extra]
+        on.append((F.when(~F.col(f"__sn{i}"), F.col(f"__sf{i}")), F.when(~F.col(f"__tn{i}"), F.col(f"__tf{i}"))))
+    on += [(F.col(f"__sx{j}"), F.col(f"__tx{j}")) for j in extra]
+    if fuzzy:
+        i, similarity = list(rules)[fuzzy[0]], fuzzy[1]
+        distance = (rules[i].get("options") or {}).get("maxDistance")
+        # few records and values make many pairs where values are shared, so both are dealt out, however small they are
+        tasks = int(ls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ls = ls.where("__set is not null").repartition(tasks, F.col("s.id"))
+        lv, rv = ls.where(~F.col(f"__sn{i}")), rs.where(~F.col(f"__tn{i}")).where("__tet is not null")
+        # values meet inside a block of the keys; NULL keys are equal inside a struct
+        block = lambda et, side: F.struct(F.col(et).alias("et"), *[k[side].alias(f"k{n}") for n, k in enumerate(on)])
+        lv, rv = lv.withColumn("__sg", block("__set", 0)), rv.withColumn("__tg", block("__tet", 1))
+        values = similar_values(lv.select(F.col("__sg").alias("g"), F.col(f"__sf{i}").alias("v")),
+                                rv.select(F.col("__tg").alias("g"), F.col(f"__tf{i}").alias("v")), similarity, distance).repartition(tasks, "g", "a", "b")
+        some = (lv.join(values, (F.col("__sg") == F.col("g")) & (F.col(f"__sf{i}") == F.col("a"))).drop("g", "a")
+                .join(rv, (F.col("__sg") == F.col("__tg")) & (F.col(f"__tf{i}") == F.col("b"))).drop("__sg", "__tg", "b"))
+        rest = {j: r for j, r in rules.items() if j != i}
+        nulls = _pairs(ls.where(F.col(f"__sn{i}")), rs.where(F.col(f"__tn{i}")), rest, need - float(rules[i]["weight"]), comparable, extra, all_pairs)
+        return some.unionByName(nulls)
+    conds = [F.col("__set") == F.col("__tet"), *[a.eqNullSafe(b) for a, b in on]]
     return ls.join(rs, reduce(lambda a, b: a & b, conds), "inner")
 
 
