@@ -266,3 +266,23 @@ def test_every_condition_and_value_by_rows(spark):
         ({"type": "fixedAmount", "amount": 5}, {"type": "product", "productIds": ["none"]}, None)]
     row = cart.select(*[F.round(discount_amount({"target": t, "value": v}), 6).alias(f"v{i}") for i, (v, t, _) in enumerate(worth)]).first()
     assert list(row) == [w for _, _, w in worth]
+
+
+def test_requests_of_one_code_are_shared_by_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from tillwright.operators.pricing.codes import validate_codes
+    from tillwright.plans.suite_pricing import VIP
+
+    req = spark.range(4000).select(F.col("id").alias("cart_id"), F.when(F.col("id") < 3000, "MANY").otherwise("GEN").alias("code"), (F.col("id") % 50).cast("string").alias("customerId"))
+    generated = spark.createDataFrame([("GEN", "d", None), ("X", "d", "u")], "code string, discountId string, usedBy string")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        out = validate_codes(req, [{**VIP, "id": "d", "conditions": []}], generated)
+        found = out.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.count_if("valid").alias("v")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(r.n for r in found) == 4000 and sum(r.v for r in found) == 1000 and max(r.n for r in found) < 2000

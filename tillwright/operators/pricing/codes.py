@@ -15,6 +15,7 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 from ...session import checkpoint_dir
 from .conditions import failed
@@ -27,6 +28,7 @@ CHARSETS = {
     "numeric": "0123456789",
 }
 ATTEMPTS = 4  # draws of an owner in the first round
+SHARES = 16  # tasks that share the requests of one code
 
 
 class CodeGenerationError(RuntimeError):
@@ -162,11 +164,16 @@ def validate_codes(requests: DataFrame, discounts: list[dict], generated: DataFr
         # one row per code, used if any of its rows is
         g = generated.groupBy(F.col("code").alias("__gcode")).agg(
             F.min("discountId").alias("__gdid"), F.max("usedBy").alias("__gused")).withColumn("__gen", F.lit(True))
-        r = r.join(g, r["code"] == g["__gcode"], "left").drop("__gcode")
+        # requests carry their carts and many have one code: each code's are dealt out, and met by as many copies of its narrow row
+        plain = [f.name for f in r.schema if not isinstance(f.dataType, (ArrayType, MapType, StructType))]
+        r = r.withColumn("__share", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in plain]), F.lit(SHARES)))
+        g = g.withColumn("__gshare", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHARES - 1).cast("long"))))
+        r = r.join(g, (r["code"] == g["__gcode"]) & (r["__share"] == g["__gshare"]), "left").drop("__gcode", "__share", "__gshare")
     else:
         r = r.withColumn("__gdid", F.lit(None).cast("string")).withColumn("__gused", F.lit(None).cast("string")) \
             .withColumn("__gen", F.lit(None).cast("boolean"))
-    r = r.join(by_id, r["__gdid"] == by_id["__did"], "left").join(by_code, r["code"] == by_code["__dcode"], "left")
+    # definitions come from the driver, so they are small; dealt by them, all requests without a generated code (a null id) or of one code would meet in one task
+    r = r.join(F.broadcast(by_id), r["__gdid"] == by_id["__did"], "left").join(F.broadcast(by_code), r["code"] == by_code["__dcode"], "left")
     gen = F.coalesce(F.col("__gen"), F.lit(False))
     r = r.withColumn("__d", F.when(gen, F.col("__by_id")).otherwise(F.col("__by_code"))).drop("__did", "__dcode", "__by_id", "__by_code")
     d = F.col("__d")
