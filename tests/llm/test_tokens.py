@@ -111,6 +111,22 @@ def test_limits_of_all_dimensions_hold_without_cuts():
         list(packing.fill_bins([(101, 0)], (100, 4, 60), cut=True, slack=0.0))
 
 
+def test_packing_gives_memory_back_after_every_batch(spark, monkeypatch, tmp_path):
+    """Workers of an executor share its memory: none keeps what encoding a batch has left unused."""
+    calls, real = str(tmp_path / "calls"), packing.give_back
+
+    def counted():
+        real()
+        with open(calls, "a") as f:
+            f.write("x")
+
+    monkeypatch.setattr(packing, "give_back", counted)
+    rows = packing.pack(spark.range(4001).selectExpr("id as doc_id", "concat('word', id) as text").coalesce(1), BYTE, 0).collect()
+    assert len({r["doc_id"] for r in rows}) == 4001
+    with open(calls) as f:
+        assert len(f.read()) == 3
+
+
 def test_packing_under_a_loss_limit(spark):
     """Prompts bear no loss; the rest of each sequence stays under a limit lower than its tokens."""
     docs = [(i, "alpha beta gamma delta " * 10, 30 if i % 2 else 0) for i in range(60)]

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 import uuid
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,6 +65,18 @@ def worker_state(name: str, make):
     return getattr(holder, name)
 
 
+def give_back() -> None:
+    """Free what the allocators of a Python worker hold but do not use.
+
+    An executor keeps the workers of earlier stages and deals tasks out to all of
+    them, so memory that each one keeps for later adds up.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim:
+        trim(0)
+
+
 def lower_ascii(col: Column) -> Column:
     """A-Z to a-z, every other character unchanged."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

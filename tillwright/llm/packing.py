@@ -10,7 +10,8 @@ fits, where more than ``slack`` of its tokens would be padding otherwise.
 
 Each Spark task packs the examples it scans (no shuffle): rests wait in a pool
 of ``POOL`` examples, which bounds a worker's memory; the last, partly filled
-bin of a pool goes on into the next pool.
+bin of a pool goes on into the next pool.  After every batch a worker gives back
+the memory that encoding has left unused.
 
 Defined results: a null or empty text is an example of the end id alone; null
 or repeated ids are carried through as they are; an empty table gives an empty
@@ -28,7 +29,7 @@ from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillwright.llm.common import small_batches
+from tillwright.llm.common import give_back, small_batches
 from tillwright.llm.encode import documents_ids
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -144,6 +145,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, max_tokens: int = 1024, m
                     pool.append((key, ids[at:], at, len(ids), quiet))
                 if len(pool) >= POOL:
                     settle(False)
+            give_back()
             if out:
                 yield pd.DataFrame(out, columns=[c.split()[0] for c in PIECES.split(", ")])
                 out = []
