@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from tillwright.operators.mdm import commands
 from tillwright.operators.mdm.commands import apply_commands, refresh_goldens, resolve_redirects
 from tillwright.operators.mdm.ingest import merge_goldens
 from tillwright.operators.mdm.merge import merge_golden
@@ -113,6 +114,20 @@ def test_a_chain_of_a_thousand_merges(spark):
     assert [(r["id"], r["data"]["name"]) for r in only] == [(f"g{n - 1:04d}", f"name of s{n - 1:04d}")]
 
 
+def test_refusals_that_follow_from_each_other_need_one_history(spark, monkeypatch):
+    """Every second merge is refused because the one before it was not: no further history for that; one for an emptied record."""
+    n, calls, history = 12, [], commands._history
+    monkeypatch.setattr(commands, "_history", lambda *a: calls.append(1) or history(*a))
+    ids = [f"g{i:02d}" for i in range(n + 1)]
+    links = {f"s{i:02d}": g for i, g in enumerate(ids)}
+    log = [(2 * (n - i), "merge", None, ids[i + 1], ids[i]) for i in range(n)]
+    compare(spark, links, ids, log, dict.fromkeys(ids, "person"))
+    assert len(calls) == 1
+    calls.clear()
+    compare(spark, links, ids, [(1, "unlink", f"s{n:02d}", None, None), *log], dict.fromkeys(ids, "person"))
+    assert len(calls) == 2
+
+
 def test_many_commands_for_one_key(spark, monkeypatch):
     """Stretches of a busy key add up."""
     monkeypatch.setattr("tillwright.operators.mdm.commands.STRETCH", 8)
