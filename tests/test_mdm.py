@@ -230,3 +230,16 @@ def test_fuzzy_candidates_inside_the_blocks_of_a_key(spark):
     got = {(r.sourceRecordId, r.matchedRecordId) for r in find_matches(recs, recs, config, "source").collect()}
     every = find_matches(recs.withColumn("x", F.lit(1)), recs.withColumn("x", F.lit(1)), config, "source", blocking=["x"])
     assert got == {(r.sourceRecordId, r.matchedRecordId) for r in every.collect()} and ("2-1", "2-2") in got
+
+
+def test_candidates_are_sorted_in_parts_of_bounded_size(spark):
+    """One scan task may hold any number of members: they are spread before their candidates are ranked."""
+    rows = spark.range(0, 300, numPartitions=1).select(
+        F.col("id").cast("string").alias("id"), F.lit("person").alias("entityType"), F.lit("crm").alias("sourceSystem"),
+        F.struct(F.when(F.col("id") % 3 > 0, F.concat(F.lit("n"), F.col("id"))).alias("name")).alias("data"), F.lit(1.0).alias("confidence"),
+        F.timestamp_seconds("id").alias("sourceUpdatedAt"), F.timestamp_seconds("id").alias("ingestedAt"), F.when(F.col("id") < 200, "hot").otherwise("cold").alias("goldenRecordId"))
+    out = merge_golden(rows, {}, batch_ts=dt.datetime(2024, 1, 1), candidates=2)
+    found = {r["id"]: [c["value"] for c in r["mergeDecisions"][0]["candidates"]] for r in out.collect()}
+    assert found == {"hot": ["n1", "n2"], "cold": ["n200", "n202"]}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "WindowGroupLimit" in plan and "RebalancePartitions" in plan[plan.index("WindowGroupLimit"):]

@@ -178,7 +178,9 @@ def merge_golden(members: DataFrame, config: dict, *, order_by=("ingestedAt", "i
         F.lit(False).alias("needsReview"), created.alias("createdAt"),
         now.alias("updatedAt"), now.alias("lastMergedAt"))
     if candidates:
-        gold = _with_candidates(gold, candidate_rows(members, order_by=order_by, golden_col=golden_col), candidates)
+        # the rows are sorted by field; even parts of bounded size, as a scan's split may hold any number of members
+        even = members.hint("rebalance", F.col("id"))
+        gold = _with_candidates(gold, candidate_rows(even, order_by=order_by, golden_col=golden_col), candidates)
     return _with_confidence(gold, m, golden_col)
 
 
