@@ -290,3 +290,25 @@ def test_sort_and_dedupe_with_unicode_collation(cat):
     first = run_step(cat, "deduplicate", {"source": "names", "output": "d", "keys": ["g"], "keep": "last",
                                           "orderBy": {"field": "name", "direction": "asc", "collation": "UNICODE"}})
     assert [r["name"] for r in first.df.collect()] == ["C"]
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "right", "full"])
+def test_join_deals_out_keys_with_many_rows_on_both_sides(cat, monkeypatch, how):
+    """No task makes all pairs of a key, NULL keys included; rows without partner stay as the kind of join says."""
+    from tillwright.operators import steps
+
+    monkeypatch.setattr(steps, "PAIRS", (100, 400), raising=False)
+    keys = {"a": {None: 60, 1: 90, 2: 3, 3: 40, 5: 2}, "b": {None: 70, 1: 50, 2: 4, 4: 30, 5: 300}}
+    made = {t: [(f"{t}{k}-{i}", k, i) for k, n in ks.items() for i in range(n)] for t, ks in keys.items()}
+    for t, data in made.items():
+        reg(cat, t, data, "id string, k int, ord int")
+    step = {"id": "j", "type": "join", "config": {"left": "a", "right": "b", "type": how, "output": "j", "on": [{"leftField": "k", "rightField": "k"}]}}
+    run = run_pipeline(cat, {"id": "p", "name": "p", "steps": [step]}, observe=True)
+    got = [tuple(r) for r in run.outputs["j"].select("left_id", "right_id", F.spark_partition_id()).collect()]
+    want = [(a, b) for a, k, _ in made["a"] for b, m, _ in made["b"] if k == m]
+    want += [(a, None) for a, k, _ in made["a"] if k not in keys["b"]] if how in ("left", "full") else []
+    want += [(None, b) for b, k, _ in made["b"] if k not in keys["a"]] if how in ("right", "full") else []
+    assert sorted(map(repr, [r[:2] for r in got])) == sorted(map(repr, want))
+    tasks = [p for _, _, p in got]
+    assert max(map(tasks.count, set(tasks))) < len(want) / 6  # the largest key has nearly half of them
+    assert (run.steps[0].input_rows(), run.steps[0].output_rows()) == (len(made["a"]) + len(made["b"]), len(want))
