@@ -11,6 +11,7 @@ from tillwright.operators.mdm.ingest import connected_components, ingest_batch
 from tillwright.operators.mdm.match import MatchConfigError, candidate_pairs, find_matches, necessary_rules
 from tillwright.operators.mdm.merge import merge_golden
 from tillwright.operators.mdm.scores import levenshtein_similarity, rule_score, soundex
+from tillwright.session import written
 
 
 def test_levenshtein_and_soundex(spark):
@@ -243,3 +244,18 @@ def test_candidates_are_sorted_in_parts_of_bounded_size(spark):
     assert found == {"hot": ["n1", "n2"], "cold": ["n200", "n202"]}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "WindowGroupLimit" in plan and "RebalancePartitions" in plan[plan.index("WindowGroupLimit"):]
+
+
+def test_fuzzy_records_are_scored_by_value_and_never_broadcast(spark):
+    """A table that is small as it is read may be large in memory: no join of its records, values or segments is a broadcast."""
+    names = [None, "", "abcdefghij", "abcdefghiX", "abcdefgXYZ", "qrstuvwxyz", "qrstuvwxy"]
+    rows = [(f"{c}-{i}", "part", (n, k)) for c, k in enumerate((1.5, 1.5, None)) for i, n in enumerate(names)]
+    recs = written(spark.createDataFrame(rows, "id string, entityType string, data struct<name:string,price:double>"), "records")
+    rule = {"field": "name", "type": "fuzzy", "weight": 0.75, "options": {"maxDistance": 1}}
+    config = {"threshold": 0.9, "rules": [rule, {"field": "price", "type": "exact", "weight": 0.25}]}
+    found = find_matches(recs, recs, config, "source")
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r.sourceRecordId, r.matchedRecordId): (r.score, [x.score for x in r.ruleScores]) for r in found.collect()}
+    every = find_matches(recs.withColumn("x", F.lit(1)), recs.withColumn("x", F.lit(1)), config, "source", blocking=["x"])
+    assert got == {(r.sourceRecordId, r.matchedRecordId): (r.score, [x.score for x in r.ruleScores]) for r in every.collect()}
+    assert got["0-2", "1-3"][1] == [0.9, 1.0] and ("0-2", "1-4") not in got and got["0-0", "1-0"][0] == 1.0

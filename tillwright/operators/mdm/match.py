@@ -14,8 +14,9 @@ composite key.
 Inside the blocks of these keys (or without any), a necessary ``fuzzy`` rule gives candidates: a match needs a least
 similarity, so an edit distance of at most k, and of two texts that far apart the
 k + 1 segments of one leave a segment unchanged in the other, near its place.
-Distinct values meet by an equi join on such segments and are compared, then
-records join by value.  Records where both values are NULL score 1 in that rule;
+Distinct values meet by an equi join on such segments and are compared and scored, then
+records join by value.  These joins are sorted, never broadcast: what is read says
+little about the size of texts and segments in memory.  Records where both values are NULL score 1 in that rule;
 they are matched by what the other rules still need, in the same way.
 
 Without any such rule the caller must name blocking columns (lossy, their
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...functions.values import TypedCol, resolve
-from .scores import BINARY_TYPES, comparable_exact, feature, pair_score, weighted_score
+from .scores import BINARY_TYPES, comparable_exact, feature, fuzzy_similarity, pair_score, weighted_score
 
 EPS = 1e-9
 DEFAULT_THRESHOLD = 0.7
@@ -82,7 +83,7 @@ def similar_values(left: DataFrame, right: DataFrame, similarity: float, max_dis
     # lengths l in reach of a text of m characters
     reach = F.sequence(F.greatest(F.lit(0), F.floor(F.col("m") * similarity - EPS).cast("int")), F.ceil(F.col("m") / similarity + EPS).cast("int"))
     probes = ls.withColumn("l", F.explode(reach)).withColumn("k", most(F.col("l"))).where(F.abs(F.col("m") - F.col("l")) <= F.col("k"))
-    short = probes.where("l <= k").join(rs.where("l <= k").drop("k"), ["g", "l"]).select("g", "a", "b", "k")
+    short = probes.where("l <= k").join(rs.where("l <= k").drop("k").hint("merge"), ["g", "l"]).select("g", "a", "b", "k")
     parts, base = F.col("k") + 1, F.floor(F.col("l") / (F.col("k") + 1)).cast("int")
     longer = F.col("l") - base * parts  # that many segments, the last ones, are a character longer
     i = F.col("i")
@@ -95,7 +96,7 @@ def similar_values(left: DataFrame, right: DataFrame, similarity: float, max_dis
     last = F.least(F.col("m") - F.col("size"), F.col("start") + F.floor((F.col("k") + more) / 2).cast("int"))
     asked = (cut(probes).withColumn("first", first).withColumn("last", last).where("first <= last").withColumn("p", F.explode(F.sequence("first", "last")))
              .select("g", "l", "i", "k", "a", F.substring(F.col("a"), F.col("p") + 1, F.col("size")).alias("segment")))
-    near = asked.join(index, ["g", "l", "i", "segment"]).select("g", "a", "b", "k").unionByName(short).distinct()
+    near = asked.join(index.hint("merge"), ["g", "l", "i", "segment"]).select("g", "a", "b", "k").unionByName(short).distinct()
     return near.where(F.levenshtein("a", "b") <= F.col("k")).select("g", "a", "b")
 
 
@@ -172,12 +173,14 @@ def _pairs(ls: DataFrame, rs: DataFrame, rules: dict[int, dict], need: float, co
         block = lambda et, side: F.struct(F.col(et).alias("et"), *[k[side].alias(f"k{n}") for n, k in enumerate(on)])
         lv, rv = lv.withColumn("__sg", block("__set", 0)), rv.withColumn("__tg", block("__tet", 1))
         values = similar_values(lv.select(F.col("__sg").alias("g"), F.col(f"__sf{i}").alias("v")),
-                                rv.select(F.col("__tg").alias("g"), F.col(f"__tf{i}").alias("v")), similarity, distance).repartition(tasks, "g", "a", "b")
-        some = (lv.join(values, (F.col("__sg") == F.col("g")) & (F.col(f"__sf{i}") == F.col("a"))).drop("g", "a")
-                .join(rv, (F.col("__sg") == F.col("__tg")) & (F.col(f"__tf{i}") == F.col("b"))).drop("__sg", "__tg", "b"))
+                                rv.select(F.col("__tg").alias("g"), F.col(f"__tf{i}").alias("v")), similarity, distance)
+        # the rule is scored here, as record pairs outnumber those of values
+        values = values.withColumn(f"__p{i}", fuzzy_similarity(F.col("a"), F.col("b"), rules[i])).repartition(tasks, "g", "a", "b")
+        some = (lv.join(values.hint("merge"), (F.col("__sg") == F.col("g")) & (F.col(f"__sf{i}") == F.col("a"))).drop("g", "a")
+                .join(rv.hint("merge"), (F.col("__sg") == F.col("__tg")) & (F.col(f"__tf{i}") == F.col("b"))).drop("__sg", "__tg", "b"))
         rest = {j: r for j, r in rules.items() if j != i}
-        nulls = _pairs(ls.where(F.col(f"__sn{i}")), rs.where(F.col(f"__tn{i}")), rest, need - float(rules[i]["weight"]), comparable, extra, all_pairs)
-        return some.unionByName(nulls)
+        nulls = _pairs(ls.where(F.col(f"__sn{i}")), rs.where(F.col(f"__tn{i}")).hint("merge"), rest, need - float(rules[i]["weight"]), comparable, extra, all_pairs)
+        return some.unionByName(nulls, allowMissingColumns=True)
     conds = [F.col("__set") == F.col("__tet"), *[a.eqNullSafe(b) for a, b in on]]
     return ls.join(rs, reduce(lambda a, b: a & b, conds), "inner")
 
@@ -187,7 +190,8 @@ def score_columns(pairs: DataFrame, config: dict, comparable: list[bool] | None
     per_rule, weighted = [], []
     for i, rule in enumerate(config["rules"]):
         ok = True if comparable is None else comparable[i]
-        sc = pair_score(rule, F.col(f"__sf{i}"), F.col(f"__tf{i}"), F.col(f"__sn{i}"), F.col(f"__tn{i}"), ok)
+        known = F.col(f"__p{i}") if f"__p{i}" in pairs.columns else None
+        sc = pair_score(rule, F.col(f"__sf{i}"), F.col(f"__tf{i}"), F.col(f"__sn{i}"), F.col(f"__tn{i}"), ok, known)
         w = float(rule["weight"])
         weighted.append((sc, w))
         per_rule.append(F.struct(F.lit(rule["field"]).alias("field"), F.lit(rule["type"]).alias("matchType"),
@@ -202,12 +206,9 @@ def score(pairs: DataFrame, config: dict, target_type: str) -> DataFrame:
     thr = float(config.get("threshold", DEFAULT_THRESHOLD))
     scored = pairs.select(
         F.col("s.id").alias("sourceRecordId"), F.col("t.id").alias("matchedRecordId"),
-        F.lit(target_type).alias("matchedRecordType"), F.array(*per_rule).alias("ruleScores"))
-    total = F.aggregate("ruleScores", F.lit(0.0), lambda acc, r: acc + r["weightedScore"])
-    wsum = sum(float(r["weight"]) for r in config["rules"])
-    overall = (total / F.lit(wsum)) if wsum > 0 else F.lit(0.0)
-    return scored.select("sourceRecordId", "matchedRecordId", "matchedRecordType", overall.alias("score"),
-                         (overall >= thr).alias("isMatch"), "ruleScores")
+        F.lit(target_type).alias("matchedRecordType"), overall.alias("score"), F.array(*per_rule).alias("ruleScores"))
+    return scored.select("sourceRecordId", "matchedRecordId", "matchedRecordType", "score",
+                         (F.col("score") >= thr).alias("isMatch"), "ruleScores")
 
 
 def find_matches(sources: DataFrame, targets: DataFrame, config: dict, target_type: str = "golden",

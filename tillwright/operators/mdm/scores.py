@@ -58,6 +58,11 @@ def levenshtein_similarity(a: Column, b: Column) -> Column:
     return F.when(m == 0, F.lit(1.0)).otherwise(1.0 - F.levenshtein(a, b) / m)
 
 
+def fuzzy_similarity(a: Column, b: Column, rule: dict) -> Column:
+    sim, most = levenshtein_similarity(a, b), (rule.get("options") or {}).get("maxDistance")
+    return sim if most is None else F.when(F.levenshtein(a, b) <= int(most), sim).otherwise(0.0)
+
+
 def _timestamp(tc: TypedCol) -> Column:
     fam = family(tc.dtype)
     if fam == "date":
@@ -81,11 +86,7 @@ def rule_score(a: TypedCol, b: TypedCol, rule: dict) -> Column:
     elif t == "normalized":
         s = F.when(normalize(text(a)) == normalize(text(b)), 1.0).otherwise(0.0)
     elif t == "fuzzy":
-        ta, tb = text(a), text(b)
-        sim = levenshtein_similarity(ta, tb)
-        if opts.get("maxDistance") is not None:
-            sim = F.when(F.levenshtein(ta, tb) <= int(opts["maxDistance"]), sim).otherwise(0.0)
-        s = sim
+        s = fuzzy_similarity(text(a), text(b), rule)
     elif t == "phonetic":
         s = soundex_similarity(text(a), text(b))
     elif t == "numeric":
@@ -129,8 +130,9 @@ def feature(tc: TypedCol, rule: dict) -> Column:
     return F.lit(None)
 
 
-def pair_score(rule: dict, fa: Column, fb: Column, na: Column, nb: Column, comparable: bool = True) -> Column:
-    """Score from prepared features ``fa`` / ``fb`` and null flags ``na`` / ``nb``."""
+def pair_score(rule: dict, fa: Column, fb: Column, na: Column, nb: Column, comparable: bool = True, known: Column | None = None) -> Column:
+    """Score from prepared features ``fa`` / ``fb`` and null flags ``na`` / ``nb``;
+    ``known`` is the similarity of a ``fuzzy`` rule where it was computed before (NULL elsewhere)."""
     t = rule["type"]
     opts = rule.get("options") or {}
     if t == "exact":
@@ -138,10 +140,9 @@ def pair_score(rule: dict, fa: Column, fb: Column, na: Column, nb: Column, compa
     elif t in ("exactCaseInsensitive", "normalized"):
         s = F.when(fa == fb, 1.0).otherwise(0.0)
     elif t == "fuzzy":
-        sim = levenshtein_similarity(fa, fb)
-        if opts.get("maxDistance") is not None:
-            sim = F.when(F.levenshtein(fa, fb) <= int(opts["maxDistance"]), sim).otherwise(0.0)
-        s = sim
+        s = fuzzy_similarity(fa, fb, rule)
+        if known is not None:
+            s = F.coalesce(known, s)
     elif t == "phonetic":
         same = [(F.substring(fa, i, 1) == F.substring(fb, i, 1)).cast("double") for i in range(1, 5)]
         s = F.when(fa == fb, F.lit(1.0)).otherwise(reduce(lambda x, y: x + y, same) / 4.0)
