@@ -121,3 +121,18 @@ def test_left_join_meets_all_suppliers_of_a_nation(spark):
 
 def test_full_join_meets_all_suppliers_of_a_nation(spark):
     _pairs_by_nation(spark, "join_full", "both")
+
+
+def test_left_join_deals_out_a_nation(spark, monkeypatch):
+    """The pairs of a nation are made by several tasks, with the same rows as in one."""
+    from pyspark.sql import functions as F
+
+    from tillwright.operators import steps
+
+    run = lambda: entry.queries()["join_left_collision"](spark, SF)
+    want = sorted(map(repr, run().collect()))
+    monkeypatch.setattr(steps, "PAIRS", (2, 4), raising=False)
+    dealt = run()
+    assert sorted(map(repr, dealt.collect())) == want
+    tasks = dealt.where("right_id is not null").withColumn("task", F.spark_partition_id()).groupBy("nation").agg(F.countDistinct("task").alias("n"), F.count(F.lit(1)).alias("pairs"))
+    assert tasks.where("pairs > 8").agg(F.min("n")).first()[0] > 1
